@@ -1,64 +1,67 @@
-"""Exact quantiles without collecting a group (AGG5, AGG10, MLO1).
+"""Exact quantiles (AGG5, AGG10, MLO1).
 
-The built-in exact percentile keeps every distinct value of a group in one task.
-This one narrows the search first: an approximate sketch splits each group into
-slices, slice counts tell which slice holds each wanted rank, and only the rows of
-those slices, already counted per distinct value, are ranked."""
+`series_medians` is for period-grained series, whose groups are bounded by the
+calendar. `exact_quantiles` is for groups of any size: the built-in exact percentile
+would keep every distinct value of a group in one task, so here a sketch of bounded
+size brackets each wanted rank first, and only values inside a bracket are ranked."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from macrospark.columns import Names, names, q
+from macrospark.columns import KEY, Names, finite, names, q
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Iterable[float], key: Names = (), slices: int = 200
+    df: DataFrame, value: str, probs: Iterable[float], key: Names = (), accuracy: int = 20_000
 ) -> DataFrame:
     """Interpolated quantiles (pandas `linear`) as columns q0, q1, ... per key; one
-    row in all when no key is given."""
+    row in all when no key is given.
+
+    The sketch misses a rank by at most n / accuracy, so the value of rank r lies
+    between the sketch's values at r -+ 3 n / accuracy. Values below a bracket fold
+    into one count, map-side; those inside are counted per distinct value."""
     keys, probs = names(key), list(probs)
-    rows = df.filter(q(value).isNotNull()).select(
-        *[q(c) for c in keys], q(value).cast("double").alias("_v"), F.lit(0).alias("_all"))
+    rows = df.select(*[q(c) for c in keys], finite(q(value).cast("double")).alias("_v"), F.lit(0).alias("_all"))
+    rows = rows.filter(F.col("_v").isNotNull())
     by = [*keys, "_all"]
-    # Equal values fold together before anything is ranked.
-    counted = rows.groupBy(*[q(c) for c in by], "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = rows.groupBy(*[q(c) for c in by]).agg(
-        F.percentile_approx("_v", [i / slices for i in range(1, slices)], slices * 50).alias("_cuts"),
-        F.count(F.lit(1)).alias("_total"))
-    # One row per key; Spark broadcasts it only when its measured size is small.
-    placed = counted.join(cuts, by).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    sizes = placed.groupBy(*[q(c) for c in by], "_slice", "_total").agg(F.sum("_n").alias("_size"))
-    w = Window.partitionBy(*[q(c) for c in by]).orderBy("_slice")
-    ranked = sizes.withColumn("_end", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # Wanted ranks, 0-based: the two neighbours of prob * (n - 1).
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"),
-                 F.least(F.floor(F.lit(p) * (F.col("_total") - 1)) + side, F.col("_total") - 1).alias("rank"))
-        for i, p in enumerate(probs) for side in (0, 1)])
-    hits = (ranked.withColumn("_start", F.col("_end") - F.col("_size"))
-            .withColumn("_want", F.filter(wanted, lambda x: (x["rank"] >= F.col("_start")) & (x["rank"] < F.col("_end"))))
-            .filter(F.size("_want") > 0).select(*[q(c) for c in by], "_slice", "_start", "_want"))
-    inner = Window.partitionBy(*[q(c) for c in by], "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = (placed.join(hits, [*by, "_slice"])
-             .withColumn("_hi", F.col("_start") + F.sum("_n").over(inner))
-             .withColumn("_lo", F.col("_hi") - F.col("_n"))
-             .withColumn("_hit", F.explode(F.filter(
-                 "_want", lambda x: (x["rank"] >= F.col("_lo")) & (x["rank"] < F.col("_hi"))))))
-    pair = found.groupBy(*[q(c) for c in by], "_total").agg(*[
-        F.max(F.when((F.col("_hit.p") == i) & (F.col("_hit.side") == s), F.col("_v"))).alias(f"_q{i}_{s}")
-        for i in range(len(probs)) for s in (0, 1)])
-
-    def blend(i: int, p: float):
-        at = F.lit(p) * (F.col("_total") - 1)
-        return F.col(f"_q{i}_0") + (F.col(f"_q{i}_1") - F.col(f"_q{i}_0")) * (at - F.floor(at))
-
-    return pair.select(*[q(c) for c in keys], *[blend(i, p).alias(f"q{i}") for i, p in enumerate(probs)])
+    slack = 3.0 / accuracy
+    edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    sketch = rows.groupBy(*[q(c) for c in by]).agg(
+        F.percentile_approx("_v", edges, accuracy).alias("_edges"), F.count(F.lit(1)).alias("_total"))
+    marked = rows.join(sketch, by)
+
+    def bucket(i: int) -> Column:
+        lo, hi = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
+        return F.when(F.col("_v") < lo, F.lit(float("-inf"))).when(F.col("_v") <= hi, F.col("_v"))
+
+    marks = F.array(*[F.struct(F.lit(i).alias("_p"), bucket(i).alias("_b")) for i in range(len(probs))])
+    counted = (marked.select(*[q(c) for c in by], "_total", F.inline(marks)).filter(F.col("_b").isNotNull())
+               .groupBy(*[q(c) for c in by], "_total", "_p", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy(*[q(c) for c in by], F.col("_p")).orderBy("_b")
+    ranked = counted.withColumn("_end", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # 0-based ranks around prob * (n - 1).
+    at = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_p")) * (F.col("_total") - 1)
+    start = F.col("_end") - F.col("_n")
+
+    def holds(rank: Column) -> Column:
+        return F.max(F.when((start <= rank) & (rank < F.col("_end")), F.col("_b")))
+
+    ends = ranked.withColumn("_at", at).groupBy(*[q(c) for c in by], "_p").agg(
+        holds(F.floor("_at")).alias("_low"), holds(F.ceil("_at")).alias("_high"), F.max("_at").alias("_at"))
+    blend = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return (ends.withColumn("_q", blend).groupBy(*[q(c) for c in by])
+            .agg(*[F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])
+            .drop("_all"))
 
 
 def medians(df: DataFrame, value: str, key: Names = ()) -> DataFrame:
-    """AGG5: exact median per key."""
+    """AGG5: exact median per key, for groups of any size."""
     return exact_quantiles(df, value, [0.5], key).withColumnRenamed("q0", "median")
+
+
+def series_medians(df: DataFrame, value: str, key: Names = KEY) -> DataFrame:
+    """AGG5: exact median of each period-grained series, in one aggregation."""
+    return df.groupBy(*[q(c) for c in names(key)]).agg(F.percentile(q(value), 0.5).alias("median"))
