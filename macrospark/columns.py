@@ -44,6 +44,23 @@ def onward(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, key: Names) -> DataFrame:
+    """Hash partitions by key in the session's full number. Adaptive execution merges
+    partitions by bytes; before Python work, which is heavy per row, that would
+    leave few tasks. A count given by number is kept. Put it ahead of the windows on
+    the same key: they use this shuffle and add none."""
+    return df.repartition(_tasks(df), *[q(c) for c in names(key)])
+
+
+def spread_rows(df: DataFrame, key: Names) -> DataFrame:
+    """The same for a folded table of one row per key, whose rows need no company."""
+    return df.repartition(_tasks(df), F.xxhash64(*[q(c) for c in names(key)]))
+
+
 def numeric_columns(df: DataFrame, skip: Iterable[str] = ()) -> list[str]:
     skipped = set(skip)
     return [n for n, t in df.dtypes if t in NUMERIC and n not in skipped]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, ORDER, VALUE, Names, names, onward, ordered, q, upto
+from macrospark.columns import KEY, ORDER, VALUE, Names, names, onward, ordered, q, spread, upto
 from macrospark.constants import SEASON
 from macrospark.functions.scalar import log_positive
 from macrospark.operators.clean import outside
@@ -51,9 +53,9 @@ def decompose(
 
 # --- LOESS (TSO2) -------------------------------------------------------------
 
-def _loess(y: np.ndarray, span: int, at: np.ndarray, robust: np.ndarray | None) -> np.ndarray:
-    """Local linear fits with tricube weights at positions `at`; x is 0..n-1."""
-    n = len(y)
+def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None) -> np.ndarray:
+    """Matrix that turns values at 0..n-1 into local linear fits with tricube weights at
+    the positions `at`."""
     take = min(span, n)
     left = np.clip(np.round(at).astype(int) - take // 2, 0, n - take)
     idx = left[:, None] + np.arange(take)[None, :]
@@ -70,8 +72,23 @@ def _loess(y: np.ndarray, span: int, at: np.ndarray, robust: np.ndarray | None)
     weight = np.where(total > 0, weight / np.where(total > 0, total, 1.0), 1.0 / take)
     centre = (weight * idx).sum(axis=1, keepdims=True)
     spread = (weight * (idx - centre) ** 2).sum(axis=1)
-    tilt = np.where(np.sqrt(spread) > 0.001 * max(n - 1, 1), (at - centre[:, 0]) / np.where(spread > 0, spread, 1.0), 0.0)
-    return (weight * (1 + tilt[:, None] * (idx - centre)) * y[idx]).sum(axis=1)
+    steep = np.sqrt(spread) > 0.001 * max(n - 1, 1)
+    tilt = np.where(steep, (at - centre[:, 0]) / np.where(spread > 0, spread, 1.0), 0.0)
+    matrix = np.zeros((len(at), n))
+    np.put_along_axis(matrix, idx, weight * (1 + tilt[:, None] * (idx - centre)), axis=1)
+    return matrix
+
+
+@lru_cache(maxsize=256)
+def _plain_weights(n: int, span: int, beyond: int) -> np.ndarray:
+    """Weights without robustness, at 0..n-1 and `beyond` positions outside each end."""
+    return _loess_weights(n, span, np.arange(-float(beyond), n + beyond), None)
+
+
+def _smooth(y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None) -> np.ndarray:
+    if robust is None:
+        return _plain_weights(len(y), span, beyond) @ y
+    return _loess_weights(len(y), span, np.arange(-float(beyond), len(y) + beyond), robust) @ y
 
 
 def _moving(y: np.ndarray, size: int) -> np.ndarray:
@@ -88,19 +105,16 @@ def stl_arrays(
     trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1
     low_span = (period + 1) | 1
     inner, outer = (2, 15) if robust else (5, 0)
-    at = np.arange(n, dtype=float)
     trend, season, care = np.zeros(n), np.zeros(n), None
     for round_ in range(outer + 1):
         for _ in range(inner):
             detrended = y - trend
             cycle = np.empty(n + 2 * period)
             for s in range(period):
-                sub = detrended[s::period]
-                grid = np.arange(-1.0, len(sub) + 1)
-                cycle[s::period] = _loess(sub, seasonal, grid, None if care is None else care[s::period])
+                cycle[s::period] = _smooth(detrended[s::period], seasonal, 1, None if care is None else care[s::period])
             low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[period:period + n] - _loess(low, low_span, at, None)
-            trend = _loess(y - season, trend_span, at, care)
+            season = cycle[period:period + n] - _smooth(low, low_span, 0, None)
+            trend = _smooth(y - season, trend_span, 0, care)
         if round_ < outer:
             miss = np.abs(y - season - trend)
             edge = 6 * np.median(miss)
@@ -115,7 +129,8 @@ def decompose_loess(
 ) -> DataFrame:
     """TSO2: LOESS decomposition, one monthly series per group. A group holds one row
     per month, so its size is bounded by the calendar; parallelism is by series."""
-    filled = fill_both(df.select(q(key), q(order), q(value).cast("double").alias(value)), key, order, value)
+    rows = spread(df.select(q(key), q(order), q(value).cast("double").alias(value)), key)
+    filled = fill_both(rows, key, order, value)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order).reset_index(drop=True)

@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, ORDER, VALUE, Names, finite, names, ordered, q, upto
+from macrospark.columns import KEY, ORDER, VALUE, Names, finite, names, ordered, q, spread_rows, upto
 from macrospark.constants import DF_CRITICAL_5PCT
-from macrospark.functions.scalar import box_cox, positive_shift
+from macrospark.functions.scalar import positive_shift
 from macrospark.operators.joins import repeat_last
 from macrospark.operators.windows import fill_both
 
@@ -32,29 +32,30 @@ def box_cox_lambda(
 ) -> DataFrame:
     """TSO8: lambda of the highest log-likelihood on a grid, per series, with the shift
     that makes the series positive; `refine` adds a grid ten times finer around it.
-    Each grid point is one more aggregate of the same pass, so rows are not multiplied."""
+    The grid is exploded inside the stage that already holds a series together, so
+    the multiplied rows are folded at once and never shuffled."""
     keys = names(key)
     by = [q(c) for c in keys]
-    shifts = df.groupBy(*by).agg(positive_shift(F.min(q(value))).alias("shift"))
-    rows = (df.join(shifts, keys).select(*by, "shift", (q(value) + F.col("shift")).alias("_x"))
-            .filter(F.col("_x").isNotNull()))
-
-    def best(frame: DataFrame, grid: Sequence[Column], extra: Sequence[str] = ()) -> DataFrame:
-        def score(lam: Column) -> Column:
-            return ((lam - 1.0) * F.sum(F.ln("_x"))
-                    - F.count("_x") / 2.0 * F.ln(F.var_pop(box_cox(F.col("_x"), lam))))
-
-        scored = frame.groupBy(*by, "shift", *extra).agg(
-            F.array(*[F.struct(score(g).alias("llf"), g.alias("lam")) for g in grid]).alias("_s"))
-        return scored.select(*by, "shift", F.array_max(F.filter("_s", lambda s: s["llf"].isNotNull())).alias("_b"))
+    lowest = F.min(q(value)).over(Window.partitionBy(*by))
+    rows = (df.select(*by, q(value).cast("double").alias("_raw"), positive_shift(lowest).alias("shift"))
+            .select(*by, "shift", (F.col("_raw") + F.col("shift")).alias("_x"))
+            .select(*by, "shift", "_x", F.ln("_x").alias("_ln")))
+
+    def best(frame: DataFrame, grid: Column) -> DataFrame:
+        tried = frame.select("*", F.explode(grid).alias("_lam"))
+        y = F.when(F.col("_lam") == 0, F.col("_ln")).otherwise(
+            F.try_divide(F.exp(F.col("_lam") * F.col("_ln")) - 1.0, F.col("_lam")))
+        scored = tried.groupBy(*by, "shift", "_lam").agg(
+            ((F.first("_lam") - 1.0) * F.sum("_ln") - F.count("_ln") / 2.0 * F.ln(F.var_pop(y))).alias("_llf"))
+        return scored.groupBy(*by, "shift").agg(
+            F.max_by("_lam", "_llf").alias("lambda"), F.max("_llf").alias("log_likelihood"))
 
     count = int(round((hi - lo) / step))
-    coarse = best(rows, [F.lit(round(lo + i * step, 10)) for i in range(count + 1)])
+    found = best(rows, F.array(*[F.lit(round(lo + i * step, 10)) for i in range(count + 1)]))
     if refine:
-        centre = coarse.select(*by, F.col("_b.lam").alias("_c"))
-        fine = rows.join(centre, keys)
-        coarse = best(fine, [F.col("_c") + F.lit(round(j * step / 10, 10)) for j in range(-10, 11)], ["_c"])
-    return coarse.select(*by, F.col("_b.lam").alias("lambda"), "shift", F.col("_b.llf").alias("log_likelihood"))
+        near = rows.join(found.select(*by, F.col("lambda").alias("_c")), keys)
+        found = best(near, F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda j: F.col("_c") + j * F.lit(step / 10)))
+    return found
 
 
 # --- stationarity (TSO9) --------------------------------------------------------
@@ -141,12 +142,15 @@ class Fit:
 
 
 def solve_gram(xx: np.ndarray, xy: np.ndarray, yy: float) -> Fit:
-    """Least squares from sums of products, scaled to unit diagonal first. A singular
-    system gets its minimum-norm solution."""
+    """Least squares from sums of products (X'X as its upper triangle). The system is
+    scaled to unit diagonal first; a singular one gets its minimum-norm solution."""
     p = len(xy)
     full = np.zeros((p, p))
     full[np.triu_indices(p)] = xx
-    full = full + np.triu(full, 1).T
+    return solve_square(full + np.triu(full, 1).T, xy, yy)
+
+
+def solve_square(full: np.ndarray, xy: np.ndarray, yy: float) -> Fit:
     scale = np.sqrt(np.diag(full))
     scale[scale == 0] = 1.0
     inverse = np.linalg.pinv(full / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
@@ -164,8 +168,8 @@ def least_squares(
 ) -> DataFrame:
     """TSO11: per key the coefficients (intercept first), their t statistics, residual
     variance and AIC."""
-    sums = gram(df, xs, y, key, intercept)
     keys = names(key)
+    sums = spread_rows(gram(df, xs, y, key, intercept), keys)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -245,51 +249,56 @@ SEASONAL_ORDER = [
 ]
 
 
+def _orders(models: Sequence[LagModel]) -> dict[int, list[int]]:
+    """All lags used with each difference order."""
+    return {d: sorted({k for m in models if m.d == d for k in m.lags}) for d in sorted({m.d for m in models})}
+
+
 def lag_model_sums(
     df: DataFrame, models: Sequence[LagModel], exogenous: Sequence[str] = (), key: Names = KEY,
     order: str = ORDER, value: str = VALUE,
 ) -> DataFrame:
-    """Per series one row: Gram sums of every model over the same rows (so their fits
-    compare), the last values, the last exogenous values and the last date. One
-    window sort and one aggregation for the whole grid. Values are scaled by the
-    mean absolute value of their series."""
+    """Per series one row: Gram sums per difference order over the same rows (so all fits
+    compare), the last values, the last exogenous values and the last date. One window
+    sort and one aggregation serve the whole grid: a model's sums are a part of those
+    of its order. Values are scaled by the mean absolute value of their series."""
     keys = names(key)
     by = [q(c) for c in keys]
     w = ordered(keys, order)
     whole = Window.partitionBy(*by)
-    max_d, reach = max(m.d for m in models), max((max(m.lags, default=0) for m in models), default=0)
+    orders = _orders(models)
+    max_d, reach = max(orders), max((max(lags, default=0) for lags in orders.values()), default=0)
     scaled = fill_both(df, keys, order, value).select(
         *by, q(order), *[finite(q(c).cast("double")).alias(c) for c in exogenous],
         q(value).cast("double").alias("_raw"),
         F.coalesce(F.nullif(F.avg(F.abs(q(value))).over(whole), F.lit(0.0)), F.lit(1.0)).alias("_unit"))
     scaled = scaled.withColumn("_v", F.col("_raw") / F.col("_unit"))
     staged = difference_columns(scaled, max_d, keys, order, "_v")
-    shifts = sorted({(m.d, lag) for m in models for lag in m.lags})
-    lagged = staged.select("*", *[F.lag(f"_d{d}", k).over(w).alias(f"_d{d}_{k}") for d, k in shifts],
-                           F.row_number().over(w).alias("_t"),
-                           F.row_number().over(Window.partitionBy(*by).orderBy(q(order).desc())).alias("_back"))
+    lagged = staged.select("*", *[F.lag(f"_d{d}", k).over(w).alias(f"_d{d}_{k}") for d, lags in orders.items() for k in lags],
+                           F.row_number().over(w).alias("_t"), F.count(F.lit(1)).over(whole).alias("_rows"))
     complete = F.col("_t") > max_d + reach
     for c in exogenous:
         complete = complete & q(c).isNotNull()
+    lagged = lagged.withColumn("_use", complete.cast("double"))
     aggs = []
-    for i, m in enumerate(models):
-        design = [F.lit(1.0)] + [F.col(f"_d{m.d}_{k}") for k in m.lags] + [q(c) for c in exogenous]
-        y = F.col(f"_d{m.d}")
+    for d, lags in orders.items():
+        design = [F.lit(1.0)] + [F.col(f"_d{d}_{k}") for k in lags] + [q(c) for c in exogenous]
+        y = F.col(f"_d{d}")
         p = len(design)
 
         def total(c: Column) -> Column:
-            return F.coalesce(F.sum(F.when(complete, c)), F.lit(0.0))
+            return F.coalesce(F.sum(F.when(F.col("_use") == 1.0, c)), F.lit(0.0))
 
         aggs.append(F.struct(
             F.array(*[total(design[a] * design[b]) for a in range(p) for b in range(a, p)]).alias("xx"),
-            F.array(*[total(design[a] * y) for a in range(p)]).alias("xy"), total(y * y).alias("yy")).alias(f"m{i}"))
-    tail = F.when(F.col("_back") <= max_d + reach + 1, F.struct(q(order), F.col("_v")))
+            F.array(*[total(design[a] * y) for a in range(p)]).alias("xy"), total(y * y).alias("yy")).alias(f"m{d}"))
+    tail = F.when(F.col("_rows") - F.col("_t") <= max_d + reach, F.struct(q(order), F.col("_v")))
     return lagged.groupBy(*by).agg(
-        F.count_if(complete).alias("n"), F.max(q(order)).alias("last_date"), F.max("_unit").alias("unit"),
+        F.sum("_use").cast("bigint").alias("n"), F.max(q(order)).alias("last_date"), F.max("_unit").alias("unit"),
         F.transform(F.array_sort(F.collect_list(tail)), lambda s: s["_v"]).alias("tail"),
         (F.max_by(F.array(*[q(c) for c in exogenous]), q(order)) if exogenous
          else F.array().cast("array<double>")).alias("exog_tail"),
-        F.array(*aggs).alias("models"))
+        F.array(*aggs).alias("sums"))
 
 
 def _path(model: LagModel, coef: np.ndarray, tail: np.ndarray, exog: np.ndarray, steps: int) -> np.ndarray:
@@ -329,15 +338,26 @@ def lag_model_forecast(
     (key, date, step, model, forecast, lower, upper); exogenous values are held at
     their last level. Series too short for every model give their last value."""
     keys = names(key)
-    sums = lag_model_sums(df, models, exogenous, keys, order, value)
+    sums = spread_rows(lag_model_sums(df, models, exogenous, keys, order, value), keys)
+    orders = _orders(models)
+    # Where each model's columns are in the sums of its order.
+    places = [[0, *[1 + orders[m.d].index(k) for k in m.lags],
+               *[1 + len(orders[m.d]) + i for i in range(len(exogenous))]] for m in models]
+    sizes = {d: 1 + len(lags) + len(exogenous) for d, lags in orders.items()}
 
     def one(n: int, tail: np.ndarray, exog: np.ndarray, parts: list, unit: float):
         best = None
-        for model, part in zip(models, parts):
-            p = 1 + len(model.lags) + len(exog)
+        full = {}
+        for d, part in zip(orders, parts):
+            square = np.zeros((sizes[d], sizes[d]))
+            square[np.triu_indices(sizes[d])] = part["xx"]
+            full[d] = (square + np.triu(square, 1).T, np.asarray(part["xy"]), part["yy"])
+        for model, at in zip(models, places):
+            p = len(at)
             if n <= p + 1:
                 continue
-            fit = solve_gram(np.asarray(part["xx"]), np.asarray(part["xy"]), part["yy"])
+            xx, xy, yy = full[model.d]
+            fit = solve_square(xx[np.ix_(at, at)], xy[at], yy)
             path = _path(model, fit.coef, tail, exog, steps)
             if not np.isfinite(path).all():
                 continue
@@ -361,7 +381,7 @@ def lag_model_forecast(
                 tail = np.asarray(rec["tail"], dtype=float)
                 exog = np.asarray(rec["exog_tail"], dtype=float)
                 unit = rec["unit"] if rec["unit"] == rec["unit"] else 1.0
-                aic, name, path, sd = one(rec["n"], tail, exog, list(rec["models"]), unit)
+                aic, name, path, sd = one(rec["n"], tail, exog, list(rec["sums"]), unit)
                 for h in range(steps):
                     rows.append((*[rec[k] for k in keys], rec["last_date"], h + 1, name, aic, path[h] * unit,
                                  (path[h] - Z95 * sd[h]) * unit, (path[h] + Z95 * sd[h]) * unit))
@@ -508,7 +528,7 @@ def vector_forecast(
         F.transform(F.array_sort(F.collect_list(tail)), lambda s: s["v"]).alias("tail"),
         F.max_by(F.array(*[F.col(f"`_s_{c}`") for c in series]), q(order)).alias("level"),
         F.array(*[F.max(F.col(f"`_u_{c}`")) for c in series]).alias("unit"))
-    ready = tails.join(sums, keys, "left")
+    ready = spread_rows(tails.join(sums, keys, "left"), keys)
     order_vec = np.array([orders[c] for c in series])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

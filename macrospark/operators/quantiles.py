@@ -22,7 +22,8 @@ def exact_quantiles(
 
     The sketch misses a rank by at most n / accuracy, so the value of rank r lies
     between the sketch's values at r -+ 3 n / accuracy. Values below a bracket fold
-    into one count, map-side; those inside are counted per distinct value."""
+    into one count, map-side; those inside are counted per distinct value. A group of
+    up to `accuracy` rows, where that margin is under three ranks, is ranked whole."""
     keys, probs = names(key), list(probs)
     rows = df.select(*[q(c) for c in keys], finite(q(value).cast("double")).alias("_v"), F.lit(0).alias("_all"))
     rows = rows.filter(F.col("_v").isNotNull())
@@ -35,7 +36,8 @@ def exact_quantiles(
 
     def bucket(i: int) -> Column:
         lo, hi = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
-        return F.when(F.col("_v") < lo, F.lit(float("-inf"))).when(F.col("_v") <= hi, F.col("_v"))
+        return (F.when(F.col("_total") <= accuracy, F.col("_v"))
+                .when(F.col("_v") < lo, F.lit(float("-inf"))).when(F.col("_v") <= hi, F.col("_v")))
 
     marks = F.array(*[F.struct(F.lit(i).alias("_p"), bucket(i).alias("_b")) for i in range(len(probs))])
     counted = (marked.select(*[q(c) for c in by], "_total", F.inline(marks)).filter(F.col("_b").isNotNull())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 
-from macrospark.columns import Names, names, q
+from macrospark.columns import Names, names, q, spread
 
 
 def apply_per_series(
@@ -16,4 +16,4 @@ def apply_per_series(
     """UDF1: `fn` on each series as a pandas frame, moved by Arrow. A group must be
     period-grained (bounded by the calendar); prefer window expressions where they
     can say the same. The schema is the input's unless given."""
-    return df.groupBy(*[q(c) for c in names(key)]).applyInPandas(fn, schema if schema is not None else df.schema)
+    return spread(df, key).groupBy(*[q(c) for c in names(key)]).applyInPandas(fn, schema if schema is not None else df.schema)
