@@ -10,7 +10,9 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -181,12 +183,26 @@ class HybridChain:
 
 # --- stacking (MLO7, MLO9, MLO10) -----------------------------------------------
 
+def together(spark: SparkSession, jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
+    """Independent fits from a few driver threads, as CrossValidator does, so that the
+    cluster is not idle between the many small jobs of one fit."""
+    run = inheritable_thread_target(spark)(lambda job: job())
+    pool = ThreadPool(min(parallelism, max(len(jobs), 1)))
+    try:
+        return pool.map(run, jobs)
+    finally:
+        pool.terminate()
+
+
 def out_of_fold(
-    df: DataFrame, fold: str, k: int, fit: Callable[[DataFrame], "RegressorChain"], prefix: str
+    df: DataFrame, fold: str, k: int, fit: Callable[[DataFrame], "RegressorChain"], prefix: str, parallelism: int = 4
 ) -> DataFrame:
     """MLO7: each fold scored by a model that did not see it."""
-    parts = [fit(df.filter(q(fold) != i)).transform(df.filter(q(fold) == i), prefix) for i in range(k)]
-    return reduce(DataFrame.unionByName, parts)
+    def job(i: int) -> Callable[[], object]:
+        return lambda: fit(df.filter(q(fold) != i))
+
+    models = together(df.sparkSession, [job(i) for i in range(k)], parallelism)
+    return reduce(DataFrame.unionByName, [m.transform(df.filter(q(fold) == i), prefix) for i, m in enumerate(models)])
 
 
 @dataclass
@@ -239,6 +255,7 @@ class StackingEnsemble:
     alphas: Sequence[float] = tuple(META_ALPHAS)
     meta: str = "elastic"
     weighted: bool = False
+    parallelism: int = 4
     fitted: dict[str, RegressorChain] = field(default_factory=dict)
     metas: dict[str, MetaModel] = field(default_factory=dict)
 
@@ -258,21 +275,32 @@ class StackingEnsemble:
         if self.weighted:
             df = df.withColumn(WEIGHT, high_value_weight(q(base_target)))
         folded = cut_lineage(assign_folds(quartile_bins(df, base_target, "_bin"), self.folds, self.ids, "_bin"))
-        self.fitted = {name: self._base(name)(folded) for name in self.bases}
-        scored = None
-        for name in self.bases:
-            preds = [f"{name}_{t}" for t in self.targets]
-            part = out_of_fold(folded, "fold", self.folds, self._base(name), f"{name}_")
-            if scored is None:
-                scored = part
-            else:
-                scored = scored.join(part.select(*[q(c) for c in [*self.ids, *preds]]), self.ids)
-        scored = cut_lineage(scored)
-        for t in self.targets:
+        spark = df.sparkSession
+        # One fit per base and training set: the whole frame, and each frame less a fold.
+        sets = [(name, fold) for name in self.bases for fold in (None, *range(self.folds))]
+
+        def job(name: str, fold: int | None) -> Callable[[], object]:
+            return lambda: self._base(name)(folded if fold is None else folded.filter(q("fold") != fold))
+
+        models = dict(zip(sets, together(spark, [job(*s) for s in sets], self.parallelism)))
+        self.fitted = {name: models[name, None] for name in self.bases}
+        # A fold's rows pass through the models of all bases, so no join is needed.
+        parts = []
+        for fold in range(self.folds):
+            part = folded.filter(q("fold") == fold)
+            for name in self.bases:
+                part = models[name, fold].transform(part, f"{name}_")
+            parts.append(part)
+        scored = cut_lineage(reduce(DataFrame.unionByName, parts))
+
+        def meta(t: str) -> Callable[[], object]:
             cols = self._meta_columns(t)
             frame = scored.select(*[q(c) for c in self.ids], q(t), *[c.alias(n) for n, c in cols.items()])
-            self.metas[t] = (fit_meta(frame, list(cols), t, self.ids, self.alphas) if self.meta == "elastic"
-                             else fit_ridge(frame, list(cols), t))
+            if self.meta == "elastic":
+                return lambda: fit_meta(frame, list(cols), t, self.ids, self.alphas)
+            return lambda: fit_ridge(frame, list(cols), t)
+
+        self.metas = dict(zip(self.targets, together(spark, [meta(t) for t in self.targets], self.parallelism)))
         return self
 
     def transform(self, df: DataFrame, prefix: str = "pred_") -> DataFrame:
@@ -306,10 +334,14 @@ def select_features(
 ) -> DataFrame:
     """MLO11: per target its top k features; mandatory ones are always selected."""
     df = cut_lineage(df)
-    parts = [importances(df.filter(q(t).isNotNull()), features, t, settings).withColumn("target", F.lit(t))
-             .withColumn("selected", (F.col("rank") <= k) | F.col("feature").isin(list(mandatory)))
-             for t in targets]
-    return reduce(DataFrame.unionByName, parts)
+
+    def job(t: str) -> Callable[[], object]:
+        return lambda: importances(df.filter(q(t).isNotNull()), features, t, settings)
+
+    found = together(df.sparkSession, [job(t) for t in targets], 4)
+    chosen = (F.col("rank") <= k) | F.col("feature").isin(list(mandatory))
+    return reduce(DataFrame.unionByName, [
+        part.withColumn("target", F.lit(t)).withColumn("selected", chosen) for t, part in zip(targets, found)])
 
 
 def eliminate_features(
@@ -322,9 +354,10 @@ def eliminate_features(
     data = cut_lineage(assign_folds(df.filter(q(target).isNotNull()), folds, ids, output="_fold"))
     current, rounds, lost = list(features), [], []
     while True:
-        preds = [score(fit_forest(data.filter(F.col("_fold") != i), current, target, settings),
-                       data.filter(F.col("_fold") == i), "_p").select("_fold", q(target).alias("_y"), "_p")
-                 for i in range(folds)]
+        fits = together(df.sparkSession, [
+            (lambda i=i: fit_forest(data.filter(F.col("_fold") != i), current, target, settings)) for i in range(folds)], 4)
+        preds = [score(m, data.filter(F.col("_fold") == i), "_p").select("_fold", q(target).alias("_y"), "_p")
+                 for i, m in enumerate(fits)]
         value = (reduce(DataFrame.unionByName, preds).groupBy("_fold").agg(r2(F.col("_y"), F.col("_p")).alias("s"))
                  .agg(F.avg("s")).first()[0])
         rounds.append((value if value is not None else float("-inf"), list(current)))
@@ -378,7 +411,8 @@ def train_and_compare(
 
     train, test = split_at(df, split, order)
     train, test = cut_lineage(train), cut_lineage(test)
-    fitted = {name: m.fit(train) for name, m in models.items()}
+    found = together(df.sparkSession, [(lambda m=m: m.fit(train)) for m in models.values()], 4)
+    fitted = dict(zip(models, found))
     parts = [evaluate(m.transform(test), targets).withColumn("architecture", F.lit(n)) for n, m in fitted.items()]
     return reduce(DataFrame.unionByName, parts), fitted
 

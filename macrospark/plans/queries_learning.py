@@ -134,7 +134,7 @@ def _meta_model(spark: Spark, sf: str) -> DataFrame:
         *IDS, "prediction", F.lit(fitted.alpha).alias("alpha"))
 
 
-BASES = {"boosted": SMALL, "boosted_deep": M.Trees(trees=2, depth=4, rate=0.5, min_leaf=30), "forest": FOREST}
+BASES = {"boosted": M.Trees(trees=2, depth=3, rate=0.5, sample=1.0), "boosted_deep": M.Trees(trees=2, depth=4, rate=0.5, min_leaf=30), "forest": FOREST}
 
 
 @query("mlo10_stacking")
