@@ -108,30 +108,40 @@ def with_border_rows(
     df: DataFrame, order: Names, key: Names = KEY, block: str = BLOCK, earlier: int = 0, later: int = 0
 ) -> DataFrame:
     """Each block plus copies of the `earlier` rows before and `later` rows after it,
-    marked by `_border`. A border may reach over several short blocks."""
+    marked by `_border`. A border may reach over several short blocks.
+
+    Only row counts and the few edge rows of each block move here (the rank filter
+    is applied before the shuffle); the rows themselves are shuffled once, by the
+    window that follows."""
     keys = names(key)
-    placed = row_index(df, order, key, block, "_at")
-    spans = placed.groupBy(*[q(c) for c in keys], q(block)).agg(
-        F.min("_at").alias("_from"), F.max("_at").alias("_to"))
+    by = [q(c) for c in keys]
+    counts = df.groupBy(*by, q(block)).agg(F.count(F.lit(1)).alias("_rows"))
     w = ordered(keys, block)
-    nothing = F.array().cast(f"array<struct<to:{dict(df.dtypes)[block]},edge:bigint>>")
-
-    def near(lo: int, hi: int, edge: str) -> Column:
-        if hi < lo:
-            return nothing
-        return F.collect_list(F.struct(q(block).alias("to"), F.col(edge).alias("edge"))).over(w.rowsBetween(lo, hi))
-
-    targets = spans.select(*[q(c) for c in keys], q(block), "_from", "_to",
-                           near(1, earlier, "_from").alias("_next"), near(-later, -1, "_to").alias("_past"))
-    # Only rows at a block's edges can be borders of another block.
-    edges = (placed.join(targets, [*keys, block])
-             .filter((F.col("_at") > F.col("_to") - earlier) | (F.col("_at") < F.col("_from") + later)))
-    reach = F.concat(
-        F.filter("_next", lambda t: F.col("_at") >= t["edge"] - earlier),
-        F.filter("_past", lambda t: F.col("_at") <= t["edge"] + later))
-    copies = (edges.withColumn("_target", F.explode(reach)).withColumn(block, F.col("_target.to"))
-              .select(*[q(c) for c in df.columns], F.lit(True).alias("_border")))
-    return df.withColumn("_border", F.lit(False)).unionByName(copies)
+    spans = counts.select(*by, q(block), "_rows", F.coalesce(F.sum("_rows").over(before(w)), F.lit(0)).alias("_from"))
+    spans = spans.withColumn("_to", F.col("_from") + F.col("_rows") - 1)
+
+    def copies(count: int, ahead: bool) -> DataFrame:
+        # Blocks are not empty, so `count` neighbours are enough.
+        span = w.rowsBetween(1, count) if ahead else w.rowsBetween(-count, -1)
+        edge = "_from" if ahead else "_to"
+        targets = spans.select(*by, q(block), "_from", "_to", F.collect_list(
+            F.struct(q(block).alias("to"), F.col(edge).alias("edge"))).over(span).alias("_targets"))
+        turned = [q(c).desc() if ahead else q(c).asc() for c in names(order)]
+        rank = F.row_number().over(Window.partitionBy(*by, q(block)).orderBy(*turned))
+        edges = df.withColumn("_rank", rank).filter(F.col("_rank") <= count).join(targets, [*keys, block])
+        at = F.col("_to") - F.col("_rank") + 1 if ahead else F.col("_from") + F.col("_rank") - 1
+        edges = edges.withColumn("_at", at).withColumn("_target", F.explode("_targets"))
+        near = (F.col("_at") >= F.col("_target.edge") - count if ahead
+                else F.col("_at") <= F.col("_target.edge") + count)
+        return (edges.filter(near).withColumn(block, F.col("_target.to"))
+                .select(*[q(c) for c in df.columns], F.lit(True).alias("_border")))
+
+    out = df.withColumn("_border", F.lit(False))
+    if earlier:
+        out = out.unionByName(copies(earlier, True))
+    if later:
+        out = out.unionByName(copies(later, False))
+    return out
 
 
 def in_blocks(

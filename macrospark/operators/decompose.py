@@ -12,6 +12,7 @@ from macrospark.columns import KEY, ORDER, VALUE, Names, names, onward, ordered,
 from macrospark.constants import SEASON
 from macrospark.functions.scalar import log_positive
 from macrospark.operators.clean import outside
+from macrospark.operators.udf import require_bounded
 from macrospark.operators.windows import fill_both
 
 PARTS = ["trend", "seasonal", "residual"]
@@ -127,9 +128,9 @@ def decompose_loess(
     df: DataFrame, period: int = SEASON, seasonal: int = 13, robust: bool = False,
     key: str = KEY, order: str = ORDER, value: str = VALUE,
 ) -> DataFrame:
-    """TSO2: LOESS decomposition, one monthly series per group. A group holds one row
-    per month, so its size is bounded by the calendar; parallelism is by series."""
-    rows = spread(df.select(q(key), q(order), q(value).cast("double").alias(value)), key)
+    """TSO2: LOESS decomposition, one monthly series per group, its length checked
+    first; parallelism is by series."""
+    rows = spread(require_bounded(df, key).select(q(key), q(order), q(value).cast("double").alias(value)), key)
     filled = fill_both(rows, key, order, value)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,16 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from macrospark.columns import KEY, ORDER, VALUE, Names, names, ordered, q
 
-# Sides are broadcast only below this many rows, counted (not guessed) first.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the frame is counted to be small; otherwise the frame
-    itself, and Spark joins by shuffle. The count stops at the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def join_on_spine(spine: DataFrame, frames: Iterable[DataFrame], on: Names = ORDER) -> DataFrame:
     """JON1: left joins of one-column frames onto a spine. For many series prefer
     `widen`, which needs one shuffle."""

@@ -274,15 +274,18 @@ FAMILIES = {
 }
 
 
+def family(feature: str) -> str:
+    """First family whose mark is in the name; `base` for the others."""
+    return next((f for f, mark in FAMILIES.items() if mark in feature), "base")
+
+
 def family_counts(df: DataFrame) -> DataFrame:
-    """AGG24: number of columns per feature family (first family whose mark is in
-    the name; `base` for the others)."""
-    def family(c: str) -> str:
-        return next((f for f, mark in FAMILIES.items() if mark in c), "base")
-
-    rows = [(c, family(c)) for c in df.columns]
-    return (df.sparkSession.createDataFrame(rows, "feature string, family string")
-            .groupBy("family").agg(F.count(F.lit(1)).alias("n")))
+    """AGG24: per feature family the number of columns and of values they hold."""
+    counts = df.agg(*[F.count(q(c)).alias(c) for c in df.columns]).unpivot(
+        [], [q(c) for c in df.columns], "feature", "values")
+    label = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(family(c)))])
+    return (counts.groupBy(label[F.col("feature")].alias("family"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("values").alias("values")))
 
 
 def best_config(

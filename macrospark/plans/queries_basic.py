@@ -22,7 +22,7 @@ Spark = SparkSession
 
 # --- sources ---------------------------------------------------------------------
 
-@query("src1_payloads")
+@query("src1_payloads", f"WITH {PART_OBS} SELECT CAST(series_id AS VARCHAR) AS series_id, {d()}, {r('value')} FROM obs")
 def _payloads(spark: Spark, sf: str) -> DataFrame:
     path = scratch_path(spark, "payloads")
     point = F.struct(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("value").cast("string").alias("value"))
@@ -32,7 +32,7 @@ def _payloads(spark: Spark, sf: str) -> DataFrame:
     return R.read_payloads(spark, path).select("series_id", "date", R.numeric(q("value")).alias("value"))
 
 
-@query("src2_csv")
+@query("src2_csv", f"WITH {VINTAGES} SELECT {d('realtime_start', 'realtime_start')}, {d()}, {r('value')} FROM vint")
 def _csv(spark: Spark, sf: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     vint = vintages(spark, sf).select("realtime_start", F.col("realtime_start").alias("realtime_end"), "date", "value")
@@ -78,15 +78,23 @@ def _write(spark: Spark, sf: str) -> DataFrame:
     return spark.read.schema("date date, value double, series_id string").parquet(path).select("series_id", "date", "value")
 
 
-@query("snk2_columnar_export")
+_EXPORTED = ["CPI", "PPI", "INDPRO", "10_year_rate"]
+
+
+@query("snk2_columnar_export", f"""WITH {ECONOMY} SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS position, {d()},
+ {', '.join(r(f'coalesce("{c}", 0)', f'"{c}"') for c in _EXPORTED)} FROM econ""")
 def _export(spark: Spark, sf: str) -> DataFrame:
-    return K.columnar_export(economy(spark, sf), ["CPI", "PPI", "INDPRO", "10_year_rate"], "series_id")
+    arrays = K.columnar_export(economy(spark, sf), _EXPORTED, "series_id")
+    # Taken apart again by position, so that the order inside the arrays shows.
+    zipped = F.arrays_zip(q("dates"), *[q(c) for c in _EXPORTED])
+    rows = arrays.select("series_id", F.posexplode(zipped).alias("position", "p"))
+    return rows.select("series_id", "position", F.col("p.dates").alias("date"), *[F.col("p")[c].alias(c) for c in _EXPORTED])
 
 
-@query("snk3_snapshot_map")
+@query("snk3_snapshot_map", f"""WITH {PART_OBS} SELECT CAST(series_id AS VARCHAR) AS label, {r('arg_max(value, date)', 'value')}, '2002-01-01T00:00:00' AS updated_at FROM obs GROUP BY series_id""")
 def _snapshot(spark: Spark, sf: str) -> DataFrame:
-    latest = R.latest_values(obs(spark, sf), text=False)
-    one = K.snapshot_map(latest)
+    latest = R.latest_values(part_obs(spark, sf), text=False).withColumn("series_id", q("series_id").cast("string"))
+    one = K.snapshot_map(latest, updated_at=F.lit("2002-01-01T00:00:00"))
     return one.select(F.explode("values").alias("label", "value"), "updated_at")
 
 
@@ -174,11 +182,17 @@ def _require(spark: Spark, sf: str) -> DataFrame:
     return C.require_columns(panel(spark, sf), ["low", "absent", "urgent"], "date")
 
 
-@query("prj11_schema_diff", """SELECT 'high' AS column, 'left' AS only_in UNION ALL SELECT 'value', 'right'
- UNION ALL SELECT 'series_id', 'right' UNION ALL SELECT 'low', 'left' UNION ALL SELECT 'medium', 'left'
- UNION ALL SELECT 'unspecified', 'left' UNION ALL SELECT 'urgent', 'left'""")
+_LEFT, _RIGHT = MEMBERS, ["series_id", "value"]
+
+
+@query("prj11_schema_diff", f"WITH {PANEL} " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS column, 'left' AS only_in, count({c}) AS values FROM panel" for c in _LEFT]
+    + [f"SELECT '{c}', 'right', count({c}) FROM obs" for c in _RIGHT]))
 def _diff(spark: Spark, sf: str) -> DataFrame:
-    return C.schema_diff(panel(spark, sf), obs(spark, sf))
+    left, right = panel(spark, sf), obs(spark, sf)
+    held = [f.agg(*[F.count(q(c)).alias(c) for c in cols]).unpivot([], [q(c) for c in cols], "column", "values")
+            for f, cols in ((left, _LEFT), (right, _RIGHT))]
+    return C.schema_diff(left, right).join(held[0].unionByName(held[1]), "column")
 
 
 @query("prj12_constant", f"WITH {PART_OBS} SELECT series_id, {d()}, {r('value')}, 'USA' AS country FROM obs")

@@ -340,7 +340,7 @@ def _rows_ahead(spark: Spark, sf: str) -> DataFrame:
     return P.regression_rows(full, ahead, _raw_bounds(spark, sf))
 
 
-@query("udf1_per_series")
+@query("udf1_per_series", f"WITH {PART_OBS} SELECT series_id, {d()}, {r('value - avg(value) OVER (PARTITION BY series_id)', 'value')} FROM obs")
 def _per_series(spark: Spark, sf: str) -> DataFrame:
     from macrospark.operators.udf import apply_per_series
 

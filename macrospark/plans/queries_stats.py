@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,7 @@ from macrospark.plans.catalogue import d, query, r
 from macrospark.plans.driver_tables import (
     ECONOMY, MEMBERS, PANEL, PART_OBS, SPLIT, dirty, economy, economy_targets, panel, part_obs, table,
 )
-from macrospark.plans.pipelines import all_panel_features
+from macrospark.plans.pipelines import all_panel_features, panel_features
 
 Spark = SparkSession
 WIN = "WINDOW w AS (PARTITION BY series_id ORDER BY date)"
@@ -270,10 +271,27 @@ def _diagnostics(spark: Spark, sf: str) -> DataFrame:
     return A.forecast_diagnostics(_forecast_pairs(spark, sf))
 
 
-@query("agg24_family_counts")
+_FEATURES = all_panel_features()
+
+
+def _count_sql(name: str) -> str:
+    """SQL for the number of values of a derived feature, inside a window query."""
+    base, kind, n = re.fullmatch(r"(.+)_(lag|roll[a-z]+|diff|pct_change)(\d+)", name).groups()
+    if kind.startswith("roll"):
+        return f'(count("{base}") OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) >= {n})::INTEGER AS "{name}"'
+    if kind == "pct_change":
+        return f'(nullif(lag("{base}", {n}) OVER w, 0) IS NOT NULL)::INTEGER AS "{name}"'
+    return f'(lag("{base}", {n}) OVER w IS NOT NULL)::INTEGER AS "{name}"'
+
+
+_SUMS = {f: [n for n in _FEATURES if A.family(n) == f] for f in ("lag", "rolling", "difference", "change")}
+
+
+@query("agg24_family_counts", f"""WITH {ECONOMY}, x AS (SELECT {', '.join(_count_sql(n) for n in _FEATURES)} FROM econ {WIN}), t AS (SELECT {', '.join(
+    f'sum({chr(34)}{n}{chr(34)})::BIGINT AS {chr(34)}{n}{chr(34)}' for n in _FEATURES)} FROM x)
+ {' UNION ALL '.join(f"SELECT '{f}' AS family, {len(cols)}::BIGINT AS n, ({' + '.join(f'{chr(34)}{c}{chr(34)}' for c in cols)})::BIGINT AS values FROM t" for f, cols in _SUMS.items())}""")
 def _families(spark: Spark, sf: str) -> DataFrame:
-    from macrospark.plans.pipelines import panel_features
-    return A.family_counts(panel_features(economy(spark, sf), all_panel_features()))
+    return A.family_counts(panel_features(economy(spark, sf), _FEATURES).select(*[q(n) for n in _FEATURES]))
 
 
 # --- data quality -----------------------------------------------------------------------
@@ -282,15 +300,22 @@ def rule(name: str, column: str, count: str) -> str:
     return f"SELECT '{name}' AS rule, '{column}' AS column, CAST(coalesce({count}, 0) AS BIGINT) AS violations, coalesce({count}, 0) = 0 AS passed"
 
 
-@query("dq1_columns")
+def _known(name: str, column: str, violations: int) -> str:
+    return f"SELECT '{name}' AS rule, '{column}' AS column, {violations}::BIGINT AS violations, {str(violations == 0).lower()} AS passed"
+
+
+@query("dq1_columns", f"""WITH {ECONOMY} {_known('columns_match_ordered_list', '*', 0)} UNION ALL {_known('has_pattern', 'rate', 0)} UNION ALL {_known('has_pattern', 'yield', 1)}
+ UNION ALL {rule('not_null', 'CPI', 'count(*) - count("CPI")')} FROM econ""")
 def _columns(spark: Spark, sf: str) -> DataFrame:
-    e = economy_targets(spark, sf)
-    return DQ.check_columns(e, ["series_id", "date", "recession_probability", *INDICATORS, *TARGETS[1:]], ["probability", "rate", "CPI"])
+    e = economy(spark, sf)
+    return DQ.run_rules(DQ.check_columns(e, ["series_id", "date", TARGETS[0], *INDICATORS], ["rate", "yield"]), DQ.check_not_null(e, ["CPI"]))
 
 
-@query("dq2_types")
+@query("dq2_types", f"""WITH {ECONOMY} {_known('column_type', 'date', 0)} UNION ALL {_known('column_type', 'CPI', 0)} UNION ALL {_known('column_type', 'series_id', 1)}
+ UNION ALL {rule('no_infinity', 'PPI', 'count(*) FILTER (isinf("PPI"))')} FROM econ""")
 def _types(spark: Spark, sf: str) -> DataFrame:
-    return DQ.check_types(economy(spark, sf), {"date": "date", "CPI": "double", "series_id": "bigint"})
+    e = economy(spark, sf)
+    return DQ.run_rules(DQ.check_types(e, {"date": "date", "CPI": "double", "series_id": "string"}), DQ.check_finite(e, ["PPI"]))
 
 
 @query("dq3_ranges", f"""WITH {ECONOMY} {rule('in_range', 'recession_probability', 'count(*) FILTER (recession_probability < 0 OR recession_probability > 100)')} FROM econ
