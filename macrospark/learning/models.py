@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from macrospark.columns import Names, q
@@ -213,6 +213,18 @@ class MetaModel:
     score: float
 
 
+def penalty(alpha: float, l1_ratio: float, label_std: float) -> tuple[float, float]:
+    """regParam and elasticNetParam for the penalty alpha * (l1_ratio * |w| + (1 - l1_ratio)
+    / 2 * w^2) on half the mean squared error. LinearRegression divides regParam by
+    the label's std, which is right for the L1 part only; the L2 part is scaled back."""
+    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio) * label_std
+    return l1 + l2, (l1 / (l1 + l2) if l1 + l2 > 0 else 0.0)
+
+
+def label_std(df: DataFrame, target: str) -> float:
+    return df.agg(F.stddev_pop(q(target))).first()[0] or 1.0
+
+
 def fit_meta(
     df: DataFrame, features: Sequence[str], target: str, ids: Names, alphas: Sequence[float] = tuple(META_ALPHAS),
     folds: int = 3, parallelism: int = 3,
@@ -221,9 +233,10 @@ def fit_meta(
     best mean R2 over plain folds."""
     scale = fit_standard(df, features)
     train = cut_lineage(assign_folds(apply_scale(df, scale), folds, ids, output="_fold"))
-    net = LinearRegression(elasticNetParam=0.5, maxIter=200, standardization=False)
+    net = LinearRegression(maxIter=200, standardization=False)
     pipeline = assembled(features, target, net)
-    grid = ParamGridBuilder().addGrid(net.regParam, list(alphas)).build()
+    settings = [penalty(a, 0.5, label_std(train, target)) for a in alphas]
+    grid = [{net.regParam: reg, net.elasticNetParam: mix} for reg, mix in settings]
     search = CrossValidator(
         estimator=pipeline, estimatorParamMaps=grid, numFolds=folds, foldCol="_fold", parallelism=parallelism,
         evaluator=RegressionEvaluator(labelCol=target, predictionCol="_prediction", metricName="r2")).fit(train)
@@ -232,10 +245,11 @@ def fit_meta(
 
 
 def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float = 10.0) -> MetaModel:
-    """MLO14: ridge meta model. The penalty is per sum of squares, hence divided by n."""
+    """MLO14: ridge meta model with the penalty alpha * |w|^2 on the sum of squares."""
     scale = fit_standard(df, features)
     train = apply_scale(df, scale)
-    net = LinearRegression(elasticNetParam=0.0, regParam=alpha / max(df.count(), 1), standardization=False)
+    reg, mix = penalty(alpha / max(df.count(), 1), 0.0, label_std(df, target))
+    net = LinearRegression(elasticNetParam=mix, regParam=reg, standardization=False)
     return MetaModel(scale, assembled(features, target, net).fit(train), alpha, float("nan"))
 
 
