@@ -40,8 +40,12 @@ def upto(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def onward(w: WindowSpec) -> WindowSpec:
-    return w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+def back_from_end(key: Names, order: Names) -> WindowSpec:
+    """Rows from the end of the series down to the current one. With `last(..., ignorenulls)`
+    it finds the next known value in one running pass; a frame that reaches forward to the
+    end would be evaluated anew for every row."""
+    w = Window.partitionBy(*[q(c) for c in names(key)]).orderBy(*[q(c).desc() for c in names(order)])
+    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _tasks(df: DataFrame) -> int:

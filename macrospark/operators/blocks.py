@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, VALUE, Names, before, names, ordered, q, upto
+from macrospark.columns import KEY, VALUE, Names, back_from_end, before, names, ordered, q, upto
 
 BLOCK = "block"
 UNITS = ["year", "quarter", "month", "day", "hour", "minute", "second"]
@@ -95,11 +95,10 @@ def backward_fill(
     at = F.struct(*[q(c) for c in names(order)])
     first = (df.groupBy(*[q(c) for c in keys], q(block))
              .agg(F.min_by(q(value), F.when(q(value).isNotNull(), at)).alias("_first")))
-    ahead = ordered(keys, block).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*[q(c) for c in keys]).orderBy(q(block).desc())
     carry = first.select(*[q(c) for c in keys], q(block),
-                         F.first("_first", ignorenulls=True).over(ahead).alias("_next"))
-    inside = F.first(q(value), ignorenulls=True).over(
-        ordered([*keys, block], order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+                         F.last("_first", ignorenulls=True).over(before(later)).alias("_next"))
+    inside = F.last(q(value), ignorenulls=True).over(back_from_end([*keys, block], order))
     return (df.join(carry, [*keys, block])
             .withColumn(output or value, F.coalesce(inside, F.col("_next"))).drop("_next"))
 

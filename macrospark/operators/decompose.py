@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, ORDER, VALUE, Names, names, onward, ordered, q, spread, upto
+from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, spread_rows, upto
 from macrospark.constants import SEASON
 from macrospark.functions.scalar import log_positive
 from macrospark.operators.clean import outside
@@ -39,7 +40,7 @@ def decompose(
                      F.when(F.count(v).over(frame) == 2 * half + 1, raw).alias("_ma"))
     step = step.select(
         "*", (F.col("_t") % period).alias("_slot"),
-        F.coalesce("_ma", F.first("_ma", True).over(onward(w)), F.last("_ma", True).over(upto(w))).alias("_trend"))
+        F.coalesce("_ma", F.last("_ma", True).over(back_from_end(keys, order)), F.last("_ma", True).over(upto(w))).alias("_trend"))
     slot = Window.partitionBy(*[q(c) for c in keys], F.col("_slot"))
     step = step.withColumn("_mean", F.avg(v - F.col("_ma")).over(slot))
     # The first `period` rows hold each slot once.
@@ -87,34 +88,37 @@ def _plain_weights(n: int, span: int, beyond: int) -> np.ndarray:
 
 
 def _smooth(y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None) -> np.ndarray:
+    n = y.shape[-1]
     if robust is None:
-        return _plain_weights(len(y), span, beyond) @ y
-    return _loess_weights(len(y), span, np.arange(-float(beyond), len(y) + beyond), robust) @ y
+        return y @ _plain_weights(n, span, beyond).T
+    return _loess_weights(n, span, np.arange(-float(beyond), n + beyond), robust) @ y
 
 
 def _moving(y: np.ndarray, size: int) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(y)])
-    return (total[size:] - total[:-size]) / size
+    total = np.concatenate([np.zeros((*y.shape[:-1], 1)), np.cumsum(y, axis=-1)], axis=-1)
+    return (total[..., size:] - total[..., :-size]) / size
 
 
 def stl_arrays(
     y: np.ndarray, period: int = SEASON, seasonal: int = 13, robust: bool = False
 ) -> tuple[np.ndarray, np.ndarray]:
     """Seasonal and trend by the published STL procedure (Cleveland et al., 1990),
-    locally linear at every step."""
-    n = len(y)
+    locally linear at every step. Without robustness `y` may hold many series of one
+    length as rows."""
+    n = y.shape[-1]
     trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1
     low_span = (period + 1) | 1
     inner, outer = (2, 15) if robust else (5, 0)
-    trend, season, care = np.zeros(n), np.zeros(n), None
+    trend, season, care = np.zeros(y.shape), np.zeros(y.shape), None
     for round_ in range(outer + 1):
         for _ in range(inner):
             detrended = y - trend
-            cycle = np.empty(n + 2 * period)
+            cycle = np.empty((*y.shape[:-1], n + 2 * period))
             for s in range(period):
-                cycle[s::period] = _smooth(detrended[s::period], seasonal, 1, None if care is None else care[s::period])
+                cycle[..., s::period] = _smooth(
+                    detrended[..., s::period], seasonal, 1, None if care is None else care[s::period])
             low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[period:period + n] - _smooth(low, low_span, 0, None)
+            season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None)
             trend = _smooth(y - season, trend_span, 0, care)
         if round_ < outer:
             miss = np.abs(y - season - trend)
@@ -126,24 +130,40 @@ def stl_arrays(
 
 def decompose_loess(
     df: DataFrame, period: int = SEASON, seasonal: int = 13, robust: bool = False,
-    key: str = KEY, order: str = ORDER, value: str = VALUE,
+    key: Names = KEY, order: str = ORDER, value: str = VALUE,
 ) -> DataFrame:
-    """TSO2: LOESS decomposition, one monthly series per group, its length checked
-    first; parallelism is by series."""
-    rows = spread(require_bounded(df, key).select(q(key), q(order), q(value).cast("double").alias(value)), key)
-    filled = fill_both(rows, key, order, value)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        y = pdf[value].to_numpy(dtype=float)
-        if len(y) < 2 * period or np.isnan(y).any():
-            return pdf.assign(trend=np.nan, seasonal=np.nan, residual=np.nan)
-        season, trend = stl_arrays(y, period, seasonal, robust)
-        return pdf.assign(trend=trend, seasonal=season, residual=y - trend - season)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in filled.schema)
-    return filled.groupBy(q(key)).applyInPandas(
-        one, f"{schema}, trend double, seasonal double, residual double")
+    """TSO2: LOESS decomposition. Each monthly series, its length checked first, is
+    packed into one row of arrays; Arrow batches of many series are decomposed
+    together by length and taken apart again in the JVM."""
+    keys = names(key)
+    by = [q(c) for c in keys]
+    points = F.array_sort(F.collect_list(F.struct(q(order), q(value).cast("double").alias("_v"))))
+    packed = require_bounded(df, keys).groupBy(*by).agg(points.alias("_p"))
+    packed = spread_rows(packed.select(*by, F.col(f"_p.{order}").alias("_at"), F.col("_p._v").alias("_y")), keys)
+    parts = ["trend", "seasonal", "residual"]
+
+    def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            filled = [pd.Series(v, dtype=float).ffill().bfill().to_numpy() for v in pdf["_y"]]
+            made: dict[str, list] = {p: [np.full(len(y), np.nan) for y in filled] for p in parts}
+            groups: dict[int, list[int]] = {}
+            for i, y in enumerate(filled):
+                if len(y) >= 2 * period and not np.isnan(y).any():
+                    groups.setdefault(-i - 1 if robust else len(y), []).append(i)
+            for rows in groups.values():
+                block = np.stack([filled[i] for i in rows])
+                season, trend = stl_arrays(block[0] if robust else block, period, seasonal, robust)
+                season, trend = np.atleast_2d(season), np.atleast_2d(trend)
+                for at, i in enumerate(rows):
+                    made["trend"][i], made["seasonal"][i] = trend[at], season[at]
+                    made["residual"][i] = block[at] - trend[at] - season[at]
+            yield pdf.assign(_y=filled, **made)
+
+    kinds = dict(packed.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, "_at"]], "_y array<double>", *[f"{p} array<double>" for p in parts]])
+    done = packed.mapInPandas(batch, schema)
+    rows = done.select(*by, F.inline(F.arrays_zip("_at", "_y", *parts)))
+    return rows.select(*by, F.col("_at").alias(order), F.col("_y").alias(value), *[finite(F.col(p)).alias(p) for p in parts])
 
 
 # --- train parameters on test rows --------------------------------------------

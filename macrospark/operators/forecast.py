@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, ORDER, VALUE, Names, finite, names, ordered, q, spread_rows, upto
+from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, spread_rows, upto
 from macrospark.constants import DF_CRITICAL_5PCT
 from macrospark.functions.scalar import positive_shift
 from macrospark.operators.joins import repeat_last
@@ -135,27 +135,36 @@ def gram(
 
 
 @dataclass
-class Fit:
+class Fits:
+    """Least-squares fits of many systems of one size."""
     coef: np.ndarray
-    sse: float
+    sse: np.ndarray
     inverse: np.ndarray
 
 
-def solve_gram(xx: np.ndarray, xy: np.ndarray, yy: float) -> Fit:
-    """Least squares from sums of products (X'X as its upper triangle). The system is
-    scaled to unit diagonal first; a singular one gets its minimum-norm solution."""
-    p = len(xy)
-    full = np.zeros((p, p))
-    full[np.triu_indices(p)] = xx
-    return solve_square(full + np.triu(full, 1).T, xy, yy)
+def full_matrices(triangles: np.ndarray, p: int) -> np.ndarray:
+    """Symmetric matrices from rows of upper triangles."""
+    out = np.zeros((len(triangles), p, p))
+    i, j = np.triu_indices(p)
+    out[:, i, j] = triangles
+    out[:, j, i] = triangles
+    return out
+
 
+def solve_systems(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray) -> Fits:
+    """Least squares from sums of products, all systems at once. Each is scaled to unit
+    diagonal first; a singular one gets its minimum-norm solution."""
+    scale = np.sqrt(np.einsum("mii->mi", xx))
+    scale = np.where(scale > 0, scale, 1.0)
+    outer = scale[:, :, None] * scale[:, None, :]
+    inverse = np.linalg.pinv(xx / outer, rcond=1e-12, hermitian=True) / outer
+    coef = np.einsum("mij,mj->mi", inverse, xy)
+    return Fits(coef, np.maximum(yy - np.einsum("mi,mi->m", coef, xy), 0.0), inverse)
 
-def solve_square(full: np.ndarray, xy: np.ndarray, yy: float) -> Fit:
-    scale = np.sqrt(np.diag(full))
-    scale[scale == 0] = 1.0
-    inverse = np.linalg.pinv(full / np.outer(scale, scale), rcond=1e-12, hermitian=True) / np.outer(scale, scale)
-    coef = inverse @ xy
-    return Fit(coef, max(float(yy - coef @ xy), 0.0), inverse)
+
+def information(n: np.ndarray, sse: np.ndarray, p: int) -> np.ndarray:
+    """AIC of a Gaussian regression with p coefficients and a variance."""
+    return n * np.log(np.maximum(sse, 1e-300) / n) + 2 * (p + 1)
 
 
 def _schema(df: DataFrame, cols: Sequence[str]) -> str:
@@ -171,21 +180,20 @@ def least_squares(
     keys = names(key)
     sums = spread_rows(gram(df, xs, y, key, intercept), keys)
 
+    size = len(xs) + (1 if intercept else 0)
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for n, xx, xy, yy in zip(pdf["n"], pdf["xx"], pdf["xy"], pdf["yy"]):
-                fit = solve_gram(np.asarray(xx), np.asarray(list(xy)[0]), list(yy)[0])
-                p = len(fit.coef)
-                var = fit.sse / (n - p) if n > p else np.nan
-                se = np.sqrt(np.maximum(np.diag(fit.inverse) * var, 0.0))
-                t = np.divide(fit.coef, se, out=np.full(p, np.nan), where=se > 0)
-                aic = n * math.log(max(fit.sse, 1e-300) / n) + 2 * (p + 1)
-                out.append((fit.coef.tolist(), t.tolist(), var, aic))
-            result = pdf[keys + ["n"]].copy()
-            for i, c in enumerate(("coef", "t_stat", "sigma2", "aic")):
-                result[c] = [row[i] for row in out]
-            yield result
+            if pdf.empty:
+                continue
+            n = pdf["n"].to_numpy(dtype=float)
+            fits = solve_systems(full_matrices(np.stack(pdf["xx"]), size), np.stack([v[0] for v in pdf["xy"]]),
+                                 np.array([v[0] for v in pdf["yy"]], dtype=float))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                var = np.where(n > size, fits.sse / (n - size), np.nan)
+                error = np.sqrt(np.maximum(np.einsum("mii->mi", fits.inverse) * var[:, None], 0.0))
+                t = np.where(error > 0, fits.coef / error, np.nan)
+            yield pdf[[*keys, "n"]].assign(coef=list(fits.coef), t_stat=list(t), sigma2=var, aic=information(n, fits.sse, size))
 
     return sums.mapInPandas(solve, f"{_schema(sums, keys)}, n bigint, coef array<double>, "
                                    "t_stat array<double>, sigma2 double, aic double")
@@ -301,32 +309,32 @@ def lag_model_sums(
         F.array(*aggs).alias("sums"))
 
 
-def _path(model: LagModel, coef: np.ndarray, tail: np.ndarray, exog: np.ndarray, steps: int) -> np.ndarray:
-    """Recursive forecast of the level, from the last values and held exogenous ones."""
+def _paths(model: LagModel, coef: np.ndarray, tail: np.ndarray, exog: np.ndarray, steps: int) -> np.ndarray:
+    """Recursive forecasts of the level, one row per series, from the last values and
+    held exogenous ones."""
     diffs = [tail]
     for _ in range(model.d):
-        diffs.append(np.diff(diffs[-1]))
-    past = list(diffs[-1])
-    fixed = coef[0] + float(exog @ coef[1 + len(model.lags):]) if len(exog) else coef[0]
-    ahead = []
+        diffs.append(np.diff(diffs[-1], axis=1))
+    past = [diffs[-1][:, i] for i in range(diffs[-1].shape[1])]
+    p = len(model.lags)
+    fixed = coef[:, 0] + np.einsum("mi,mi->m", exog, coef[:, 1 + p:])
     for _ in range(steps):
-        x = fixed + sum(c * past[-k] for c, k in zip(coef[1:], model.lags))
-        past.append(x)
-        ahead.append(x)
-    out = np.asarray(ahead)
+        past.append(fixed + sum((coef[:, 1 + i] * past[-k] for i, k in enumerate(model.lags)), np.zeros(len(coef))))
+    out = np.stack(past[-steps:], axis=1)
     for level in range(model.d - 1, -1, -1):
-        out = diffs[level][-1] + np.cumsum(out)
+        out = diffs[level][:, -1:] + np.cumsum(out, axis=1)
     return out
 
 
-def _spread(model: LagModel, coef: np.ndarray, steps: int) -> np.ndarray:
-    """Standard deviation multipliers of the h-step errors (psi weights)."""
-    psi = np.zeros(steps)
-    for h in range(steps):
-        psi[h] = 1.0 if h == 0 else sum(c * psi[h - k] for c, k in zip(coef[1:], model.lags) if h >= k)
+def _spreads(model: LagModel, coef: np.ndarray, steps: int) -> np.ndarray:
+    """Standard deviation multipliers of the h-step errors (psi weights), per series."""
+    psi = np.zeros((len(coef), steps))
+    psi[:, 0] = 1.0
+    for h in range(1, steps):
+        psi[:, h] = sum((coef[:, 1 + i] * psi[:, h - k] for i, k in enumerate(model.lags) if h >= k), np.zeros(len(coef)))
     for _ in range(model.d):
-        psi = np.cumsum(psi)
-    return np.sqrt(np.cumsum(psi ** 2))
+        psi = np.cumsum(psi, axis=1)
+    return np.sqrt(np.cumsum(psi ** 2, axis=1))
 
 
 def lag_model_forecast(
@@ -344,48 +352,53 @@ def lag_model_forecast(
     places = [[0, *[1 + orders[m.d].index(k) for k in m.lags],
                *[1 + len(orders[m.d]) + i for i in range(len(exogenous))]] for m in models]
     sizes = {d: 1 + len(lags) + len(exogenous) for d, lags in orders.items()}
-
-    def one(n: int, tail: np.ndarray, exog: np.ndarray, parts: list, unit: float):
-        best = None
-        full = {}
-        for d, part in zip(orders, parts):
-            square = np.zeros((sizes[d], sizes[d]))
-            square[np.triu_indices(sizes[d])] = part["xx"]
-            full[d] = (square + np.triu(square, 1).T, np.asarray(part["xy"]), part["yy"])
-        for model, at in zip(models, places):
-            p = len(at)
-            if n <= p + 1:
-                continue
-            xx, xy, yy = full[model.d]
-            fit = solve_square(xx[np.ix_(at, at)], xy[at], yy)
-            path = _path(model, fit.coef, tail, exog, steps)
-            if not np.isfinite(path).all():
-                continue
-            aic = n * math.log(max(fit.sse, 1e-300) / n) + 2 * (p + 1)
-            flat = steps > 1 and np.std(path[:5]) * unit < 1e-8
-            if pick == "first" and flat:
-                continue
-            if best is None or (pick == "aic" and aic < best[0]):
-                best = (aic, model.name, path, math.sqrt(fit.sse / (n - p)) * _spread(model, fit.coef, steps))
-            if pick == "first" and best is not None:
-                break
-        if best is None:
-            level = tail[-1] if len(tail) else 0.0
-            return float("nan"), "last_value", np.full(steps, level), np.full(steps, np.nan)
-        return best
+    keep = max(orders) + max(max(lags, default=0) for lags in orders.values()) + 1
+    labels = np.array([*[m.name for m in models], "last_value"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                tail = np.asarray(rec["tail"], dtype=float)
-                exog = np.asarray(rec["exog_tail"], dtype=float)
-                unit = rec["unit"] if rec["unit"] == rec["unit"] else 1.0
-                aic, name, path, sd = one(rec["n"], tail, exog, list(rec["sums"]), unit)
-                for h in range(steps):
-                    rows.append((*[rec[k] for k in keys], rec["last_date"], h + 1, name, aic, path[h] * unit,
-                                 (path[h] - Z95 * sd[h]) * unit, (path[h] + Z95 * sd[h]) * unit))
-            yield pd.DataFrame(rows, columns=[*keys, "last_date", "step", "model", "aic", "forecast", "lower", "upper"])
+            m = len(pdf)
+            if m == 0:
+                continue
+            n = pdf["n"].to_numpy(dtype=float)
+            unit = np.nan_to_num(pdf["unit"].to_numpy(dtype=float), nan=1.0)
+            tail = np.full((m, keep), np.nan)
+            for i, v in enumerate(pdf["tail"]):
+                if len(v):
+                    tail[i, -len(v):] = v
+            exog = np.stack([np.asarray(v, dtype=float) for v in pdf["exog_tail"]]).reshape(m, len(exogenous))
+            full = {}
+            for at, d in enumerate(orders):
+                parts = [v[at] for v in pdf["sums"]]
+                full[d] = (full_matrices(np.stack([v["xx"] for v in parts]), sizes[d]),
+                           np.stack([v["xy"] for v in parts]), np.array([v["yy"] for v in parts], dtype=float))
+            # Without a usable model: the last value, no interval.
+            path = np.repeat(np.nan_to_num(tail[:, -1:]), steps, axis=1)
+            width = np.full((m, steps), np.nan)
+            best, chosen = np.full(m, np.inf), np.full(m, len(models))
+            for j, (model, at) in enumerate(zip(models, places)):
+                p = len(at)
+                xx, xy, yy = full[model.d]
+                fits = solve_systems(xx[:, at][:, :, at], xy[:, at], yy)
+                with np.errstate(all="ignore"):
+                    tried = _paths(model, fits.coef, tail, exog, steps)
+                    aic = information(n, fits.sse, p)
+                    usable = (n > p + 1) & np.isfinite(tried).all(axis=1)
+                    if pick == "first":
+                        if steps > 1:
+                            usable &= np.std(tried[:, :5], axis=1) * unit >= 1e-8
+                        better = usable & (chosen == len(models))
+                    else:
+                        better = usable & (aic < best)
+                    sd = np.sqrt(fits.sse / (n - p))[:, None] * _spreads(model, fits.coef, steps)
+                best, chosen = np.where(better, aic, best), np.where(better, j, chosen)
+                path, width = np.where(better[:, None], tried, path), np.where(better[:, None], sd, width)
+            level, half = path * unit[:, None], Z95 * width * unit[:, None]
+            out = pdf[[*keys, "last_date"]].loc[pdf.index.repeat(steps)].reset_index(drop=True)
+            yield out.assign(
+                step=np.tile(np.arange(1, steps + 1, dtype=np.int32), m), model=np.repeat(labels[chosen], steps),
+                aic=np.repeat(np.where(chosen < len(models), best, np.nan), steps), forecast=level.ravel(),
+                lower=(level - half).ravel(), upper=(level + half).ravel())
 
     out = sums.mapInPandas(run, f"{_schema(sums, [*keys, 'last_date'])}, step int, model string, aic double, "
                                 "forecast double, lower double, upper double")
@@ -490,10 +503,8 @@ def future_exogenous(
 
 def fill_columns(df: DataFrame, columns: Sequence[str], key: Names = KEY, order: str = ORDER) -> DataFrame:
     """Forward then backward fill of several columns in one select."""
-    w = ordered(key, order)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(q(c), True).over(upto(w)), F.first(q(c), True).over(ahead))
-                           for c in columns})
+    w, back = upto(ordered(key, order)), back_from_end(key, order)
+    return df.withColumns({c: F.coalesce(F.last(q(c), True).over(w), F.last(q(c), True).over(back)) for c in columns})
 
 
 # --- vector autoregression (TSO15) -----------------------------------------------
@@ -540,8 +551,9 @@ def vector_forecast(
                 path = np.tile(level, (steps, 1))
                 size = 1 + p * len(series)
                 if rec["xx"] is not None and rec["n"] > size:
-                    coef = np.stack([solve_gram(np.asarray(rec["xx"]), np.asarray(xy), yy).coef
-                                     for xy, yy in zip(rec["xy"], rec["yy"])])
+                    right = np.stack(list(rec["xy"]))
+                    left = np.repeat(full_matrices(np.asarray(rec["xx"])[None, :], size), len(right), axis=0)
+                    coef = solve_systems(left, right, np.asarray(rec["yy"], dtype=float)).coef
                     past = [np.asarray(v, dtype=float) for v in rec["tail"]]
                     at = level.copy()
                     for h in range(steps):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from macrospark.columns import (
-    KEY, ORDER, VALUE, Names, finite, names, onward, ordered, q, upto,
+    KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, upto,
 )
 
 STATS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
@@ -120,8 +120,7 @@ def backward_fill(
     df: DataFrame, key: Names = KEY, order: str = ORDER, value: str = VALUE, output: str | None = None
 ) -> DataFrame:
     """WIN12."""
-    w = onward(ordered(key, order))
-    return df.withColumn(output or value, F.first(q(value), ignorenulls=True).over(w))
+    return df.withColumn(output or value, F.last(q(value), ignorenulls=True).over(back_from_end(key, order)))
 
 
 def fill_both(
@@ -131,7 +130,7 @@ def fill_both(
     w = ordered(key, order)
     return df.withColumn(output or value, F.coalesce(
         F.last(q(value), ignorenulls=True).over(upto(w)),
-        F.first(q(value), ignorenulls=True).over(onward(w))))
+        F.last(q(value), ignorenulls=True).over(back_from_end(key, order))))
 
 
 def fill_within_year(
@@ -151,10 +150,11 @@ def interpolate(
     v = q(value)
     placed = df.withColumn("_pos", F.row_number().over(w))
     known = F.when(v.isNotNull(), F.col("_pos"))
+    back = back_from_end(key, order)
     marked = placed.select(
         "*",
         F.last(v, True).over(upto(w)).alias("_v0"), F.last(known, True).over(upto(w)).alias("_p0"),
-        F.first(v, True).over(onward(w)).alias("_v1"), F.first(known, True).over(onward(w)).alias("_p1"))
+        F.last(v, True).over(back).alias("_v1"), F.last(known, True).over(back).alias("_p1"))
     step = F.try_divide(F.col("_pos") - F.col("_p0"), F.col("_p1") - F.col("_p0"))
     filled = F.coalesce(v, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * step, F.col("_v0"))
     # A row before the first known value has no _v0 and stays null.
