@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, spread_rows, upto
+from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, spread, spread_rows, upto
 from macrospark.constants import SEASON
 from macrospark.functions.scalar import log_positive
 from macrospark.operators.clean import outside
@@ -197,6 +197,48 @@ def apply_decomposition(
                     (F.col("_filled") - (F.col("last_trend") + seasonal)).alias("residual")))
 
 
+def decompose_split(
+    df: DataFrame, split: str, period: int = SEASON, key: Names = KEY, order: str = ORDER, value: str = VALUE
+) -> DataFrame:
+    """TSO1 before the split and TSO3 after it in one pass. Each side is a partition of
+    its own; what the test side needs of the train side (last trend, last seasonal
+    values) comes from windows over the whole series. The rows are shuffled once, by
+    series, instead of once per branch. Adds `is_train` and the three parts."""
+    keys = names(key)
+    side = [*keys, "is_train"]
+    train = F.col("is_train")
+    rows = spread(df, keys).withColumn("is_train", q(order) < F.lit(split).cast(df.schema[order].dataType))
+    parts = decompose(fill_both(rows, side, order, value, "_filled"), period, side, order, "_filled")
+    reverse = Window.partitionBy(*[q(c) for c in side]).orderBy(q(order).desc())
+    parts = parts.select("*", ((F.row_number().over(ordered(side, order)) - 1) % period).alias("_slot"),
+                         F.row_number().over(reverse).alias("_back"))
+    whole = Window.partitionBy(*[q(c) for c in keys])
+    known = train & F.col("trend").isNotNull()
+    last = F.max(F.when(known, F.struct(q(order), F.col("trend")))).over(whole)["trend"]
+    pattern = F.array_sort(F.collect_list(
+        F.when(known & (F.col("_back") <= period), F.struct(q(order), F.col("seasonal")))).over(whole))
+    parts = parts.select("*", last.alias("_last"), pattern.alias("_pattern"))
+    seasonal = F.get("_pattern", F.col("_slot"))["seasonal"]
+    return parts.select(
+        *[q(c) for c in df.columns if c != value], F.when(train, F.col("_filled")).otherwise(q(value)).alias(value), "is_train",
+        F.when(train, F.col("trend")).otherwise(F.col("_last")).alias("trend"),
+        F.when(train, F.col("seasonal")).otherwise(seasonal).alias("seasonal"),
+        F.when(train, F.col("residual")).otherwise(F.col("_filled") - (F.col("_last") + seasonal)).alias("residual"))
+
+
+def flag_split(
+    parts: DataFrame, sigmas: float = 3.0, minimum: int = 10, key: Names = KEY, output: str = "anomaly"
+) -> DataFrame:
+    """TSO6 on the rows of `decompose_split`, without leaving their partitions."""
+    whole = Window.partitionBy(*[q(c) for c in names(key)])
+    fit = F.when(F.col("is_train"), F.col("residual"))
+    marked = parts.select("*", F.avg(fit).over(whole).alias("_m"), F.stddev_samp(fit).over(whole).alias("_s"),
+                          F.count(fit).over(whole).alias("_n"))
+    std = F.when(F.col("_s") == 0, F.lit(1e-6)).otherwise(F.col("_s"))
+    hit = F.coalesce(F.abs(F.col("residual") - F.col("_m")) > sigmas * std, F.lit(False))
+    return marked.withColumn(output, F.when(F.col("_n") >= minimum, hit.cast("int"))).drop("_m", "_s", "_n")
+
+
 def decompose_multiplicative(
     df: DataFrame, period: int = SEASON, key: Names = KEY, order: str = ORDER, value: str = VALUE
 ) -> DataFrame:
