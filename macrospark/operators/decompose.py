@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,17 +80,16 @@ def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None)
     return matrix
 
 
-@lru_cache(maxsize=256)
-def _plain_weights(n: int, span: int, beyond: int) -> np.ndarray:
-    """Weights without robustness, at 0..n-1 and `beyond` positions outside each end."""
-    return _loess_weights(n, span, np.arange(-float(beyond), n + beyond), None)
-
-
-def _smooth(y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None) -> np.ndarray:
+def _smooth(y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None, cache: dict) -> np.ndarray:
+    """Fits at 0..n-1 and `beyond` positions outside each end. Weights without robustness
+    depend on lengths only and are kept in `cache`."""
     n = y.shape[-1]
-    if robust is None:
-        return y @ _plain_weights(n, span, beyond).T
-    return _loess_weights(n, span, np.arange(-float(beyond), n + beyond), robust) @ y
+    at = np.arange(-float(beyond), n + beyond)
+    if robust is not None:
+        return _loess_weights(n, span, at, robust) @ y
+    if (n, span, beyond) not in cache:
+        cache[n, span, beyond] = _loess_weights(n, span, at, None).T
+    return y @ cache[n, span, beyond]
 
 
 def _moving(y: np.ndarray, size: int) -> np.ndarray:
@@ -100,12 +98,12 @@ def _moving(y: np.ndarray, size: int) -> np.ndarray:
 
 
 def stl_arrays(
-    y: np.ndarray, period: int = SEASON, seasonal: int = 13, robust: bool = False
+    y: np.ndarray, period: int = SEASON, seasonal: int = 13, robust: bool = False, cache: dict | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Seasonal and trend by the published STL procedure (Cleveland et al., 1990),
     locally linear at every step. Without robustness `y` may hold many series of one
     length as rows."""
-    n = y.shape[-1]
+    n, cache = y.shape[-1], {} if cache is None else cache
     trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1
     low_span = (period + 1) | 1
     inner, outer = (2, 15) if robust else (5, 0)
@@ -116,10 +114,10 @@ def stl_arrays(
             cycle = np.empty((*y.shape[:-1], n + 2 * period))
             for s in range(period):
                 cycle[..., s::period] = _smooth(
-                    detrended[..., s::period], seasonal, 1, None if care is None else care[s::period])
+                    detrended[..., s::period], seasonal, 1, None if care is None else care[s::period], cache)
             low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None)
-            trend = _smooth(y - season, trend_span, 0, care)
+            season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None, cache)
+            trend = _smooth(y - season, trend_span, 0, care, cache)
         if round_ < outer:
             miss = np.abs(y - season - trend)
             edge = 6 * np.median(miss)
@@ -143,6 +141,7 @@ def decompose_loess(
     parts = ["trend", "seasonal", "residual"]
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
         for pdf in frames:
             filled = [pd.Series(v, dtype=float).ffill().bfill().to_numpy() for v in pdf["_y"]]
             made: dict[str, list] = {p: [np.full(len(y), np.nan) for y in filled] for p in parts}
@@ -152,7 +151,7 @@ def decompose_loess(
                     groups.setdefault(-i - 1 if robust else len(y), []).append(i)
             for rows in groups.values():
                 block = np.stack([filled[i] for i in rows])
-                season, trend = stl_arrays(block[0] if robust else block, period, seasonal, robust)
+                season, trend = stl_arrays(block[0] if robust else block, period, seasonal, robust, cache)
                 season, trend = np.atleast_2d(season), np.atleast_2d(trend)
                 for at, i in enumerate(rows):
                     made["trend"][i], made["seasonal"][i] = trend[at], season[at]
