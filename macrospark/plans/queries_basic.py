@@ -11,7 +11,7 @@ from macrospark.operators import clean as C, joins as J, stats as A, windows as
 from macrospark.operators.decompose import decompose, decomposition_params
 from macrospark.plans.catalogue import d, query, r
 from macrospark.plans.driver_tables import (
-    DIRTY, ECONOMY, EVENTS, MEMBERS, OBS, PANEL, PART_OBS, PRIORITIES, SPLIT, VINTAGES,
+    DIRTY, ECONOMY, MEMBERS, OBS, PANEL, PART_OBS, PRIORITIES, SPLIT, VINTAGES,
     dirty, economy, event_obs, obs, panel, part_obs, table, vintages,
 )
 from macrospark.session import scratch_path
