@@ -35,4 +35,3 @@ def test_entry(spark):
 def test_contract():
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(queries)
-    assert not [n for n in queries if n.startswith("op") and n[2:3].isdigit()]
