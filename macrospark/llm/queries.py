@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from macrospark.llm import decontamination, line_dedup, mixing, quality_rules, sharding, simhash, substring_dedup
+from macrospark.llm import decontamination, language, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash, substring_dedup
 from macrospark.llm.common import table
 from macrospark.plans.catalogue import Query
 
@@ -52,3 +52,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_edit_windows")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_licence_paragraphs")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_evidence")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
