@@ -1,8 +1,8 @@
 """Substring dedup: windows of 13 words that occur in an earlier document are cut out.
 
 Every window of every document is hashed (Rabin-Karp) and sent, as part of a packed array, to the bucket of a second
-hash. There, equal windows meet and the smallest doc_id that holds one is found; the other documents get the hash
-back, look it up among their own windows, merge what it covers into intervals, and drop those words.
+hash. There, equal windows meet and the smallest doc_id that holds one is found; the hash goes back, packed again, to the
+other documents, which look it up among their own windows, merge what it covers into intervals, and drop those words.
 
 What is compared is the 64-bit hash within the bucket of an independent one, 64 + log2(buckets) bits in all; with 10^8 windows
 the chance that any two different ones are taken for the same is about 10^-5.
@@ -27,8 +27,8 @@ WIDTH = 13
 #: Windows sorted together before they are sent.
 CHUNK = 1 << 20
 
-_SENT = "bucket int, docs binary, counts binary, hashes binary"
-_REPLY = "doc_id bigint, hashes binary"
+#: Windows travel packed: of each document in `docs`, `counts` of the `hashes`, in order.
+_PACKED = "bucket int, docs binary, counts binary, hashes binary"
 
 
 def _of_texts(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +47,27 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
 
 
-def _replies(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, packed hashes) from rows of both."""
-    order = np.argsort(docs, kind="stable")
-    docs, hashes = docs[order], hashes[order]
-    cuts = _runs(docs)
+def _packed(bucket: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per bucket from rows of (bucket, document, hash)."""
+    order = np.lexsort((docs, bucket))
+    bucket, docs, hashes = bucket[order], docs[order], hashes[order]
+    cuts, rows = _runs(bucket), []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(docs[a]), hashes[a:b].tobytes()
+        own = _runs(docs[a:b])
+        rows.append((int(bucket[a]), docs[a:b][own[:-1]].tobytes(), np.diff(own).astype(np.int32).tobytes(), hashes[a:b].tobytes()))
+    for at in range(0, len(rows), 4096):
+        cols = list(zip(*rows[at:at + 4096]))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                                         ["bucket", "docs", "counts", "hashes"])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes, a row for each hash."""
+    docs, hashes = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for d, c, x in zip(*[table.column(k).to_pylist() for k in ("docs", "counts", "hashes")]):
+        docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)))
+        hashes.append(np.frombuffer(x, np.uint64))
+    return np.concatenate(docs), np.concatenate(hashes)
 
 
 def _later(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,22 +86,13 @@ def _later(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smallest, later
 
 
-def _sender(width: int, buckets: int):
+def _sender(width: int, buckets: int, homes: int):
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, g, docs = (np.concatenate(x) for x in zip(*parts))
         smallest, later = _later(h, docs)
-        rows = [(-1, np.int64(d).tobytes(), np.int32(len(x) // 8).tobytes(), x) for d, x in _replies(docs[later], h[later])]
-        h, docs, bucket = h[smallest], docs[smallest], (g[smallest] % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((docs, bucket))
-        h, docs, bucket = h[order], docs[order], bucket[order]
-        cuts = _runs(bucket)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = _runs(docs[a:b])
-            rows.append((int(bucket[a]), docs[a:b][own[:-1]].tobytes(), np.diff(own).astype(np.int32).tobytes(), h[a:b].tobytes()))
-        for at in range(0, len(rows), 4096):
-            cols = list(zip(*rows[at:at + 4096]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                             ["bucket", "docs", "counts", "hashes"])
+        # replies share the exchange, under negative bucket numbers
+        yield from _packed((-1 - docs[later] % homes).astype(np.int32), docs[later], h[later])
+        yield from _packed((g[smallest] % np.uint64(buckets)).astype(np.int32), docs[smallest], h[smallest])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -107,66 +112,57 @@ def _sender(width: int, buckets: int):
     return send
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """Of one bucket: the hashes each document must hear about."""
-    docs, h = [], []
-    for d, c, x in zip(*[group.column(k).to_pylist() for k in ("docs", "counts", "hashes")]):
-        docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)))
-        h.append(np.frombuffer(x, np.uint64))
-    docs, h = np.concatenate(docs), np.concatenate(h)
-    _, later = _later(h, docs)
-    rows = list(_replies(docs[later], h[later]))
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "hashes"])
+def _meet(homes: int):
+    """Of one bucket: what each document must hear about, packed by the home bucket of the documents."""
+    def meet(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return group.set_column(0, "bucket", pa.array(np.full(len(group), -1 - bucket, np.int32)))
+        docs, h = _unpacked(group)
+        _, later = _later(h, docs)
+        out = list(_packed((docs[later] % homes).astype(np.int32), docs[later], h[later]))
+        return pa.Table.from_batches(out) if out else group.slice(0, 0)
 
+    return meet
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and packed hashes of the windows that a smaller doc_id also holds; several rows for a document."""
-    buckets = 2 * tasks(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = rows.mapInArrow(_sender(width, buckets), _SENT)
-    # one pass over the texts feeds both kinds of rows: replies travel under bucket numbers of their own
-    spread = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("docs"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int"))
 
-    def meet(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() >= 0:
-            return _settle(group)
-        ids = pa.array(np.frombuffer(b"".join(group.column("docs").to_pylist()), np.int64))
-        return pa.table([ids, group.column("hashes").combine_chunks().cast(pa.binary())], ["doc_id", "hashes"])
+def repeated_windows(rows: DataFrame, width: int, homes: int) -> DataFrame:
+    """Packed hashes of the windows that a smaller doc_id also holds; bucket is doc_id modulo `homes`."""
+    sent = rows.where("doc_id IS NOT NULL").mapInArrow(_sender(width, 2 * tasks(rows.sparkSession), homes), _PACKED)
+    return sent.groupBy("bucket").applyInArrow(_meet(homes), _PACKED)
 
-    return spread.groupBy("bucket").applyInArrow(meet, _REPLY)
+
+_CUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<from: int, to: int>>, kept string"
 
 
 def _cutter(width: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in slices(batch, "text"):
-                texts = some.column("text").cast(pa.large_binary())
-                total, removed, shas, spans, left = [], [], [], [], []
-                for text, replies in zip(texts, some.column("replies")):
-                    raw = text.as_py()
-                    found = (raw or b"").split()
-                    gone: list[tuple[int, int]] = []
-                    if replies.is_valid and len(replies) and len(found) >= width:
-                        data = np.frombuffer(raw, np.uint8)
-                        hashed, _ = word_hashes(data, np.array([0, len(data)]))
-                        told = np.frombuffer(b"".join(replies.as_py()), np.uint64)
-                        gone = intervals(np.flatnonzero(np.isin(window_hashes(hashed, width, WINDOW_BASES[0]), told)), width)
-                    stay, at = [], 0
-                    for a, b in gone:
-                        stay += found[at:a]
-                        at = b
-                    stay += found[at:]
-                    whole = b" ".join(stay)
-                    total.append(len(found))
-                    removed.append(len(found) - len(stay))
-                    shas.append(hashlib.sha256(whole).hexdigest())
-                    spans.append([{"from": a, "to": b} for a, b in gone])
-                    left.append(raw if raw is None or not gone else whole)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
-                     pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))),
-                     pa.array(left, pa.binary()).cast(pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
+    def cut(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        docs, told = _unpacked(replies)
+        order = np.argsort(docs, kind="stable")
+        docs, told = docs[order], told[order]
+        total, removed, shas, spans, left = [], [], [], [], []
+        for doc, text in zip(texts.column("doc_id"), texts.column("text").cast(pa.large_binary())):
+            raw = text.as_py()
+            found = (raw or b"").split()
+            gone: list[tuple[int, int]] = []
+            mine = told[np.searchsorted(docs, doc.as_py(), "left"):np.searchsorted(docs, doc.as_py(), "right")] if doc.is_valid else told[:0]
+            if len(mine):
+                hashed, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                gone = intervals(np.flatnonzero(np.isin(window_hashes(hashed, width, WINDOW_BASES[0]), mine)), width)
+            stay, at = [], 0
+            for a, b in gone:
+                stay += found[at:a]
+                at = b
+            stay += found[at:]
+            whole = b" ".join(stay)
+            total.append(len(found))
+            removed.append(len(found) - len(stay))
+            shas.append(hashlib.sha256(whole).hexdigest())
+            spans.append([{"from": a, "to": b} for a, b in gone])
+            left.append(whole if gone else raw)
+        return pa.table([texts.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
+                         pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), pa.array(left, pa.binary()).cast(pa.string())],
+                        ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept"])
 
     return cut
 
@@ -186,10 +182,11 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     A null text has no words and stays null. A document of fewer than 13 words has no window. Rows without
     doc_id stay whole and are nobody's earlier copy. Rows that share a doc_id are one document: none removes from the other, and what one
     loses the other loses where it has it. No document: no row."""
-    told = repeated_windows(docs, width).groupBy("doc_id").agg(F.collect_list("hashes").alias("replies"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(told, "doc_id", "left")
-    out = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<from: int, to: int>>, kept string"
-    return rows.mapInArrow(_cutter(width), out)
+    homes = 2 * tasks(docs.sparkSession) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = repeated_windows(rows, width, homes)
+    home = F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(homes)).cast("int")
+    return rows.withColumn("home", home).groupBy("home").cogroup(told.groupBy("bucket")).applyInArrow(_cutter(width), _CUT)
 
 
 def digest(docs: DataFrame) -> DataFrame:
