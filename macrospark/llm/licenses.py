@@ -62,8 +62,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """line, label (number in CLASSES) and held (set aside for calibration) made from `rows` paragraphs with the smallest hashes."""
-    drawn = paragraphs(docs).select("line").where(~F.lower("line").rlike("licen[cs]e|rights reserved|public domain"))
+    """line, label (number in CLASSES) and held (set aside for calibration) made from up to `rows` paragraphs. They are those with
+    the smallest hashes among the paragraphs of documents drawn by a hash, some `rows` / 4 of them, so that only these are sorted."""
+    share = min(1.0, rows / 4 / max(1, docs.count()))
+    chosen = docs.where(F.pmod(F.xxhash64(F.lit("licence"), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    drawn = paragraphs(chosen).select("line").where(~F.lower("line").rlike("licen[cs]e|rights reserved|public domain"))
     drawn = drawn.withColumn("h", F.xxhash64("line")).orderBy("h", "line").limit(rows)
     dice = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "h"), F.lit(n)).cast("int")
     flat = [(CLASSES.index(f), t) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
