@@ -49,7 +49,8 @@ def back_from_end(key: Names, order: Names) -> WindowSpec:
 
 
 def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return int(given) if given.isdigit() else df.sparkSession.sparkContext.defaultParallelism
 
 
 def spread(df: DataFrame, key: Names) -> DataFrame:

@@ -23,17 +23,8 @@ def fit_standard(df: DataFrame, columns: Sequence[str]) -> Scale:
     return {c: (row[f"m_{c}"] or 0.0, _safe(row[f"s_{c}"])) for c in columns}
 
 
-# Up to this many rows the exact percentiles of all columns are taken in one
-# aggregation, whose buffer then has a known bound.
-PERCENTILE_ROWS = 500_000
-
-
 def fit_robust(df: DataFrame, columns: Sequence[str]) -> Scale:
-    """MLO1: exact median and interquartile range per column. Larger frames go through
-    `exact_quantiles`, which never holds a column in one task."""
-    if df.count() <= PERCENTILE_ROWS:
-        row = df.agg(*[F.percentile(q(c).cast("double"), [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
-        return {c: (row[c][1], _safe(row[c][2] - row[c][0])) if row[c] else (0.0, 1.0) for c in columns}
+    """MLO1: exact median and interquartile range per column. No column is held in one task."""
     long = df.select(*[q(c).cast("double").alias(c) for c in columns]).unpivot(
         [], [q(c) for c in columns], "column", "value")
     found = {r["column"]: r for r in exact_quantiles(long, "value", [0.25, 0.5, 0.75], "column").collect()}

@@ -172,6 +172,8 @@ def ema(
         placed = df.withColumn("_t", F.row_number().over(ordered(key, order)) - 1)
     else:
         placed = row_index(df, order, key, block, "_t")
+    # 1 / decay^j must stay finite within a chunk
+    size = max(1, min(size, int(600 / -math.log(decay))))
     placed = (placed.withColumn("_chunk", F.floor(F.col("_t") / size))
               .withColumn("_j", F.col("_t") % size)
               .withColumn("_u", F.when(F.col("_t") == 0, q(value)).otherwise(q(value) * (1.0 - decay))))
@@ -188,6 +190,6 @@ def ema(
     carry = ends.select(*[q(c) for c in keys], "_chunk", folded.alias("_carry"))
     return (local.join(carry, [*keys, "_chunk"])
             .withColumn(name, F.col("_local") + F.pow(F.lit(decay), F.col("_j") + 1.0) * F.col("_carry"))
-            .select(*[q(c) for c in df.columns], name))
+            .select(*[q(c) for c in df.columns], q(name)))
 
 

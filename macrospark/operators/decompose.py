@@ -12,7 +12,6 @@ from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite,
 from macrospark.constants import SEASON
 from macrospark.functions.scalar import log_positive
 from macrospark.operators.clean import outside
-from macrospark.operators.udf import require_bounded
 from macrospark.operators.windows import fill_both
 
 PARTS = ["trend", "seasonal", "residual"]
@@ -130,13 +129,13 @@ def decompose_loess(
     df: DataFrame, period: int = SEASON, seasonal: int = 13, robust: bool = False,
     key: Names = KEY, order: str = ORDER, value: str = VALUE,
 ) -> DataFrame:
-    """TSO2: LOESS decomposition. Each monthly series, its length checked first, is
+    """TSO2: LOESS decomposition. Each period-grained series, as long as the calendar, is
     packed into one row of arrays; Arrow batches of many series are decomposed
     together by length and taken apart again in the JVM."""
     keys = names(key)
     by = [q(c) for c in keys]
     points = F.array_sort(F.collect_list(F.struct(q(order), q(value).cast("double").alias("_v"))))
-    packed = require_bounded(df, keys).groupBy(*by).agg(points.alias("_p"))
+    packed = df.groupBy(*by).agg(points.alias("_p"))
     packed = spread_rows(packed.select(*by, F.col(f"_p.{order}").alias("_at"), F.col("_p._v").alias("_y")), keys)
     parts = ["trend", "seasonal", "residual"]
 

@@ -12,6 +12,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from macrospark.columns import KEY, Names, finite, names, q
+from macrospark.session import cut_lineage
+
+#: Sketches (some hundred bytes each) of up to so many keys are broadcast.
+BROADCAST_KEYS = 10_000
 
 
 def exact_quantiles(
@@ -32,7 +36,12 @@ def exact_quantiles(
     edges = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
     sketch = rows.groupBy(*[q(c) for c in by]).agg(
         F.percentile_approx("_v", edges, accuracy).alias("_edges"), F.count(F.lit(1)).alias("_total"))
-    marked = rows.join(sketch, by)
+    if not keys:  # one row of known size
+        marked = rows.join(F.broadcast(sketch), by)
+    else:  # one row per key: sent to the rows where they are few, else Spark deals both sides and splits hot keys
+        sketch = cut_lineage(sketch)
+        few = sketch.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        marked = rows.join(F.broadcast(sketch), by) if few else rows.join(sketch.hint("merge"), by)
 
     def bucket(i: int) -> Column:
         lo, hi = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
@@ -53,6 +62,8 @@ def exact_quantiles(
 
     ends = ranked.withColumn("_at", at).groupBy(*[q(c) for c in by], "_p").agg(
         holds(F.floor("_at")).alias("_low"), holds(F.ceil("_at")).alias("_high"), F.max("_at").alias("_at"))
+    missed = F.raise_error(F.lit("a rank fell outside its bracket"))
+    ends = ends.withColumn("_low", F.coalesce("_low", missed)).withColumn("_high", F.coalesce("_high", missed))
     blend = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
     return (ends.withColumn("_q", blend).groupBy(*[q(c) for c in by])
             .agg(*[F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))])

@@ -5,27 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from macrospark.columns import Names, names, q, spread
 
-# A daily series of a century has 36,525 rows.
-SERIES_ROWS = 100_000
-
-
-def require_bounded(df: DataFrame, key: Names, limit: int = SERIES_ROWS) -> DataFrame:
-    """The frame itself, once its largest series is counted to fit one task. A longer
-    series is an error and not cut: use `operators.blocks`, or a coarser period."""
-    largest = df.groupBy(*[q(c) for c in names(key)]).count().agg(F.max("count")).first()[0]
-    if largest is not None and largest > limit:
-        raise ValueError(f"a series has {largest} rows, over {limit}: use time blocks or a coarser period")
-    return df
-
-
 def apply_per_series(
     df: DataFrame, key: Names, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str | None = None
 ) -> DataFrame:
-    """UDF1: `fn` on each series as a pandas frame, moved by Arrow. Series lengths are
-    checked first; prefer window expressions where they can say the same. The schema
+    """UDF1: `fn` on each series as a pandas frame, moved by Arrow. Meant for period-grained
+    series, which the calendar bounds; fold raw readings to periods first, or use
+    `operators.blocks`. Prefer window expressions where they can say the same. The schema
     is the input's unless given."""
-    return spread(require_bounded(df, key), key).groupBy(*[q(c) for c in names(key)]).applyInPandas(fn, schema if schema is not None else df.schema)
+    return spread(df, key).groupBy(*[q(c) for c in names(key)]).applyInPandas(fn, schema if schema is not None else df.schema)

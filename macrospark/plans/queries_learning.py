@@ -179,12 +179,15 @@ def _compare(spark: Spark, sf: str) -> DataFrame:
 
 @query("mlo16_what_if")
 def _what_if(spark: Spark, sf: str) -> DataFrame:
-    frame = cut_lineage(_frame(spark, sf))
-    chain = M.RegressorChain(FEATURES, TARGETS[:2], SMALL).fit(frame)
-    # The last known row of each series with one edited indicator, next month.
-    edited = (J.last_row(frame.select(*IDS, *[q(c) for c in [*FEATURES, *TARGETS[:2]]]))
-              .withColumn("date", F.add_months("date", 1)).withColumn("CPI", q("CPI") * 1.1))
-    return chain.transform(edited).select(*IDS, *[percent_to_share(q(f"pred_{t}")).alias(f"share_{t}") for t in TARGETS[:2]])
+    chain = M.RegressorChain(FEATURES, TARGETS[:2], SMALL).fit(cut_lineage(_frame(spark, sf)))
+    # The last row of each series with one edited indicator is appended as the next month,
+    # and the lags are worked out over the longer panel.
+    wide = cut_lineage(economy_targets(spark, sf))
+    edited = J.last_row(wide).withColumn("date", F.add_months("date", 1)).withColumn("CPI", q("CPI") * 1.1)
+    panel = wide.unionByName(edited.select(*[q(c) for c in wide.columns]))
+    for c in ("recession_probability", "CPI", "INDPRO"):
+        panel = W.lags(panel, [1], value=c)
+    return chain.transform(J.last_row(panel)).select(*IDS, *[percent_to_share(q(f"pred_{t}")).alias(f"share_{t}") for t in TARGETS[:2]])
 
 
 @query("snk5_saved_model")

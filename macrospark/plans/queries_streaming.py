@@ -14,10 +14,13 @@ from macrospark.streaming import jobs as J
 
 Spark = SparkSession
 
+#: A table of very many files is taken in batches of so many.
+FILES_PER_BATCH = 1000
+
 
 def _stream(spark: Spark, sf: str, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
 
 
@@ -49,8 +52,8 @@ def _refresh(spark: Spark, sf: str) -> DataFrame:
  FROM events GROUP BY 1, 2""")
 def _monthly(spark: Spark, sf: str) -> DataFrame:
     target = scratch_path(spark, "means")
-    _finish(J.monthly_mean_stream(_events(spark, sf), "ts"), spark, J.land_updates(target), "update")
-    return J.read_updates(spark, target, ["series_id", "month_start"])
+    _finish(_events(spark, sf), spark, J.land_monthly_sums(target, "ts"))
+    return J.read_monthly_means(spark, target)
 
 
 @query("str3_vintage_upsert", f"""WITH x AS (SELECT o_custkey AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value, o_orderkey AS revision,
@@ -76,7 +79,7 @@ def _scoring(spark: Spark, sf: str) -> DataFrame:
     return spark.read.parquet(target).select("event_id", "value", "anomaly")
 
 
-@query("str5_latest_values", f"""SELECT event_type AS series_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, {r('arg_max(value, ts)', 'value')} FROM events GROUP BY 1""")
+@query("str5_latest_values", f"""SELECT event_type AS series_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts, {r('max(value) FILTER (WHERE ts = last)', 'value')} FROM (SELECT *, max(ts) OVER (PARTITION BY event_type) AS last FROM events) GROUP BY 1""")
 def _latest(spark: Spark, sf: str) -> DataFrame:
     target = scratch_path(spark, "latest")
     _finish(J.latest_stream(_events(spark, sf), "ts"), spark, J.land_updates(target), "update")

@@ -27,11 +27,14 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: `spark.checkpoint.dir` when the cluster
-    names one. A temporary folder is made only where it is unset (local runs)."""
+    """Folder all executors can reach: `spark.checkpoint.dir`. Where it is unset, a session
+    of one process gets a temporary folder; a cluster must name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="macrospark-")

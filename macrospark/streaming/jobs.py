@@ -67,16 +67,23 @@ def read_updates(spark: SparkSession, target: str, key: Names) -> DataFrame:
     return picked.select(*[q(c) for c in names(key)], *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def monthly_mean_stream(
-    stream: DataFrame, ts: str, lateness: str = "45 days", key: Names = KEY, value: str = VALUE
-) -> DataFrame:
-    """STR2: running monthly mean, one state row per series and month. The watermark
-    rides on the month's first day and must exceed a month plus the publication lag;
-    a month closes only when it is that old."""
-    staged = (stream.withColumn("month_start", F.date_trunc("month", q(ts).cast("timestamp")))
-              .withWatermark("month_start", lateness))
-    return (staged.groupBy(*[q(c) for c in names(key)], F.col("month_start"))
-            .agg(F.avg(q(value)).alias(value), F.count(q(value)).alias("n")))
+def land_monthly_sums(target: str, ts: str, key: Names = KEY, value: str = VALUE) -> Callable[[DataFrame, int], None]:
+    """STR2: batch function that lands sum and count per series and month of each batch in
+    a folder of its own. No state is kept, so a month takes readings however late they
+    come, and a replayed batch overwrites its own sums only."""
+    def land(batch: DataFrame, batch_id: int) -> None:
+        month = F.date_trunc("month", q(ts).cast("timestamp")).alias("month_start")
+        sums = batch.groupBy(*[q(c) for c in names(key)], month).agg(
+            F.sum(q(value)).alias("_sum"), F.count(q(value)).alias("_n"))
+        sums.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return land
+
+
+def read_monthly_means(spark: SparkSession, target: str, key: Names = KEY, value: str = VALUE) -> DataFrame:
+    """STR2: monthly means over all landed batches; null for a month without values."""
+    landed = spark.read.parquet(target).groupBy(*[q(c) for c in names(key)], "month_start")
+    return landed.agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias(value), F.sum("_n").alias("n"))
 
 
 def append_vintages(
@@ -109,7 +116,9 @@ def score_stream(stream: DataFrame, bounds: DataFrame, key: Names = KEY, value:
     return flag_values(stream, bounds, key, value)
 
 
-def latest_stream(stream: DataFrame, ts: str, key: Names = KEY, value: str = VALUE) -> DataFrame:
-    """STR5: newest value per series as running state; use update or complete mode."""
-    return stream.groupBy(*[q(c) for c in names(key)]).agg(
-        F.max(q(ts)).alias(ts), F.max_by(q(value), q(ts)).alias(value))
+def latest_stream(stream: DataFrame, ts: str, key: Names = KEY, value: str = VALUE, ties: Names = ()) -> DataFrame:
+    """STR5: newest value per series as running state; use update or complete mode. Of
+    readings of one time the largest in `ties` counts, and then the largest value."""
+    newest = F.max(F.struct(q(ts), *[q(c) for c in names(ties)], q(value).alias("_value")))
+    picked = stream.groupBy(*[q(c) for c in names(key)]).agg(newest.alias("_last"))
+    return picked.select(*[q(c) for c in names(key)], F.col("_last")[ts].alias(ts), F.col("_last._value").alias(value))

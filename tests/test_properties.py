@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from macrospark.functions import scalar as S
 from macrospark.operators import blocks as B, clean as C, decompose as D, forecast as T, joins as J, quantiles as Q
 from macrospark.operators import quality as DQ, stats as A, windows as W
-from macrospark.operators.udf import apply_per_series
 from macrospark.plans import pipelines as P
 
 
@@ -260,10 +259,23 @@ def test_split_and_outside(series):
     assert C.varying_series(df, df).select("series_id").distinct().collect()[0][0] == "a"
 
 
-def test_long_series_is_refused(spark):
-    df = spark.range(200_000).select(F.lit("a").alias("series_id"), F.col("id").alias("value"))
-    with pytest.raises(ValueError, match="time blocks"):
-        apply_per_series(df, "series_id", lambda pdf: pdf)
+def test_steep_means_and_odd_spans(series):
+    df = series({"a": [float(i % 7) for i in range(300)]})
+    got = [r[0] for r in B.ema(df, 1.003, "date").orderBy("date").select("`value_ema1.003`").collect()]
+    want, alpha = 0.0, 2 / 2.003
+    for i, x in enumerate(got):
+        want = (i % 7) if i == 0 else alpha * (i % 7) + (1 - alpha) * want
+        assert x == pytest.approx(want)
+
+
+def test_quantiles_leave_raw_rows_in_place(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 5000).cast("double").alias("v"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole = plan(Q.exact_quantiles(rows, "v", [0.5], accuracy=100))
+    assert "rightHint=(strategy=broadcast)" in whole and "leftHint" not in whole
+    got = {r["k"]: r["q0"] for r in Q.exact_quantiles(rows, "v", [0.5], ["k"], accuracy=100).collect()}
+    want = rows.toPandas().groupby("k")["v"].median().to_dict()
+    assert got == want
 
 
 # --- forecasting -------------------------------------------------------------------------------

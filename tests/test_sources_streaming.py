@@ -104,12 +104,29 @@ def test_monthly_means_take_late_rows(spark, folder, tmp_path):
     for extra in (None, LATER):
         if extra:
             land(spark, folder, extra)
-        run(J.monthly_mean_stream(J.landed_files(spark, folder, SCHEMA), "ts"), J.land_updates(target), progress, "update")
-    out = {(r["series_id"], r["month_start"].month): (r["value"], r["n"]) for r in
-           J.read_updates(spark, target, ["series_id", "month_start"]).collect()}
+        run(J.landed_files(spark, folder, SCHEMA), J.land_monthly_sums(target, "ts"), progress)
+    out = {(r["series_id"], r["month_start"].month): (r["value"], r["n"]) for r in J.read_monthly_means(spark, target).collect()}
     assert out == {("a", 1): (3.0, 3), ("a", 2): (7.0, 1), ("b", 1): (15.0, 2)}
 
 
+def test_no_month_is_too_late(spark, tmp_path):
+    """One file per batch, months far out of order."""
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for month in (6, 5, 1, 2, 6):
+        rows = [("a", dt.datetime(2024, month, 3), float(month))]
+        spark.createDataFrame(rows, "series_id string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(folder)
+        run(J.landed_files(spark, folder, "series_id string, ts timestamp, value double", files_per_batch=1),
+            J.land_monthly_sums(target, "ts"), str(tmp_path / "progress"))
+    got = {r["month_start"].month: (r["value"], r["n"]) for r in J.read_monthly_means(spark, target).collect()}
+    assert got == {1: (1.0, 1), 2: (2.0, 1), 5: (5.0, 1), 6: (6.0, 2)}
+
+
+def test_equal_times_are_decided(spark):
+    rows = [("a", dt.datetime(2024, 1, 1), 1.0, 5), ("a", dt.datetime(2024, 1, 1), 9.0, 4), ("a", dt.datetime(2023, 1, 1), 99.0, 9)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, value double, rank int")
+    assert J.latest_stream(df, "ts").first()["value"] == 9.0 and J.latest_stream(df, "ts", ties="rank").first()["value"] == 1.0
+
+
 def test_new_vintages_replace_old(spark, folder, tmp_path):
     target, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     key = ["series_id", "ts"]
