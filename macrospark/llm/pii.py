@@ -192,9 +192,10 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     maps = found.join(book, "entity").groupBy("mark").agg(
         F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_book"),
         F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_names"))
-    # as a table of its own, so that Spark may split the rows of a text that has very many copies
+    # as a table of its own, so that Spark may split the rows of a text that has very many copies; it grows with
+    # the corpus and is dealt at every size
     maps = kept(maps.withColumnRenamed("mark", "_mark"), "pii-maps")
-    joined = base.withColumn("_mark", mark).join(maps, "_mark", "left")
+    joined = base.withColumn("_mark", mark).join(maps.hint("merge"), "_mark", "left")
 
     def rewritten(entities: Column) -> Column:
         pieces = F.split("text", ENTITY, -1)
