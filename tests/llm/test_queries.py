@@ -36,10 +36,11 @@ def test_empty_tables(spark, corpus, tmp_path, name):
 
 def test_pipeline(spark, corpus, tmp_path):
     path = _tables(spark, corpus, tmp_path / "t")
-    docs = corpus
-    for _, stage in STAGES[:-1]:
-        left = stage(spark, docs, path)
-        assert left.columns == docs.columns
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, path).write.parquet(f"{path}/stage-{k}")  # written and read again, as in a run
+        left = spark.read.parquet(f"{path}/stage-{k}")
+        assert left.columns == docs.columns and left.count() > 0
         docs = left
     rows = STAGES[-1][1](spark, docs, path).collect()
     assert len(rows) == docs.count() > 0
