@@ -1,24 +1,27 @@
-"""Window work on long series, in time blocks.
+"""Window work on long series, in blocks.
 
 A plain window puts a whole series into one task. That is right for monthly
 series and wrong for raw events, where one series may hold a third of all rows.
-Here a series is cut into blocks by a column that grows with time (day, month,
-...). The heavy work is partitioned by (key, block); what crosses a block border
-is carried by one small row per block, or by copies of the few border rows.
+Here a series is cut into blocks by a column that grows with time: a calendar unit,
+or ranges of equal row counts, whose number follows the session's tasks. The heavy
+work is partitioned by (key, block); what crosses a block border is carried by one
+small row per block, or by copies of the few border rows.
 
 Keys and blocks must not be null."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from macrospark.columns import KEY, VALUE, Names, back_from_end, before, names, ordered, q, upto
 
 BLOCK = "block"
-UNITS = ["year", "quarter", "month", "day", "hour", "minute", "second"]
+#: Chunks whose means are carried on together.
+GROUP = 1024
 
 
 def add_block(df: DataFrame, order: str, unit: str) -> DataFrame:
@@ -26,14 +29,26 @@ def add_block(df: DataFrame, order: str, unit: str) -> DataFrame:
     return df.withColumn(BLOCK, F.date_trunc(unit, q(order)))
 
 
-def choose_unit(df: DataFrame, order: str, target_rows: int, key: Names = KEY) -> str:
-    """Coarsest calendar unit whose largest block stays within `target_rows`."""
-    for unit in UNITS[:-1]:
-        largest = (add_block(df, order, unit).groupBy(*[q(c) for c in names(key)], BLOCK).count()
-                   .agg(F.max("count")).first()[0])
-        if largest is None or largest <= target_rows:
-            return unit
-    return UNITS[-1]
+def _as_number(df: DataFrame, order: str) -> Column:
+    """A number that rises with a time or number."""
+    kind, c = dict(df.dtypes)[order], q(order)
+    if kind not in ("date", "timestamp_ntz"):
+        return c.cast("double")
+    day = F.unix_date(c.cast("date")) * F.lit(86400.0)
+    return day if kind == "date" else day + F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c)
+
+
+def add_range_block(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """Block column: `order` (a time or a number) cut into `blocks` ranges of about equally many rows, twice the
+    session's shuffle partitions unless given, so that blocks grow in number with the data and not in size.
+
+    The edges are quantiles of all rows, from a sketch of that one column; however many rows a series holds, none of
+    its blocks has more than all rows / `blocks`, but for readings of one instant, which stay together."""
+    if blocks is None:
+        blocks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = df.withColumn("_at", _as_number(df, order).cast("double"))
+    cutter = QuantileDiscretizer(numBuckets=max(2, blocks), inputCol="_at", outputCol=BLOCK, relativeError=0.1 / max(2, blocks))
+    return cutter.fit(at.select("_at")).transform(at).withColumn(BLOCK, F.col(BLOCK).cast("int")).drop("_at")
 
 
 def _carried(per_block: DataFrame, keys: list[str], block: str, **carry: Column) -> DataFrame:
@@ -154,42 +169,62 @@ def in_blocks(
 
 
 def ema(
-    df: DataFrame, span: float, order: Names, key: Names = KEY, value: str = VALUE,
-    output: str | None = None, block: str | None = None, size: int = 128,
+    df: DataFrame, span: float | Sequence[float], order: Names, key: Names = KEY, value: str = VALUE,
+    output: str | Sequence[str] | None = None, block: str | None = None, size: int = 128,
 ) -> DataFrame:
-    """WIN7: exponential mean, alpha = 2 / (span + 1), seeded by the first value.
+    """WIN7: exponential mean, alpha = 2 / (span + 1), seeded by the first value; one column per span.
 
     ema = local + (1-alpha)^(j+1) * carry, where local is a weighted running sum in
     a chunk of `size` rows and carry the ema at the end of the chunk before. Without
-    `block` the position comes from one window per series; with it from block counts.
+    `block` the position comes from one window per series; with it from block counts, and
+    the ends of chunks are themselves carried in groups, so that no task sees all of them.
     Values must not be null (fill first)."""
     keys = names(key)
-    decay = 1.0 - 2.0 / (span + 1.0)
-    name = output or f"{value}_ema{span:g}"
-    if decay <= 0:
-        return df.withColumn(name, q(value).cast("double"))
+    by = [q(c) for c in keys]
+    spans = [span] if isinstance(span, (int, float)) else list(span)
+    outputs = [f"{value}_ema{s:g}" for s in spans] if output is None else names(output)
+    decays = {n: 1.0 - 2.0 / (s + 1.0) for n, s in zip(outputs, spans)}
+    slow = {n: d for n, d in decays.items() if d > 0}
+    plain = df.withColumns({n: q(value).cast("double") for n, d in decays.items() if d <= 0})
+    if not slow:
+        return plain
     if block is None:
-        placed = df.withColumn("_t", F.row_number().over(ordered(key, order)) - 1)
+        placed = plain.withColumn("_t", F.row_number().over(ordered(key, order)) - 1)
     else:
-        placed = row_index(df, order, key, block, "_t")
+        placed = row_index(plain, order, key, block, "_t")
     # 1 / decay^j must stay finite within a chunk
-    size = max(1, min(size, int(600 / -math.log(decay))))
-    placed = (placed.withColumn("_chunk", F.floor(F.col("_t") / size))
-              .withColumn("_j", F.col("_t") % size)
-              .withColumn("_u", F.when(F.col("_t") == 0, q(value)).otherwise(q(value) * (1.0 - decay))))
-    weight = F.pow(F.lit(decay), F.col("_j").cast("double"))
+    size = max(1, min(size, *[int(600 / -math.log(d)) for d in slow.values()]))
+    placed = placed.withColumn("_chunk", F.floor(F.col("_t") / size)).withColumn("_j", (F.col("_t") % size).cast("double"))
+    fade = lambda d, rows: F.pow(F.lit(d), rows.cast("double"))
     w = upto(ordered([*keys, "_chunk"], "_t"))
-    local = placed.withColumn("_local", weight * F.sum(F.col("_u") / weight).over(w))
-    ends = local.groupBy(*[q(c) for c in keys], "_chunk").agg(
-        F.max_by("_local", "_t").alias("_local"), F.count(F.lit(1)).alias("_n"))
-    # Earlier chunks fade by their distance in rows; those beyond 1e-320 add nothing.
-    reach = max(1, int(737 / (-math.log(decay) * size)) + 2)
-    chunk_window = ordered(keys, "_chunk")
-    steps = F.collect_list(F.struct("_local", "_n")).over(chunk_window.rowsBetween(-reach, -1))
-    folded = F.aggregate(steps, F.lit(0.0), lambda acc, s: s["_local"] + acc * F.pow(F.lit(decay), s["_n"].cast("double")))
-    carry = ends.select(*[q(c) for c in keys], "_chunk", folded.alias("_carry"))
-    return (local.join(carry, [*keys, "_chunk"])
-            .withColumn(name, F.col("_local") + F.pow(F.lit(decay), F.col("_j") + 1.0) * F.col("_carry"))
-            .select(*[q(c) for c in df.columns], q(name)))
-
 
+    def local(d: float) -> Column:
+        own = F.when(F.col("_t") == 0, q(value)).otherwise(q(value) * (1.0 - d))
+        return fade(d, F.col("_j")) * F.sum(own / fade(d, F.col("_j"))).over(w)
+
+    def carried(rows: DataFrame, over: list[str], at: str, step: int, most: int) -> DataFrame:
+        """Means at the end of all earlier rows of `over`. Those that have faded below 1e-320 add nothing."""
+        def folded(i: int, d: float) -> Column:
+            reach = min(most, max(1, int(737 / (-math.log(d) * step)) + 2))
+            earlier = F.collect_list(F.struct(F.col(f"_l{i}").alias("l"), "_n")).over(ordered(over, at).rowsBetween(-reach, -1))
+            return F.aggregate(earlier, F.lit(0.0), lambda acc, s: s["l"] + acc * fade(d, s["_n"]))
+        return rows.select("*", *[folded(i, d).alias(f"_c{i}") for i, d in enumerate(slow.values())])
+
+    done = placed.select("*", *[local(d).alias(f"_l{i}") for i, d in enumerate(slow.values())])
+    ends = done.groupBy(*by, "_chunk").agg(
+        *[F.max_by(f"_l{i}", "_t").alias(f"_l{i}") for i in range(len(slow))], F.count(F.lit(1)).alias("_n"))
+    means = [f"_c{i}" for i in range(len(slow))]
+    if block is None:
+        carry = carried(ends, keys, "_chunk", size, 1 << 30)
+    else:
+        grouped = [*keys, "_group"]
+        inside = carried(ends.withColumn("_group", F.floor(F.col("_chunk") / GROUP)), grouped, "_chunk", size, GROUP)
+        inside = inside.withColumn("_ahead", F.coalesce(F.sum("_n").over(before(ordered(grouped, "_chunk"))), F.lit(0)))
+        whole = inside.groupBy(*by, "_group").agg(F.sum("_n").alias("_n"), *[
+            F.max_by(F.col(f"_l{i}") + F.col(f"_c{i}") * fade(d, F.col("_n")), "_chunk").alias(f"_l{i}") for i, d in enumerate(slow.values())])
+        groups = carried(whole, keys, "_group", size * GROUP, 1 << 30).select(*by, "_group", *[F.col(c).alias(f"_g{c}") for c in means])
+        carry = inside.join(groups, grouped).select(*by, "_chunk", *[
+            (F.col(c) + fade(d, F.col("_ahead")) * F.col(f"_g{c}")).alias(c) for c, d in zip(means, slow.values())])
+    out = done.join(carry.select(*by, "_chunk", *means), [*keys, "_chunk"])
+    means_out = {n: F.col(f"_l{i}") + fade(d, F.col("_j") + 1.0) * F.col(f"_c{i}") for i, (n, d) in enumerate(slow.items())}
+    return out.select(*[q(c) for c in df.columns], *[means_out.get(n, q(n)).alias(n) for n in outputs])

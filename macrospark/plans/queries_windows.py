@@ -85,10 +85,7 @@ def _sma(spark: Spark, sf: str) -> DataFrame:
  e.e6 * (1 - 2.0::DOUBLE / 7) + n.value * (2.0::DOUBLE / 7) FROM n JOIN e ON n.series_id = e.series_id AND n.rn = e.rn + 1)
  SELECT series_id, {d()}, {r('value')}, {r('value', 'value_ema1')}, {r('e3', 'value_ema3')}, {r('e6', 'value_ema6')} FROM e""")
 def _ema(spark: Spark, sf: str) -> DataFrame:
-    out = part_obs(spark, sf)
-    for span in (1, 3, 6):
-        out = B.ema(out, span, "date", output=f"value_ema{span}") if span == 1 else B.ema(out, span, "date")
-    return out
+    return B.ema(part_obs(spark, sf), [1, 3, 6], "date")
 
 
 @query("win8_trend_gaps", f"""WITH {_SMA} SELECT series_id, {d()}, {r('value_sma1 - value_sma3', 'value_gap1_3')},
@@ -156,13 +153,13 @@ def _interp(source: str) -> str:
  filled AS (SELECT series_id, date, coalesce(value, v0 + (v1 - v0) * ((p - p0)::DOUBLE / nullif(p1 - p0, 0)), v0) AS value FROM k)"""
 
 
-@query("win14_upsample_monthly", f"""WITH {PART_OBS}, qtr AS (SELECT * FROM obs WHERE month(date) IN (1, 4, 7, 10)),
+@query("win14_upsample_monthly", f"""WITH {PART_OBS}, qtr AS (SELECT series_id, CAST(date_trunc('quarter', date) AS DATE) AS date, round(sum(value), 2) AS value FROM obs GROUP BY 1, 2),
  spine AS (SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 MONTH)) AS DATE) AS date FROM qtr GROUP BY 1),
  j AS (SELECT s.series_id, s.date, q.value FROM spine s LEFT JOIN qtr q ON q.series_id = s.series_id AND q.date = s.date),
  {_interp('j')} SELECT series_id, {d()}, {r('value')} FROM filled""")
 def _upsample(spark: Spark, sf: str) -> DataFrame:
-    quarterly = part_obs(spark, sf).filter(F.month("date").isin(1, 4, 7, 10))
-    return W.upsample_monthly(quarterly)
+    quarter = F.trunc("date", "quarter").alias("date")
+    return W.upsample_monthly(part_obs(spark, sf).groupBy("series_id", quarter).agg(F.round(F.sum("value"), 2).alias("value")))
 
 
 @query("win15_interpolate_full", f"""WITH {HOLES}, {_interp('obs')} SELECT series_id, {d()},
@@ -255,14 +252,14 @@ def _tile(spark: Spark, sf: str) -> DataFrame:
     return W.tile_pattern(test, W.last_pattern(train, "value"))
 
 
-# --- long series, in time blocks -------------------------------------------------------
+# --- long series, in blocks -------------------------------------------------------
 
 EW = "(PARTITION BY series_id ORDER BY ts, event_id)"
 AT = ["ts", "event_id"]
 
 
 def _blocked(df: DataFrame) -> DataFrame:
-    return B.add_block(df, "ts", "day")
+    return B.add_range_block(df, "ts")
 
 
 @query("win2_lags_long", f"""WITH {EVENTS} SELECT event_id, {r(f'lag(value, 1) OVER {EW}', 'value_lag1')}, {r(f'lag(value, 6) OVER {EW}', 'value_lag6')} FROM ev""")

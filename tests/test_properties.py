@@ -123,11 +123,21 @@ def test_border_rows_reach_over_short_blocks(ticks):
     assert np.allclose(lined_up(ahead, "value_lead6"), g.shift(-6), equal_nan=True)
 
 
-def test_choose_unit_bounds_blocks(ticks):
-    df, _ = ticks
-    unit = B.choose_unit(df, "ts", 200)
-    largest = B.add_block(df, "ts", unit).groupBy("series_id", "block").count().agg(F.max("count")).first()[0]
-    assert largest <= 200 and unit in ("day", "hour")
+def test_range_blocks_are_even(ticks):
+    df, pdf = ticks
+    ranged = B.add_range_block(df.drop("block"), "ts", 40)
+    assert ranged.groupBy("block").count().agg(F.max("count")).first()[0] <= 1.5 * len(pdf) / 40
+    assert (lined_up(B.row_index(ranged, AT), "t") == pdf.groupby("series_id").cumcount()).all()
+
+
+def test_exponential_means_in_groups(ticks, monkeypatch):
+    df, pdf = ticks
+    monkeypatch.setattr(B, "GROUP", 4)
+    zero = B.add_range_block(df.drop("block").na.fill(0.0, ["value"]), "ts", 40)
+    filled = pdf.assign(value=pdf["value"].fillna(0.0)).groupby("series_id")["value"]
+    got = B.ema(zero, [1, 9, 60], AT, block="block", size=16)
+    for span in (1, 9, 60):
+        assert np.allclose(lined_up(got, f"value_ema{span}"), filled.transform(lambda s: s.ewm(span=span, adjust=False).mean()))
 
 
 @pytest.mark.parametrize("kind", ["normal", "ties", "zeros"])
