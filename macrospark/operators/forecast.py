@@ -22,6 +22,8 @@ from macrospark.operators.joins import repeat_last
 from macrospark.operators.windows import fill_both
 
 Z95 = 1.959963984540054
+#: Share of the total variation below which a residual sum of squares is taken for rounding.
+EXACT_FIT = 1e-6
 
 
 # --- Box-Cox (TSO8) -------------------------------------------------------------
@@ -70,7 +72,8 @@ def difference_columns(df: DataFrame, d: int, key: Names, order: str, value: str
 
 
 def dickey_fuller(df: DataFrame, key: Names = KEY, order: str = ORDER, value: str = VALUE, d: int = 0) -> DataFrame:
-    """TSO9: t-statistic of the lagged level in a regression of the change on it."""
+    """TSO9: t-statistic of the lagged level in a regression of the change on it; null where the fit is
+    undetermined or exact (fewer than three changes, or residuals lost in rounding)."""
     return _df_stats(df, [d], key, order, value).withColumnsRenamed({f"t{d}": "t_stat", f"n{d}": "n"})
 
 
@@ -94,7 +97,7 @@ def _df_stats(df: DataFrame, orders: Sequence[int], key: Names, order: str, valu
         b = F.col(f"_b{d}")
         sse = F.col(f"_syy{d}") - b * F.col(f"_sxy{d}")
         var = F.try_divide(F.try_divide(sse, (F.col(f"n{d}") - 2).cast("double")), F.col(f"_sxx{d}"))
-        return F.when(var > 0, b / F.sqrt(var))
+        return F.when((sse > EXACT_FIT * F.col(f"_syy{d}")) & (var > 0), b / F.sqrt(var))
 
     return sums.select(*[q(c) for c in keys], *[c for d in orders for c in (F.col(f"n{d}"), t(d).alias(f"t{d}"))])
 
@@ -173,10 +176,10 @@ def _schema(df: DataFrame, cols: Sequence[str]) -> str:
 
 
 def least_squares(
-    df: DataFrame, xs: Sequence[str], y: str, key: Names = KEY, intercept: bool = True
+    df: DataFrame, xs: Sequence[str], y: str, key: Names = KEY, intercept: bool = True, minimum_norm: bool = False
 ) -> DataFrame:
-    """TSO11: per key the coefficients (intercept first), their t statistics, residual
-    variance and AIC."""
+    """TSO11: per key the coefficients (intercept first), their t statistics, residual variance, AIC and the inverse of X'X
+    (row by row). All are null for a key with fewer complete rows than coefficients, or its solution is the one of minimum norm."""
     keys = names(key)
     sums = spread_rows(gram(df, xs, y, key, intercept), keys)
 
@@ -193,10 +196,13 @@ def least_squares(
                 var = np.where(n > size, fits.sse / (n - size), np.nan)
                 error = np.sqrt(np.maximum(np.einsum("mii->mi", fits.inverse) * var[:, None], 0.0))
                 t = np.where(error > 0, fits.coef / error, np.nan)
-            yield pdf[[*keys, "n"]].assign(coef=list(fits.coef), t_stat=list(t), sigma2=var, aic=information(n, fits.sse, size))
+            known = (n >= size) | minimum_norm
+            either = lambda rows: [v if k else None for v, k in zip(rows, known)]
+            yield pdf[[*keys, "n"]].assign(coef=either(fits.coef), t_stat=either(t), sigma2=var,
+                                           aic=np.where(known, information(n, fits.sse, size), np.nan), inverse=either(fits.inverse.reshape(len(n), -1)))
 
     return sums.mapInPandas(solve, f"{_schema(sums, keys)}, n bigint, coef array<double>, "
-                                   "t_stat array<double>, sigma2 double, aic double")
+                                   "t_stat array<double>, sigma2 double, aic double, inverse array<double>")
 
 
 def augmented_dickey_fuller(
@@ -409,7 +415,8 @@ def lag_model_forecast(
 def ar1_forecast(
     df: DataFrame, steps: int, key: Names = KEY, order: str = ORDER, value: str = VALUE
 ) -> DataFrame:
-    """TSO12 for one lag, wholly in the JVM: regr_* fit and closed-form recursion."""
+    """TSO12 for one lag, wholly in the JVM: regr_* fit and closed-form recursion. Null where the fit is undefined
+    (fewer than two pairs, or a constant series)."""
     keys = names(key)
     w = ordered(keys, order)
     rows = df.filter(q(value).isNotNull()).select(
@@ -441,28 +448,35 @@ def fit_seasonal_regression(
     df: DataFrame, regressors: Sequence[str] = (), pairs: int = 3, key: Names = KEY, order: str = ORDER,
     value: str = VALUE,
 ) -> DataFrame:
-    """TSO13, fit: one row per series with start date and coefficients (intercept,
-    trend, season, regressors)."""
+    """TSO13, fit: one row per series with start date, coefficients (intercept, trend, season,
+    regressors), residual variance and the inverse of X'X."""
     keys = names(key)
     starts = df.groupBy(*[q(c) for c in keys]).agg(F.min(q(order)).alias("start"))
     rows = df.join(starts, keys)
     design = seasonal_design(F.col("start"), q(order), pairs)
     rows = rows.select(*[q(c) for c in keys], "start", q(value).alias("_y"),
                        *[c.alias(n) for n, c in design.items()], *[q(r) for r in regressors])
-    return least_squares(rows, [*design, *regressors], "_y", [*keys, "start"]).select(
-        *[q(c) for c in keys], "start", "coef", "sigma2")
+    return least_squares(rows, [*design, *regressors], "_y", [*keys, "start"], minimum_norm=True).select(
+        *[q(c) for c in keys], "start", "coef", "sigma2", "inverse")
 
 
 def predict_seasonal_regression(
     future: DataFrame, fit: DataFrame, regressors: Sequence[str] = (), pairs: int = 3, key: Names = KEY,
     order: str = ORDER,
 ) -> DataFrame:
-    """TSO13, predict: dot product of coefficients and design, in the JVM."""
+    """TSO13, predict: dot product of coefficients and design, in the JVM, with the 95 % interval of a new
+    value (residual variance and the coefficients' own); the interval is null for a fit without residual degrees of freedom."""
     rows = future.join(fit, names(key))
     design = [F.lit(1.0), *seasonal_design(F.col("start"), q(order), pairs).values(),
               *[F.coalesce(q(r).cast("double"), F.lit(0.0)) for r in regressors]]
-    dot = F.aggregate(F.zip_with("coef", F.array(*design), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("forecast", dot).drop("start", "coef", "sigma2")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("_x", F.array(*design))
+    outer = F.flatten(F.transform("_x", lambda a: F.transform("_x", lambda b: a * b)))
+    rows = rows.withColumns({"forecast": total(F.zip_with("coef", "_x", lambda a, b: a * b)),
+                             "_own": total(F.zip_with("inverse", outer, lambda a, b: a * b))})
+    half = Z95 * F.sqrt(F.col("sigma2") * (1.0 + F.greatest("_own", F.lit(0.0))))
+    return (rows.withColumns({"lower": F.col("forecast") - half, "upper": F.col("forecast") + half})
+            .drop("start", "coef", "sigma2", "inverse", "_x", "_own"))
 
 
 def seasonal_regression_forecast(
@@ -478,7 +492,7 @@ def seasonal_regression_forecast(
     future = future_exogenous(filled.select(*[q(c) for c in [*keys, order, *regressors]]), steps, regressors,
                               future_regressors, keys, order, forecast_key)
     return predict_seasonal_regression(future, fit, regressors, pairs, keys, order).select(
-        *[q(c) for c in keys], q(order), "step", "forecast")
+        *[q(c) for c in keys], q(order), "step", "forecast", "lower", "upper")
 
 
 def future_exogenous(
@@ -544,27 +558,28 @@ def vector_forecast(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                level = np.asarray(rec["level"], dtype=float)
-                units = np.asarray(rec["unit"], dtype=float)
-                path = np.tile(level, (steps, 1))
-                size = 1 + p * len(series)
-                if rec["xx"] is not None and rec["n"] > size:
-                    right = np.stack(list(rec["xy"]))
-                    left = np.repeat(full_matrices(np.asarray(rec["xx"])[None, :], size), len(right), axis=0)
-                    coef = solve_systems(left, right, np.asarray(rec["yy"], dtype=float)).coef
-                    past = [np.asarray(v, dtype=float) for v in rec["tail"]]
-                    at = level.copy()
-                    for h in range(steps):
-                        x = np.concatenate([[1.0], *[past[-k] for k in range(1, p + 1)]])
-                        nxt = coef @ x
-                        past.append(nxt)
-                        at = np.where(order_vec == 1, at + nxt, nxt)
-                        path[h] = at
+            m, k, size = len(pdf), len(series), 1 + p * len(series)
+            if not m:
+                continue
+            level, units = (np.stack(pdf[c].to_list()).astype(float) for c in ("level", "unit"))
+            path = np.repeat(level[:, None, :], steps, axis=1)
+            fit = np.flatnonzero(pdf["xx"].notna().to_numpy() & (pdf["n"].fillna(0).to_numpy() > size))
+            if len(fit):  # all keys of the batch step on together
+                some = pdf.iloc[fit]
+                left = np.repeat(full_matrices(np.stack(some["xx"].to_list()), size), k, axis=0)
+                right = np.stack([np.stack(list(v)) for v in some["xy"]]).reshape(-1, size)
+                coef = solve_systems(left, right, np.stack(some["yy"].to_list()).astype(float).ravel()).coef.reshape(-1, k, size)
+                past = list(np.stack([np.stack(list(v)) for v in some["tail"]]).astype(float).transpose(1, 0, 2))
+                at = level[fit]
                 for h in range(steps):
-                    rows.append((*[rec[k] for k in keys], rec["last_date"], h + 1, *(path[h] * units)))
-            yield pd.DataFrame(rows, columns=[*keys, "last_date", "step", *series])
+                    x = np.concatenate([np.ones((len(fit), 1)), *[past[-i] for i in range(1, p + 1)]], axis=1)
+                    past.append(np.einsum("mks,ms->mk", coef, x))
+                    at = np.where(order_vec == 1, at + past[-1], past[-1])
+                    path[fit, h] = at
+            flat = (path * units[:, None, :]).reshape(m * steps, k)
+            out = pdf[[*keys, "last_date"]].loc[pdf.index.repeat(steps)].reset_index(drop=True)
+            out["step"] = np.tile(np.arange(1, steps + 1, dtype=np.int32), m)
+            yield out.assign(**{c: flat[:, i] for i, c in enumerate(series)})
 
     out = ready.mapInPandas(run, f"{_schema(ready, [*keys, 'last_date'])}, step int, "
                             + ", ".join(f"`{c}` double" for c in series))
@@ -578,7 +593,8 @@ def walk_forward(
     value: str = VALUE,
 ) -> DataFrame:
     """TSO19: coefficients from rows before the split, one-step forecasts for the rows
-    after it, each from the true values before it (train tail included)."""
+    after it, each from the true values before it (train tail included). A forecast is null where a value
+    before it is missing or the series has fewer complete training rows than coefficients."""
     keys = names(key)
     w = ordered(keys, order)
     cols = [f"lag{k}" for k in lags]
@@ -586,7 +602,7 @@ def walk_forward(
                      *[F.lag(q(value), k).over(w).alias(c) for k, c in zip(lags, cols)])
     edge = F.lit(split).cast("date")
     fit = least_squares(rows.filter(q(order) < edge), cols, "actual", keys)
-    scored = rows.filter(q(order) >= edge).join(fit.select(*[q(c) for c in keys], "coef"), keys)
+    scored = rows.filter(q(order) >= edge).join(fit.select(*[q(c) for c in keys], "coef"), keys, "left")
     dot = F.aggregate(F.zip_with("coef", F.array(F.lit(1.0), *[q(c) for c in cols]), lambda a, b: a * b),
                       F.lit(0.0), lambda a, x: a + x)
     return scored.select(*[q(c) for c in keys], q(order), "actual", dot.alias("forecast"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from macrospark.columns import q
 
@@ -55,6 +55,18 @@ def query(name: str, sql: str | None = None, digits: int = 4) -> Callable[[Run],
     return add
 
 
+def significant(name: str) -> list[Column]:
+    """A double as mantissa (1 to 10; `presentable` rounds it) and decimal exponent: values of any size print alike."""
+    e = F.floor(F.log10(F.abs(q(name))))
+    return [(q(name) / F.pow(F.lit(10.0), e.cast("double"))).alias(f"{name}_mantissa"), e.alias(f"{name}_exponent")]
+
+
+def significant_sql(expr: str, name: str, digits: int = 6) -> str:
+    """`significant` in SQL."""
+    e = f"floor(log10(abs(nullif({expr}, 0))))"
+    return f"{r(f'({expr}) / pow(10.0::DOUBLE, {e})', f'{name}_mantissa', digits)}, CAST({e} AS BIGINT) AS {name}_exponent"
+
+
 def r(expr: str, name: str | None = None, digits: int = 4) -> str:
     """SQL: rounded double; the + 0 turns -0.0 into 0.0."""
     return f"round(CAST({expr} AS DOUBLE) + {nudge(digits):e}::DOUBLE, {digits}) + 0 AS {name or expr}"

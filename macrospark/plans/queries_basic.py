@@ -78,7 +78,7 @@ def _write(spark: Spark, sf: str) -> DataFrame:
     return spark.read.schema("date date, value double, series_id string").parquet(path).select("series_id", "date", "value")
 
 
-_EXPORTED = ["CPI", "PPI", "INDPRO", "10_year_rate"]
+_EXPORTED = ["recession_probability", *INDICATORS]
 
 
 @query("snk2_columnar_export", f"""WITH {ECONOMY} SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS position, {d()},
@@ -292,13 +292,14 @@ def _member(spark: Spark, sf: str, series: str, name: str) -> DataFrame:
     return obs(spark, sf).filter(q("series_id") == series).select("date", F.col("value").alias(name))
 
 
+_OTHERS = [(s, c) for s, c in PRIORITIES.items() if c != "urgent"]
+
+
 @query("jon1_spine_chain", f"""WITH {OBS}, u AS (SELECT date, value AS urgent FROM obs WHERE series_id = '1-URGENT')
- SELECT {d('u.date')}, {r('urgent')}, {r('h.value', 'high')}, {r('m.value', 'medium')} FROM u
- LEFT JOIN obs h ON h.date = u.date AND h.series_id = '2-HIGH'
- LEFT JOIN obs m ON m.date = u.date AND m.series_id = '3-MEDIUM'""")
+ SELECT {d('u.date')}, {r('urgent')}, {', '.join(r(f'o_{c}.value', c) for _, c in _OTHERS)} FROM u
+ {' '.join(f"LEFT JOIN obs o_{c} ON o_{c}.date = u.date AND o_{c}.series_id = '{s}'" for s, c in _OTHERS)}""")
 def _spine(spark: Spark, sf: str) -> DataFrame:
-    return J.join_on_spine(_member(spark, sf, "1-URGENT", "urgent"), [
-        _member(spark, sf, "2-HIGH", "high"), _member(spark, sf, "3-MEDIUM", "medium")])
+    return J.join_on_spine(_member(spark, sf, "1-URGENT", "urgent"), [_member(spark, sf, s, c) for s, c in _OTHERS])
 
 
 @query("jon1_pivot", f"WITH {PANEL} SELECT {d()}, {', '.join(r(c) for c in MEMBERS)} FROM panel")
@@ -306,18 +307,17 @@ def _pivot(spark: Spark, sf: str) -> DataFrame:
     return panel(spark, sf)
 
 
-@query("jon2_inner_on_date", f"""WITH {OBS}, {PART_OBS.replace('obs AS', 'pobs AS')}
- SELECT p.series_id, {d('p.date')}, {r('p.value', 'value')}, {r('o.value', 'urgent')} FROM pobs p
- JOIN obs o ON o.date = p.date AND o.series_id = '1-URGENT'""")
+@query("jon2_inner_on_date", f"""WITH {PANEL}, {PART_OBS.replace('obs AS', 'pobs AS')}
+ SELECT p.series_id, {d('p.date')}, {r('p.value', 'value')}, {', '.join(r(c) for c in MEMBERS)} FROM pobs p JOIN panel o ON o.date = p.date""")
 def _inner(spark: Spark, sf: str) -> DataFrame:
-    return J.inner_on_date(part_obs(spark, sf), _member(spark, sf, "1-URGENT", "urgent"))
+    return J.inner_on_date(part_obs(spark, sf), panel(spark, sf))
 
 
-@query("jon3_suffixes", f"""WITH {OBS}, a AS (SELECT date, value FROM obs WHERE series_id = '1-URGENT'),
- b AS (SELECT date, value FROM obs WHERE series_id = '5-LOW')
- SELECT {d('a.date')}, {r('a.value', 'value_x')}, {r('b.value', 'value_y')} FROM a JOIN b USING (date)""")
+@query("jon3_suffixes", f"""WITH {OBS} SELECT a.series_id, {d('a.date')}, {r('a.value', 'value_x')}, {r('b.value', 'value_y')}
+ FROM obs a JOIN obs b ON b.series_id = a.series_id AND b.date + INTERVAL 12 MONTH = a.date""")
 def _suffixes(spark: Spark, sf: str) -> DataFrame:
-    return J.join_suffixed(_member(spark, sf, "1-URGENT", "value"), _member(spark, sf, "5-LOW", "value"), "date")
+    o = obs(spark, sf)
+    return J.join_suffixed(o, o.withColumn("date", F.add_months("date", 12)), ["series_id", "date"])
 
 
 PAIRS_SQL = """pairs AS (SELECT series_id, date, value AS actual,

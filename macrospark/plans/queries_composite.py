@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from macrospark.columns import q
 from macrospark.constants import INDICATORS, ROW_ANOMALY_INDICATORS, ROW_FEATURES
 from macrospark.operators import clean as C, decompose as D, forecast as T, joins as J, stats as A, windows as W
 from macrospark.learning.models import Trees
 from macrospark.plans import pipelines as P
-from macrospark.plans.catalogue import d, query, r
+from macrospark.plans.catalogue import d, query, r, significant, significant_sql
 from macrospark.plans.driver_tables import (
     ECONOMY, ECONOMY_LONG, PART_OBS, SPLIT, economy, obs, part_obs,
 )
@@ -113,10 +113,9 @@ _HIT = "CASE WHEN m IS NOT NULL THEN coalesce((residual < m - 3 * s OR residual
 @query("tso6_anomalies", f"""WITH {_BOTH}, un AS (SELECT series_id, date, residual, 'train' AS source FROM p UNION ALL SELECT series_id, date, residual, 'test' FROM a)
  SELECT un.series_id, {d('un.date')}, source, {r('residual')}, {_HIT} AS anomaly FROM un LEFT JOIN bd USING (series_id)""")
 def _anomalies(spark: Spark, sf: str) -> DataFrame:
-    train, test = C.split_at(part_obs(spark, sf), SPLIT)
-    parts = D.decompose(train)
-    both = J.stack({"train": parts, "test": D.apply_decomposition(test, D.decomposition_params(parts))})
-    return D.flag_residuals(both, D.anomaly_bounds(parts)).select("series_id", "date", "source", "residual", "anomaly")
+    flagged = D.flag_split(D.decompose_split(part_obs(spark, sf), SPLIT))
+    source = F.when(q("is_train"), "train").otherwise("test").alias("source")
+    return flagged.select("series_id", "date", source, "residual", "anomaly")
 
 
 @query("tso7_static_bounds", f"""WITH {PART_OBS}, bd AS (SELECT series_id, avg(value) AS m, stddev_samp(value) AS s FROM obs WHERE date < {EDGE} GROUP BY 1 HAVING count(*) >= 2)
@@ -145,18 +144,17 @@ def _df_sql(k: int) -> str:
     x, y = f"x{k}", f"y{k}"
     b, sse = f"regr_slope({y}, {x})", f"(regr_syy({y}, {x}) - regr_slope({y}, {x}) * regr_sxy({y}, {x}))"
     var = f"({sse} / nullif(regr_count({y}, {x}) - 2, 0) / nullif(regr_sxx({y}, {x}), 0))"
-    return f"regr_count({y}, {x}) AS n{k}, CASE WHEN {var} > 0 THEN {b} / sqrt({var}) END AS t{k}"
+    return f"regr_count({y}, {x}) AS n{k}, CASE WHEN {sse} > {T.EXACT_FIT}::DOUBLE * regr_syy({y}, {x}) AND {var} > 0 THEN {b} / sqrt({var}) END AS t{k}"
 
 
 @query("tso9_differencing_order", f"""WITH {PART_OBS}, b AS (SELECT *, value AS d0, value - lag(value, 1) OVER w AS d1,
  value - 2 * lag(value, 1) OVER w + lag(value, 2) OVER w AS d2 FROM obs {WIN}), xy AS (SELECT series_id, {', '.join(
      f'lag(d{k}) OVER w AS x{k}, d{k} - lag(d{k}) OVER w AS y{k}' for k in range(3))} FROM b {WIN}),
  s AS (SELECT series_id, {', '.join(_df_sql(k) for k in range(3))} FROM xy GROUP BY 1)
- SELECT series_id, {', '.join(f"n{k}, {r(f't{k}')}" for k in range(2))}, CASE WHEN n0 + 1 < 20 OR coalesce(t0 < -2.86, false) THEN 0
- WHEN n1 + 1 < 20 OR coalesce(t1 < -2.86, false) THEN 1 ELSE 2 END::BIGINT AS d FROM s WHERE n0 >= 5""")
+ SELECT series_id, {', '.join(f"n{k}, {r(f't{k}')}" for k in range(3))}, CASE WHEN n0 + 1 < 20 OR coalesce(t0 < -2.86, false) THEN 0
+ WHEN n1 + 1 < 20 OR coalesce(t1 < -2.86, false) THEN 1 ELSE 2 END::BIGINT AS d FROM s""")
 def _order(spark: Spark, sf: str) -> DataFrame:
-    # Fits through fewer than five points are near exact and have no stable statistic.
-    return T.differencing_order(part_obs(spark, sf)).filter("n0 >= 5").drop("n2", "t2")
+    return T.differencing_order(part_obs(spark, sf))
 
 
 @query("tso9_augmented")
@@ -190,17 +188,21 @@ def _gram(spark: Spark, sf: str) -> DataFrame:
 
 
 @query("tso11_least_squares", f"""WITH {PART_OBS}, z AS (SELECT series_id, value / 1e4::DOUBLE AS y, lag(value / 1e4::DOUBLE, 1) OVER w AS a FROM obs {WIN})
- SELECT series_id, regr_count(y, a) AS n, {r('regr_intercept(y, a)', 'intercept')}, {r('regr_slope(y, a)', 'slope')} FROM z GROUP BY 1 HAVING regr_count(y, a) >= 5""")
+ SELECT series_id, regr_count(y, a) AS n, {significant_sql('regr_intercept(y, a)', 'intercept')}, {significant_sql('regr_slope(y, a)', 'slope')} FROM z GROUP BY 1 HAVING regr_count(y, a) > 0""", 6)
 def _least(spark: Spark, sf: str) -> DataFrame:
-    fit = T.least_squares(_scaled_lags(spark, sf), ["value_lag1"], "value").filter("n >= 5")
-    return fit.select("series_id", "n", q("coef")[0].alias("intercept"), q("coef")[1].alias("slope"))
+    fit = T.least_squares(_scaled_lags(spark, sf), ["value_lag1"], "value")
+    fit = fit.select("series_id", "n", q("coef")[0].alias("intercept"), q("coef")[1].alias("slope"))
+    return fit.select("series_id", "n", *significant("intercept"), *significant("slope"))
+
+
+_AR1 = "CASE WHEN phi = 1 THEN c * step ELSE c * (1 - pow(phi, step)) / (1 - phi) END + pow(phi, step) * tail"
 
 
 @query("tso12_ar1", f"""WITH {PART_OBS}, z AS (SELECT *, lag(value) OVER w AS x FROM obs {WIN}),
- f AS (SELECT series_id, max(date) AS last, arg_max(value, date) AS tail, regr_slope(value, x) AS phi, regr_intercept(value, x) AS c FROM z GROUP BY 1 HAVING count(*) >= 12)
- SELECT series_id, strftime(last + to_months(step::INTEGER), '%Y-%m-%d') AS date, step, {r('c * (1 - pow(phi, step)) / (1 - phi) + pow(phi, step) * tail', 'forecast', 3)} FROM f, range(1, 7) t(step)""", 3)
+ f AS (SELECT series_id, max(date) AS last, arg_max(value, date) AS tail, regr_slope(value, x) AS phi, regr_intercept(value, x) AS c FROM z GROUP BY 1)
+ SELECT series_id, strftime(last + to_months(step::INTEGER), '%Y-%m-%d') AS date, step, {significant_sql(_AR1, 'forecast')} FROM f, range(1, 7) t(step)""", 6)
 def _ar1(spark: Spark, sf: str) -> DataFrame:
-    return T.ar1_forecast(C.minimum_history(part_obs(spark, sf), 12), 6)
+    return T.ar1_forecast(part_obs(spark, sf), 6).select("series_id", "date", "step", *significant("forecast"))
 
 
 @query("tso12_auto_forecast")
@@ -227,7 +229,7 @@ def _seasonal_ar(spark: Spark, sf: str) -> DataFrame:
 @query("tso15_vector_forecast")
 def _vector(spark: Spark, sf: str) -> DataFrame:
     e = economy(spark, sf)
-    return T.vector_forecast(e, ["CPI", "PPI", "INDPRO", "share_price"], 6, p=2, d={"INDPRO": 1})
+    return T.vector_forecast(e, INDICATORS, 6, p=2, d={"INDPRO": 1})
 
 
 @query("tso16_future_exogenous", f"""WITH {ECONOMY}, l AS (SELECT series_id, max(date) AS last, arg_max("CPI", date) AS cpi, arg_max("INDPRO", date) AS ind FROM econ GROUP BY 1)
@@ -241,7 +243,7 @@ def _exog(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso17_hybrid_correction")
 def _hybrid(spark: Spark, sf: str) -> DataFrame:
-    long = J.lengthen(economy(spark, sf), ["CPI", "PPI"], ["series_id", "date"], "indicator", "value")
+    long = J.lengthen(economy(spark, sf), INDICATORS, ["series_id", "date"], "indicator", "value")
     by = ["series_id", "indicator"]
     base = W.rolling_previous(long, [3], ["mean"], by).select(*by, "date", q("value").alias("actual"), q("value_rollmean3").alias("base"))
     model, unit = P.fit_residual_model(base.filter("base is not null"), Trees(trees=5, depth=3), by)
@@ -262,18 +264,16 @@ def _feature_forecast(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso19_walk_forward")
 def _walk(spark: Spark, sf: str) -> DataFrame:
-    scored = T.walk_forward(C.minimum_history(part_obs(spark, sf), 12), SPLIT)
+    scored = T.walk_forward(part_obs(spark, sf), SPLIT)
     return A.forecast_metrics(scored, "series_id", variant="floor").select("series_id", "mae", "rmse", "mape")
 
 
 @query("tso19_walk_forward_ar1", f"""WITH {PART_OBS}, z AS (SELECT *, lag(value) OVER w AS x FROM obs {WIN}),
- f AS (SELECT series_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM z WHERE date < {EDGE} GROUP BY 1 HAVING regr_count(value, x) >= 8)
- SELECT z.series_id, {d('z.date')}, {r('value', 'actual', 3)}, {r('a + b * x', 'forecast', 3)} FROM z JOIN f USING (series_id) WHERE date >= {EDGE} AND x IS NOT NULL""", 3)
+ f AS (SELECT series_id, regr_slope(value, x) AS b, regr_intercept(value, x) AS a FROM z WHERE date < {EDGE} GROUP BY 1)
+ SELECT z.series_id, {d('z.date')}, {r('value', 'actual', 6)}, {significant_sql('a + b * x', 'forecast')} FROM z LEFT JOIN f USING (series_id) WHERE date >= {EDGE}""", 6)
 def _walk_ar1(spark: Spark, sf: str) -> DataFrame:
-    o = part_obs(spark, sf)
-    train, _ = C.split_at(o, SPLIT)
-    long_enough = o.join(C.minimum_history(train, 9).select("series_id").distinct(), "series_id", "left_semi")
-    return T.walk_forward(long_enough, SPLIT, (1,))
+    out = T.walk_forward(part_obs(spark, sf), SPLIT, (1,))
+    return out.select("series_id", "date", "actual", *significant("forecast"))
 
 
 @query("tso20_leak_free_features", f"""WITH {_BOTH}, {acf_sql('tr')}, un AS (SELECT series_id, date, value, trend, seasonal, residual, 'train' AS source FROM p

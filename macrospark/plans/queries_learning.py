@@ -39,7 +39,7 @@ def _predicted(df: DataFrame, targets: list[str] = TARGETS) -> DataFrame:
 
 # --- scaling, folds, meta-features -----------------------------------------------------
 
-_COLS = ["CPI", "INDPRO", "10_year_rate"]
+_COLS = INDICATORS
 
 
 @query("mlo1_standard_scale", f"""WITH {ECONOMY} SELECT series_id, {d()}, {', '.join(
