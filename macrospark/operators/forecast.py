@@ -137,6 +137,27 @@ def gram(
         F.array(*[F.sum(q(v) * q(v)) for v in ys]).alias("yy"))
 
 
+def wide_gram(df: DataFrame, xs: Sequence[str], ys: Sequence[str], key: Names = KEY) -> DataFrame:
+    """`gram` for many columns: the products of a row are one array, taken apart and added up by place, so that the plan
+    has a few expressions instead of hundreds. The many small rows are folded before the shuffle."""
+    keys = names(key)
+    by = [q(c) for c in keys]
+    rows = df.select(*by, *[finite(q(c).cast("double")).alias(c) for c in dict.fromkeys([*xs, *ys])])
+    rows = rows.na.drop(subset=list(dict.fromkeys([*xs, *ys]))).select(
+        *by, F.array(F.lit(1.0), *[q(c) for c in xs]).alias("_x"), F.array(*[q(c) for c in ys]).alias("_y"))
+    p, k = 1 + len(xs), len(ys)
+    triangle = F.flatten(F.transform("_x", lambda a, i: F.transform(F.slice("_x", i + 1, p), lambda b: a * b)))
+    cross = F.flatten(F.transform("_y", lambda y: F.transform("_x", lambda x: x * y)))
+    products = F.concat(triangle, cross, F.transform("_y", lambda y: y * y))
+    sums = rows.select(*by, F.posexplode(products).alias("_at", "_v")).groupBy(*by, "_at").agg(
+        F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    whole = sums.groupBy(*by).agg(F.max("_n").alias("n"), F.transform(
+        F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda c: c["_v"]).alias("_all"))
+    cells = p * (p + 1) // 2
+    return whole.select(*by, "n", F.slice("_all", 1, cells).alias("xx"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice(
+        "_all", cells + 1 + i * p, p)).alias("xy"), F.slice("_all", cells + p * k + 1, k).alias("yy"))
+
+
 @dataclass
 class Fits:
     """Least-squares fits of many systems of one size."""
@@ -545,7 +566,7 @@ def vector_forecast(
                              else F.col(f"`_s_{c}`") for c in series})
     lag_names = [f"_l{k}_{c}" for k in range(1, p + 1) for c in series]
     work = work.withColumns({f"_l{k}_{c}": F.lag(F.col(f"`_w_{c}`"), k).over(w) for k in range(1, p + 1) for c in series})
-    sums = gram(work, lag_names, [f"_w_{c}" for c in series], keys)
+    sums = wide_gram(work, lag_names, [f"_w_{c}" for c in series], keys)
     back = work.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(q(order).desc())))
     tail = F.when(F.col("_back") <= p, F.struct(q(order), F.array(*[F.col(f"`_w_{c}`") for c in series]).alias("v")))
     tails = back.groupBy(*by).agg(
