@@ -8,7 +8,6 @@ from macrospark.columns import q
 from macrospark.constants import INDICATORS, LABEL_CANDIDATES
 from macrospark.functions import scalar as S
 from macrospark.operators import clean as C, joins as J, stats as A, windows as W
-from macrospark.operators.decompose import decompose, decomposition_params
 from macrospark.plans.catalogue import d, query, r
 from macrospark.plans.driver_tables import (
     DIRTY, ECONOMY, MEMBERS, OBS, PANEL, PART_OBS, PRIORITIES, SPLIT, VINTAGES,
@@ -107,12 +106,6 @@ def _params(spark: Spark, sf: str) -> DataFrame:
     return K.load_params(spark, path)
 
 
-@query("snk4_decomposition_params")
-def _stl_params(spark: Spark, sf: str) -> DataFrame:
-    path = scratch_path(spark, "params")
-    K.save_params(decomposition_params(decompose(obs(spark, sf))), path)
-    return K.load_params(spark, path)
-
 
 # --- projections -------------------------------------------------------------------
 

@@ -11,9 +11,11 @@ from macrospark.learning.models import Trees
 from macrospark.plans import pipelines as P
 from macrospark.plans.catalogue import d, query, r, significant, significant_sql
 from macrospark.plans.driver_tables import (
-    ECONOMY, ECONOMY_LONG, PART_OBS, SPLIT, economy, obs, part_obs,
+    ECONOMY, ECONOMY_LONG, PART_OBS, SPLIT, economy, part_obs,
 )
 from macrospark.plans.queries_stats import ACF_COLS, acf_sql
+from macrospark.session import scratch_path
+from macrospark.sources import sinks as K
 
 Spark = SparkSession
 WIN = "WINDOW w AS (PARTITION BY series_id ORDER BY date)"
@@ -56,7 +58,7 @@ def _loess(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso2_decompose_loess_robust")
 def _loess_robust(spark: Spark, sf: str) -> DataFrame:
-    return D.decompose_loess(obs(spark, sf), robust=True)
+    return D.decompose_loess(part_obs(spark, sf), robust=True)
 
 
 def applied_sql(parts: str, test: str, name: str, key: str = "series_id") -> str:
@@ -110,6 +112,17 @@ _BOTH = f"{PART_OBS}, {SPLITS}, {decompose_sql('tr', 'p')}, {applied_sql('p', 't
 _HIT = "CASE WHEN m IS NOT NULL THEN coalesce((residual < m - 3 * s OR residual > m + 3 * s)::INTEGER, 0)::BIGINT END"
 
 
+@query("snk4_decomposition_params", f"""WITH {PART_OBS}, {decompose_sql('obs', 'p')}, k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM p WHERE trend IS NOT NULL),
+ g AS (SELECT series_id, arg_max(trend, date) AS lt, avg(residual) AS m, stddev_samp(residual) AS s, count(residual) AS n FROM k GROUP BY 1)
+ SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS slot, {r('seasonal')}, {r('lt', 'last_trend')}, {r('m', 'residual_mean')},
+ {r('s', 'residual_std')}, n AS residual_count FROM k JOIN g USING (series_id) WHERE rn <= 12""")
+def _stl_params(spark: Spark, sf: str) -> DataFrame:
+    path = scratch_path(spark, "params")
+    K.save_params(D.decomposition_params(D.decompose(part_obs(spark, sf))), path)
+    return K.load_params(spark, path).select(
+        "series_id", F.posexplode("pattern").alias("slot", "seasonal"), "last_trend", "residual_mean", "residual_std", "residual_count")
+
+
 @query("tso6_anomalies", f"""WITH {_BOTH}, un AS (SELECT series_id, date, residual, 'train' AS source FROM p UNION ALL SELECT series_id, date, residual, 'test' FROM a)
  SELECT un.series_id, {d('un.date')}, source, {r('residual')}, {_HIT} AS anomaly FROM un LEFT JOIN bd USING (series_id)""")
 def _anomalies(spark: Spark, sf: str) -> DataFrame:
@@ -137,7 +150,7 @@ def _lambda(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso8_box_cox_refined")
 def _refined(spark: Spark, sf: str) -> DataFrame:
-    return T.box_cox_lambda(obs(spark, sf))
+    return T.box_cox_lambda(part_obs(spark, sf))
 
 
 def _df_sql(k: int) -> str:

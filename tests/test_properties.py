@@ -378,3 +378,36 @@ def test_future_exogenous_rules(series):
     ahead = series({"a": [9.0]}, "2000-04-01").withColumnRenamed("value", "x")
     out = T.future_exogenous(history, 3, ["x"], ahead).orderBy("step").collect()
     assert [r["x"] for r in out] == [9.0, 2.0, 2.0]
+
+
+def test_wide_gram_is_gram(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(60, 4)), columns=list("abyz")).assign(k=np.arange(60) % 3)
+    pdf.loc[4, "a"] = np.nan
+    df = spark.createDataFrame(pdf)
+    wide = {r["k"]: r for r in T.wide_gram(df, ["a", "b"], ["y", "z"], "k").collect()}
+    for plain in T.gram(df, ["a", "b"], ["y", "z"], "k").collect():
+        other = wide[plain["k"]]
+        assert plain["n"] == other["n"]
+        assert all(np.allclose(plain[c], other[c]) for c in ("xx", "xy", "yy"))
+
+
+def test_seasonal_regression_interval(spark):
+    rng = np.random.default_rng(6)
+    months = pd.date_range("2000-01-01", periods=60, freq="MS")
+    pdf = pd.DataFrame({"series_id": "a", "date": months.date, "value": np.arange(60) / 12 + rng.normal(size=60)})
+    got = T.seasonal_regression_forecast(spark.createDataFrame(pdf), 3, pairs=1).orderBy("step").toPandas()
+    t = (months - months[0]).days / 365.25
+    x = np.stack([np.ones(60), t, np.sin(2 * np.pi * t), np.cos(2 * np.pi * t)], 1)
+    coef, sse = np.linalg.lstsq(x, pdf["value"], rcond=None)[:2]
+    ahead = (pd.to_datetime(got["date"]) - months[0]).dt.days / 365.25
+    z = np.stack([np.ones(3), ahead, np.sin(2 * np.pi * ahead), np.cos(2 * np.pi * ahead)], 1)
+    half = 1.959963984540054 * np.sqrt(sse[0] / 56 * (1 + np.einsum("ij,jk,ik->i", z, np.linalg.inv(x.T @ x), z)))
+    assert np.allclose(got["forecast"], z @ coef)
+    assert np.allclose(got["upper"] - got["forecast"], half) and np.allclose(got["forecast"] - got["lower"], half)
+
+
+def test_short_series_have_no_statistic(series):
+    df = series({"a": [1.0, 3.0], "b": [2.0, 2.0, 2.0]})
+    assert {(r["series_id"], r["t0"]) for r in T.differencing_order(df).collect()} == {("a", None), ("b", None)}
+    assert all(r["forecast"] is None for r in T.ar1_forecast(df, 2).collect())
