@@ -1,13 +1,12 @@
 """Benchmark decontamination: documents that hold a benchmark item, up to a few edited words.
 
-Texts are sequences of lower-cased words without punctuation; edits are inserted, deleted or changed words. The CGK walk reads a
-sequence while flipping, for each step and word, a fixed coin: it outputs the word and goes on to the next if the coin says so. Two
-walks over sequences a few edits apart fall back into step, so edit distance becomes Hamming distance of the outputs. A
-bit-sampling key takes the outputs at a few sampled steps; each repetition has its own coins and steps.
+Texts are sequences of lower-cased words without punctuation; edits are inserted, deleted or changed words. An item that may
+lose k words to edits is cut into k + 1 pieces. Each edit spoils one piece at most, so that one piece stands word for word in every
+text that holds the item: the pieces are looked up at every word of every text, and none can be missed. A long item is cut into
+parts first; one part has no more than its share of the edits, and its pieces are looked up.
 
-The walk starts at every STRIDE-th word of a document and at every word of an item, so that each item-sized stretch is
-met from several places in it, whatever its offset. Where keys agree, the whole item is compared with the stretch
-around by exact edit distance (an alignment that may start and end anywhere).
+Where a piece stands, the words of its part must be there too, all but the edits allowed and none shifted by more than
+these. Then the whole item is compared with the stretch around by exact edit distance (an alignment that may start and end anywhere).
 
 The benchmark is read in blocks of bounded size, each compared with all documents; documents are not shuffled."""
 
@@ -22,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from macrospark.llm.rolling import scramble, slices, text_buffers, word_hashes
+from macrospark.llm.rolling import WINDOW_BASES, slices, text_buffers, word_hashes
 
 SIMILARITY = 0.8
-STRIDE = 4
-REPETITIONS = 8
-#: Steps walked, and outputs sampled for a key. With these a stretch with no edit in some eight words always meets.
-STEPS, SAMPLES = 20, 6
+#: Words of a part at most, and words of a piece that are looked up at most.
+PART_WORDS, SEED_WORDS = 64, 8
+#: Places compared, and words laid side by side, at once.
+PLACES, CELLS = 1 << 18, 1 << 22
 #: A block of the benchmark ends after so many words; a longer item is a block of its own.
 BLOCK_WORDS = 200_000
 #: Items of fewer words are compared as exact sequences only.
@@ -48,54 +47,62 @@ def plain_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Repetition:
-    coin: np.uint64
-    steps: np.ndarray
+class Seeds:
+    """Hashes of the looked-up words of pieces of one length, sorted, with their part and the piece's place in the item."""
 
-
-def repetitions(n: int = REPETITIONS, steps: int = STEPS, samples: int = SAMPLES, seed: int = 7) -> list[Repetition]:
-    rng = np.random.default_rng(seed)
-    return [Repetition(np.uint64(rng.integers(1, 1 << 62)), np.sort(rng.choice(steps, samples, replace=False))) for _ in range(n)]
-
-
-def walk_keys(found: np.ndarray, starts: np.ndarray, rep: Repetition) -> np.ndarray:
-    """The key of the walk from each start. Walks that run over the end read an endless word zero."""
-    coins = scramble(found ^ rep.coin)
-    padded, coins = np.append(found, np.uint64(0)), np.append(coins, np.uint64(0))
-    at, key, end = starts.copy(), np.zeros(len(starts), np.uint64), len(found)
-    sampled = set(rep.steps.tolist())
-    for step in range(int(rep.steps[-1]) + 1):
-        if step in sampled:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + padded[at]
-        at += ((coins[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-        np.minimum(at, end, out=at)
-    return scramble(key)
+    keys: np.ndarray
+    parts: np.ndarray
+    offsets: np.ndarray
 
 
 @dataclass(frozen=True)
 class Index:
-    """One block: each item's words, and per repetition the sorted keys with their item and offset."""
+    """One block: each item's words; of each part its item, first word, words and edits; the seeds by length."""
 
     ids: list[int]
     items: list[np.ndarray]
-    keys: list[np.ndarray]
-    owners: list[np.ndarray]
-    offsets: list[np.ndarray]
+    owner: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    most: np.ndarray
+    seeds: dict[int, Seeds]
+
+
+def window_keys(found: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length up to `longest` and the hashes of the runs of so many words."""
+    key = found
+    for length in range(1, min(longest, len(found)) + 1):
+        if length > 1:
+            key = key[:-1] * np.uint64(WINDOW_BASES[0]) + found[length - 1:]
+        yield length, key
+
+
+def cuts(n: int, pieces: int) -> np.ndarray:
+    """Ends of `pieces` even pieces of n words, 0 first."""
+    return np.arange(pieces + 1) * n // pieces
 
 
-def index_block(rows: list[tuple[int, str]], reps: list[Repetition]) -> Index:
+def index_block(rows: list[tuple[int, str]], similarity: float = SIMILARITY) -> Index:
     found, before = plain_hashes(pa.array([t for _, t in rows], pa.string()))
     items = [found[a:b] for a, b in zip(before[:-1], before[1:])]
-    keys, owners, offsets = [], [], []
-    for rep in reps:
-        per = [(walk_keys(w, at, rep), at, k) for k, w in enumerate(items) if len(w)
-               for at in [np.arange(max(1, len(w) - LEAST_WORDS + 1))]]
-        key = np.concatenate([p[0] for p in per] or [np.empty(0, np.uint64)])
-        order = np.argsort(key, kind="stable")
-        keys.append(key[order])
-        owners.append(np.concatenate([np.full(len(p[1]), p[2]) for p in per] or [np.empty(0, np.int64)])[order])
-        offsets.append(np.concatenate([p[1] for p in per] or [np.empty(0, np.int64)])[order])
-    return Index([i for i, _ in rows], items, keys, owners, offsets)
+    parts, seeds = [], []
+    for k, item in enumerate(items):
+        n = len(item)
+        edits, ends = allowed(n, similarity), cuts(n, -(-n // PART_WORDS)) if n else [0]
+        for a, b in zip(ends[:-1], ends[1:]):
+            share = int(b - a) * edits // n
+            inner = cuts(int(b - a), share + 1)
+            seeds += [(min(int(y - x), SEED_WORDS), len(parts), int(a + x), int(before[k] + a + x)) for x, y in zip(inner[:-1], inner[1:])]
+            parts.append((k, int(a), int(b - a), share))
+    table = np.array(seeds, np.int64).reshape(-1, 4)
+    by = {}
+    for length, key in window_keys(found, int(table[:, 0].max(initial=0))):
+        some = table[table[:, 0] == length]
+        if len(some):
+            mine = key[some[:, 3]]
+            order = np.argsort(mine, kind="stable")
+            by[length] = Seeds(mine[order], some[order, 1], some[order, 2])
+    return Index([i for i, _ in rows], items, *np.array(parts, np.int64).reshape(-1, 4).T, by)
 
 
 def edit_distance(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -125,34 +132,72 @@ def allowed(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9) if n >= LEAST_WORDS else 0
 
 
-def _hits(found: np.ndarray, before: np.ndarray, index: Index, reps: list[Repetition], stride: int) -> np.ndarray:
-    """Distinct (text, item, first word the item would have in the text) where a key agrees."""
-    counts = np.diff(before)
-    per = -(-counts // stride)
-    text = np.repeat(np.arange(len(counts)), per)
-    starts = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * stride + before[text]
-    out = []
-    for rep, keys, owners, offsets in zip(reps, index.keys, index.owners, index.offsets):
-        if not len(keys) or not len(starts):
+def _stand(found: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, part: np.ndarray, index: Index) -> np.ndarray:
+    """Whether all words of a part but its edits stand in the text (words begin to end of `found`) about where they should if
+    the part began at word `at` of `found`."""
+    out = np.zeros(len(at), bool)
+    shapes = index.size[part] * (PART_WORDS + 1) + index.most[part]
+    for shape in np.unique(shapes):
+        n, most = divmod(int(shape), PART_WORDS + 1)
+        rows = np.flatnonzero(shapes == shape)
+        step = max(1, CELLS // (n + 2 * most))
+        for some in (rows[i:i + step] for i in range(0, len(rows), step)):
+            spot = at[some, None] + np.arange(-most, n + most)
+            inside = (spot >= begin[some, None]) & (spot < end[some, None])
+            there = np.where(inside, found[np.clip(spot, 0, len(found) - 1)], np.uint64(0))
+            kinds, which = np.unique(part[some], return_inverse=True)
+            words = np.stack([index.items[index.owner[p]][index.first[p]:index.first[p] + n] for p in kinds])[which]
+            same = np.zeros(words.shape, bool)
+            for shift in range(2 * most + 1):
+                same |= there[:, shift:shift + n] == words
+            out[some] = same.sum(1) >= n - most
+    return out
+
+
+def _marks(index: Index) -> dict[int, np.ndarray]:
+    """Per length a table of the keys' low bits."""
+    out = {}
+    for length, seeds in index.seeds.items():
+        out[length] = np.zeros(1 << 20, bool)
+        out[length][seeds.keys & np.uint64((1 << 20) - 1)] = True
+    return out
+
+
+def _hits(found: np.ndarray, before: np.ndarray, index: Index, marks: dict[int, np.ndarray]) -> np.ndarray:
+    """Distinct (text, item, first word the item would have in the text) where a part of it stands."""
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    out = [np.empty((0, 3), np.int64)]
+    for length, key in window_keys(found, max(index.seeds, default=0)):
+        if length not in index.seeds:
             continue
-        marks = np.zeros(1 << 20, bool)
-        marks[keys & np.uint64((1 << 20) - 1)] = True
-        mine = walk_keys(found, starts, rep)
-        near = np.flatnonzero(marks[mine & np.uint64((1 << 20) - 1)])
-        lo, hi = np.searchsorted(keys, mine[near], "left"), np.searchsorted(keys, mine[near], "right")
-        n = hi - lo
-        spot = np.repeat(near, n)
-        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        out.append(np.stack([text[spot], owners[row], starts[spot] - before[text[spot]] - offsets[row]], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 3), np.int64)
-
-
-def _finder(index: Index, reps: list[Repetition], similarity: float, stride: int):
+        seeds = index.seeds[length]
+        near = np.flatnonzero(marks[length][key & np.uint64((1 << 20) - 1)])
+        near = near[near + length <= before[text[near] + 1]]
+        lo = np.searchsorted(seeds.keys, key[near], "left")
+        n = np.searchsorted(seeds.keys, key[near], "right") - lo
+        near, lo, n = near[n > 0], lo[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(near):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + PLACES, "right")))
+            some = n[a:b]
+            spot = np.repeat(near[a:b], some)
+            row = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(lo[a:b], some)
+            part, t = seeds.parts[row], text[spot]
+            start = spot - seeds.offsets[row]  # of the item
+            good = _stand(found, before[t], before[t + 1], start + index.first[part], part, index)
+            out.append(np.unique(np.stack([t, index.owner[part], start - before[t]], 1)[good], axis=0))
+            a = b
+    return np.unique(np.concatenate(out), axis=0)
+
+
+def _finder(index: Index, similarity: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _marks(index)
         for batch in batches:
             for some in slices(batch, "text"):
                 found, before = plain_hashes(some.column("text"))
-                hits = _hits(found, before, index, reps, stride)
+                hits = _hits(found, before, index, marks)
                 rows = []
                 if len(hits):
                     cuts = np.concatenate([[0], np.flatnonzero((hits[1:, :2] != hits[:-1, :2]).any(1)) + 1, [len(hits)]])
@@ -198,20 +243,18 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 _FOUND = "doc_id bigint, item_id bigint, edits bigint, end_word bigint, item_words bigint"
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stride: int = STRIDE,
-                   n: int = REPETITIONS) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row and item it holds: doc_id, item_id, edits (words), end_word (in the document's words without
     punctuation) and item_words.
 
-    An item is held if some stretch of the text is within (1 - similarity) x item_words edits; items of fewer than
+    All are found. An item is held if some stretch of the text is within (1 - similarity) x item_words edits; items of fewer than
     eight words must stand word for word. Null and empty texts hold nothing; a null doc_id is reported as null; equal rows are
     reported each; equal items are reported each. An empty benchmark gives no row."""
     spark = docs.sparkSession
-    reps = repetitions(n)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     out = spark.createDataFrame([], _FOUND)
     for part in blocks(benchmark):
-        out = out.unionByName(rows.mapInArrow(_finder(index_block(part, reps), reps, similarity, stride), _FOUND))
+        out = out.unionByName(rows.mapInArrow(_finder(index_block(part, similarity), similarity), _FOUND))
     return out
 
 

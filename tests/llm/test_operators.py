@@ -255,6 +255,32 @@ def test_decontamination_recall(docs):
     assert found <= held and len(found) >= 0.95 * len(held) and max(d for d, _ in found) < 1000
 
 
+def test_decontamination_finds_all(docs):
+    """Items of every length, at every offset and with as many edits as allowed, against brute force: nothing is missed."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(2000)] + ["the", "of", "and"] * 200
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(n)) for k, n in enumerate([3, 4, 5, 6, 7, *range(8, 27), 40, 63, 64, 65, 70, 130, 200])]
+    rows = []
+    for k, item in items:
+        for i in range(24):
+            edited = list(item)
+            for _ in range(D.allowed(len(item), D.SIMILARITY) if i % 4 else 0):
+                at = rng.randrange(len(edited))
+                edited[at:at + 1] = rng.choice([[], ["new"], ["new", edited[at]]])
+            rows.append((100 * k + i, text(i % 9) + edited + text(rng.choice([0, 5, 30]))))
+    want = {}
+    for d, body in rows:
+        for k, item in items:
+            edits, end = D.edit_distance([hash(x) for x in item], [hash(x) for x in body])
+            if edits <= D.allowed(len(item), D.SIMILARITY):
+                want[d, k] = (edits, end)
+    bench = docs([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = D.contaminations(docs([(d, " ".join(w)) for d, w in rows]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["edits"], r["end_word"]) for r in got} == want
+    assert len(want) >= len(rows) - 20 and len(got) == len(want)
+
+
 def test_benchmark_in_blocks(docs, monkeypatch):
     rows = [(i, f"{'a ' * 5} alpha{i} beta gamma delta eps zeta eta theta iota{i} {'b ' * 9}") for i in range(6)]
     bench = docs([(i, f"alpha{i} beta gamma delta eps zeta eta theta iota{i}") for i in range(6)], "item_id long, text string")
