@@ -50,3 +50,12 @@ def test_pipeline(spark, corpus, tmp_path):
         assert r["grown_shard"] in (r["shard"], 40)
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     assert run(spark, _tables(spark, corpus, tmp_path / "e", empty=True)).count() == 0
+
+
+def test_near_dedup_reaches_similarity(spark, tmp_path):
+    """One changed word in thirty leaves five-word sets about 0.8 alike or more: the stage drops such copies."""
+    words = [[f"d{d}w{i}" for i in range(150)] for d in range(30)]
+    rows = [(d, " ".join(w)) for d, w in enumerate(words)] + [(100 + d, " ".join(["new", *w[1:70], "new", *w[71:]])) for d, w in enumerate(words)]
+    stage = dict(STAGES)["near dedup"]
+    left = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(30))
