@@ -51,6 +51,16 @@ def key_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("<null>"))
 
 
+def text_mark(text: Column) -> Column:
+    """A number that tells texts apart; null has one of its own. Beside doc_id it names a row where ids are missing or repeated."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def same_row(df: DataFrame, doc_id: str = "_id", mark: str = "_mark") -> Column:
+    """Whether a row of documents `df` has this doc_id (which may be null) and text_mark."""
+    return df["doc_id"].eqNullSafe(F.col(doc_id)) & (text_mark(df["text"]) == F.col(mark))
+
+
 def before_in_group(df: DataFrame, group: Sequence[str], rank: str, ties: Sequence[str],
                     sums: dict[str, Column]) -> DataFrame:
     """Adds, for each of `sums`, the total over the rows that stand before a row in its group.
@@ -82,4 +92,4 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["GAP", "DIGEST_BITS", "before_in_group", "cut_lineage", "digest_number", "digest_sql", "kept", "key_text",
-           "let", "table", "tasks", "words"]
+           "let", "same_row", "table", "tasks", "text_mark", "words"]

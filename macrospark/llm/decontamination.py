@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from macrospark.llm.common import same_row, text_mark
 from macrospark.llm.rolling import WINDOW_BASES, slices, text_buffers, word_hashes
 
 SIMILARITY = 0.8
@@ -217,9 +218,9 @@ def _finder(index: Index, similarity: float):
                             if at is not None:
                                 lo, hi = max(0, at - most), at + len(item) + most
                         if best[0] <= most:
-                            rows.append((some.column("doc_id")[t].as_py(), index.ids[k], best[0], best[1], len(item)))
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "end_word", "item_words"])
+                            rows.append((some.column("doc_id")[t].as_py(), some.column("mark")[t].as_py(), index.ids[k], best[0], best[1], len(item)))
+                cols = list(zip(*rows)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "mark", "item_id", "edits", "end_word", "item_words"])
 
     return find
 
@@ -240,18 +241,18 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield part
 
 
-_FOUND = "doc_id bigint, item_id bigint, edits bigint, end_word bigint, item_words bigint"
+_FOUND = "doc_id bigint, mark bigint, item_id bigint, edits bigint, end_word bigint, item_words bigint"
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document row and item it holds: doc_id, item_id, edits (words), end_word (in the document's words without
+    """One row per document row and item it holds: doc_id, mark (the text_mark of its text), item_id, edits (words), end_word (in the document's words without
     punctuation) and item_words.
 
     All are found. An item is held if some stretch of the text is within (1 - similarity) x item_words edits; items of fewer than
     eight words must stand word for word. Null and empty texts hold nothing; a null doc_id is reported as null; equal rows are
     reported each; equal items are reported each. An empty benchmark gives no row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), F.lower("text").alias("text"))
     out = spark.createDataFrame([], _FOUND)
     for part in blocks(benchmark):
         out = out.unionByName(rows.mapInArrow(_finder(index_block(part, similarity), similarity), _FOUND))
@@ -259,9 +260,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, the closest item and its edits."""
+    """One row per row of `docs`, judged by its own text: doc_id, contaminated, n_items, the closest item and its edits."""
     best = F.min(F.struct("edits", "item_id"))
-    found = contaminations(docs, benchmark).groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), best.alias("b"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
+    found = contaminations(docs, benchmark).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count_distinct("item_id").alias("n_items"), best.alias("b"))
+    return docs.join(found, same_row(docs), "left").select(
         "doc_id", F.col("b").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.col("b.item_id").alias("item_id"), F.col("b.edits").alias("edits"))

@@ -16,7 +16,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from macrospark.llm.common import kept, let
+from macrospark.llm.common import kept, let, same_row, text_mark
 
 # Usual notices of each family.
 TEMPLATES = {
@@ -56,8 +56,8 @@ def grams(found: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (its number) and line of all lines with a letter."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    """doc_id, mark (the text_mark of the text), paragraph (its number) and line of all lines with a letter."""
+    lines = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
     return lines.where(F.col("line").rlike(r"\p{L}"))
 
 
@@ -129,15 +129,15 @@ def _pairs(text: str) -> list[str]:
 
 
 def classify(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, paragraph, licence (a family or `unknown`), probability and likeness of the paragraphs that are notices."""
-    scored = classifier.model.transform(_vectors(paragraphs(docs))).select("doc_id", "paragraph", "grams", vector_to_array("rawPrediction").alias("raw"))
+    """doc_id, mark, paragraph, licence (a family or `unknown`), probability and likeness of the paragraphs that are notices."""
+    scored = classifier.model.transform(_vectors(paragraphs(docs))).select("doc_id", "mark", "paragraph", "grams", vector_to_array("rawPrediction").alias("raw"))
     none = CLASSES.index("none")
     notices = scored.where(F.array_position("raw", F.array_max("raw")) != none + 1)
     rows = notices.withColumn("p", _softened(F.col("raw"), classifier.temperature)).withColumn("_best", F.slice("p", 1, len(TEMPLATES)))
     rows = rows.withColumn("family", F.array(*[F.lit(c) for c in sorted(TEMPLATES)])[F.array_position("_best", F.array_max("_best")).cast("int") - 1])
     rows = rows.withColumn("likeness", likeness(F.col("grams"), F.col("family")))
     sure = (F.array_max("_best") >= classifier.threshold) & (F.col("likeness") >= CONFIRM)
-    return rows.select("doc_id", "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("licence"),
+    return rows.select("doc_id", "mark", "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("licence"),
                        F.when(sure, F.array_max("_best")).otherwise(F.array_max("p")).alias("probability"), "likeness")
 
 
@@ -148,10 +148,10 @@ def notices(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, licences (its families and `unknown`, in order of name, joined by a comma; null if it has none),
+    """One row per row of `docs`, by its own text: doc_id, licences (its families and `unknown`, in order of name, joined by a comma; null if it has none),
     n_notices and n_unknown."""
-    found = notices(docs).groupBy("doc_id").agg(
-        F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.count(F.lit(1)).alias("n_notices"),
-        F.count_if(F.col("licence") == "unknown").alias("n_unknown"))
+    found = notices(docs).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(  # equal rows have the same notices
+        F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.count_distinct("paragraph").alias("n_notices"),
+        F.count_distinct(F.when(F.col("licence") == "unknown", F.col("paragraph"))).alias("n_unknown"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", "licences", zero("n_notices"), zero("n_unknown"))
+    return docs.join(found, same_row(docs), "left").select("doc_id", "licences", zero("n_notices"), zero("n_unknown"))

@@ -10,6 +10,7 @@ Stretches end on cell edges, so each source gets exactly its number of slots; po
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -21,9 +22,9 @@ BLOCK_WORDS = 1024
 MOST_TIMES = 3
 
 
-def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, source and size in words; a null text has none."""
-    return docs.select("doc_id", "source", F.size(words(F.col(text))).cast("long").alias("size"))
+def sizes(docs: DataFrame, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, the columns in `carry` and size in words; a null text has none."""
+    return docs.select("doc_id", "source", *carry, F.size(words(F.col(text))).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST_TIMES) -> DataFrame:
@@ -107,12 +108,12 @@ def schedule(p: Plan) -> DataFrame:
     return ranked.select("slot", "number", "block", "turn", length.alias("words"))
 
 
-def laid_out(sized: DataFrame, sources: DataFrame, seed: str = SEED) -> DataFrame:
+def laid_out(sized: DataFrame, sources: DataFrame, seed: str = SEED, ties: Sequence[str] = ()) -> DataFrame:
     """Documents of each source in shuffled order, end to end: place (0 first) and start (words before it)."""
     rows = sized.join(sources.select("number", "source", "source_size", "target"),
                       sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("_rank", digest_number(seed, key_text(F.col("doc_id"))))
-    return before_in_group(rows, ["number"], "_rank", ["doc_id", "size"],
+    return before_in_group(rows, ["number"], "_rank", ["doc_id", "size", *ties],
                            {"place": F.lit(1), "start": F.col("size")}).drop("_rank")
 
 
@@ -127,20 +128,20 @@ def pieces(laid: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST_TIMES,
-        seed: str = SEED) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
+        seed: str = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, the columns in `carry` (which order rows alike in doc_id and size), source, size, source_size, target, taken.
 
     taken counts the words that the schedule plays, repeats included; the taken words of a source are its target,
     rounded. A null source is a source; documents without words are never taken; equal rows are rows of their own,
     and which of them comes first makes no difference. No document: no row."""
-    sized = kept(sizes(docs), "mix-sizes")
+    sized = kept(sizes(docs, carry=carry), "mix-sizes")
     p = plan(targets(sized, cycle, most), block)
-    laid = kept(laid_out(sized, p.sources, seed), "mix-laid")
+    laid = kept(laid_out(sized, p.sources, seed, carry), "mix-laid")
     played = schedule(p).join(pieces(laid, block), ["number", "block"])
     taken = F.greatest(F.lit(0), F.least(F.col("length"), F.col("words") - F.col("at")))
     sums = played.groupBy("number", "place").agg(F.sum(taken).alias("taken"))
     return laid.join(sums, ["number", "place"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "doc_id", *carry, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ some hundred counts, whatever the number of rows. The list is emitted as one CAS
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,20 +46,20 @@ def repeated_words(found: Column) -> Column:
     return F.when(F.size(found) >= 4, let(windows(found), count)).otherwise(0).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the contract's counts, and the statistics that rules are learned on; null counts as empty."""
+def statistics(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns in `carry`, the contract's counts, and the statistics that rules are learned on; null counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     without = lambda rx: (F.length("_t") - F.length(F.regexp_replace("_t", rx, ""))).cast("long")
-    rows = docs.select("doc_id", text.alias("_t"), words(text).alias("_w"))
+    rows = docs.select("doc_id", *carry, text.alias("_t"), words(text).alias("_w"))
     lines = let(F.split("_t", "\n", -1), lambda ls: F.filter(ls, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     many = lambda ls: F.struct(F.size(ls).cast("long").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("dup"))
     counts = rows.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        "doc_id", *carry, F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         without(SYMBOLS).alias("n_symbols"), let(lines, many).alias("_l"), repeated_words(F.col("_w")).alias("n_repeat_words"),
         F.size(F.array_distinct("_w")).cast("long").alias("_distinct"), without("[A-Z]+").alias("_upper"), without(r"[!?.,;:]+").alias("_marks"))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return counts.withColumn("n_dup_lines", F.col("_l.dup")).withColumn("_lines", F.col("_l.n")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("word_length"), share("n_symbols", "n_words").alias("symbols_per_word"),
         share("n_dup_lines", "_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("_distinct", "n_words").alias("distinct_share"), share("_upper", "word_chars").alias("upper_share"),
@@ -175,12 +176,12 @@ def labelled_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.join(one, "doc_id").select("doc_id", *FEATURES, "bad")
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, the counts, base_failed, rule (the one that rejects it, null if none) and kept.
+def judge(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, the columns in `carry`, the counts, base_failed, rule (the one that rejects it, null if none) and kept.
 
     A null or empty text has no words and fails the base. Rows without doc_id are judged but not learned from.
     Without labels only the base rejects."""
-    stats = kept(statistics(docs), "quality-statistics")
+    stats = kept(statistics(docs, carry), "quality-statistics")
     rules = learn(labelled_rows(stats, labels))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return stats.withColumn("base_failed", base).withColumn("rule", rules.fired()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -3,6 +3,7 @@
 import pytest
 
 from corpus_pipeline import STAGES, run
+from macrospark.llm import licenses as L
 from macrospark.llm.queries import QUERIES
 from tests.compare import compare, connect
 from tests.conftest import SF
@@ -59,3 +60,31 @@ def test_near_dedup_reaches_similarity(spark, tmp_path):
     stage = dict(STAGES)["near dedup"]
     left = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(30))
+
+
+def test_rows_without_id_stand_for_themselves(spark, tmp_path):
+    """Rows without doc_id, or that share one, are judged each by its own text in every stage and digest."""
+    item = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    good = lambda k: " ".join(f"g{k}x{i}" for i in range(80))
+    rows = [(d, t, "en", "s", 0) for d in (None, 7) for t in (good(f"{d}a"), good(f"{d}b"), f"{good(f'{d}c')} {item}", "short")]
+    rows += [(None, good("both"), "en", "s", 0), (9, good("both"), "en", "s", 0)]
+    path = str(tmp_path / "t")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    stages = dict(STAGES)
+    left = lambda name: sorted((r["doc_id"] or 0, r["text"]) for r in stages[name](spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect())
+    every = sorted((d or 0, t) for d, t, *_ in rows)
+    assert left("quality rules") == [x for x in every if x[1] != "short"]
+    assert left("decontamination") == [x for x in every if item not in x[1]]
+    assert left("near dedup") == [x for x in every if x != (0, good("both")) and x != (0, "short")]
+    assert left("source mix") == every
+    got = QUERIES["op10_edit_windows"].run(spark, path).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in got) == sorted((d, item in t) for d, t in every)
+
+
+def test_licences_of_rows_without_id(spark):
+    rows = [(None, "Released under the MIT License.", "en"), (None, "plain words only", "en"), (1, "Released under the ISC License.", "en"), (1, "more plain words", "en")]
+    got = L.digest(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")).collect()
+    assert sorted((r["doc_id"] or 0, r["licences"] or "", r["n_notices"]) for r in got) == sorted([(0, "mit", 1), (0, "", 0), (1, "isc", 1), (1, "", 0)] * 2)
