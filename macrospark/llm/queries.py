@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from macrospark.llm import decontamination, language, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash, substring_dedup
+from macrospark.llm import decontamination, filter_audit, language, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash, substring_dedup, vector_codes
 from macrospark.llm.common import table
 from macrospark.plans.catalogue import Query
 
@@ -67,3 +67,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_evidence")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op12_grid_codes", vector_codes.digest_oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_posting_lists", filter_audit.digest_oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
