@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from macrospark.llm import decontamination, filter_audit, language, licenses, line_dedup, mixing, pii, quality_rules, sharding, simhash, substring_dedup, vector_codes
+from macrospark.llm import decontamination, filter_audit, language, licenses, line_dedup, mixing, pii, quality_rules, set_join, sharding, simhash, substring_dedup, vector_codes
 from macrospark.llm.common import table
 from macrospark.plans.catalogue import Query
 
@@ -69,6 +69,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+@query("op11_partenum_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.digest(table(spark, sf_dir, "documents"))
+
+
 @query("op12_grid_codes", vector_codes.digest_oracle())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(table(spark, sf_dir, "embeddings"))
