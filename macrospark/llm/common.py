@@ -61,6 +61,19 @@ def same_row(df: DataFrame, doc_id: str = "_id", mark: str = "_mark") -> Column:
     return df["doc_id"].eqNullSafe(F.col(doc_id)) & (text_mark(df["text"]) == F.col(mark))
 
 
+def matching(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The documents that `rows` (doc_id, mark: a text_mark) names, or does not name ("left_anti"), with their own columns. Each row is met by doc_id and
+    text, so rows without doc_id or of one doc_id stand for themselves; `docs` may have columns of any names."""
+    named = rows.select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark")).distinct().alias("__named")
+    met = F.col("__docs.doc_id").eqNullSafe(F.col("__named.__doc_id")) & (text_mark(F.col("__docs.text")) == F.col("__named.__mark"))
+    return docs.alias("__docs").join(named, met, how)
+
+
+def same_rows_once(docs: DataFrame) -> DataFrame:
+    """One of the rows that are alike in doc_id and text; which one, where other columns differ, is open."""
+    return docs.dropDuplicates(["doc_id", "text"])
+
+
 def before_in_group(df: DataFrame, group: Sequence[str], rank: str, ties: Sequence[str],
                     sums: dict[str, Column]) -> DataFrame:
     """Adds, for each of `sums`, the total over the rows that stand before a row in its group.
@@ -92,4 +105,4 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 __all__ = ["GAP", "DIGEST_BITS", "before_in_group", "cut_lineage", "digest_number", "digest_sql", "kept", "key_text",
-           "let", "same_row", "table", "tasks", "text_mark", "words"]
+           "let", "matching", "same_row", "same_rows_once", "table", "tasks", "text_mark", "words"]

@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from macrospark.llm.common import kept, tasks
-from macrospark.llm.near_copies import shingles
-from macrospark.llm.rolling import scramble, slices
+from macrospark.llm.common import kept, tasks, text_mark
+from macrospark.llm.rolling import WINDOW_BASES, scramble, slices, text_buffers, window_hashes, word_hashes
 from macrospark.llm.simhash import components
 
 #: Similarity 4/5, of five-word shingles.
@@ -45,6 +44,8 @@ RUN_LEAST, HEAVY_LEAST, HEAVY_MOST = 3, 50, 1 << 17
 FILTER_BITS = 24
 
 _U = np.uint64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 class Bands:
@@ -65,6 +66,25 @@ class Bands:
         return np.searchsorted(self.ends, sizes)
 
 
+def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of `width` words, and how many stand before each text. A text of fewer words is one run."""
+    data, offsets = text_buffers(column)
+    found, before = word_hashes(_LOWER[data], offsets)
+    n = np.diff(before)
+    runs = np.zeros(len(found), np.uint64)
+    whole = window_hashes(found, width, WINDOW_BASES[0])
+    runs[:len(whole)] = whole
+    for k in np.flatnonzero((n > 0) & (n < width)):
+        key = n[k:k + 1].astype(np.uint64)
+        for at in range(before[k], before[k + 1]):
+            key = key * np.uint64(WINDOW_BASES[1]) + found[at:at + 1]
+        runs[before[k]] = scramble(key)[0]
+    per = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    ends = np.concatenate([[0], np.cumsum(per)])
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], per) + np.repeat(before[:-1], per)
+    return runs[at], ends
+
+
 def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features (64-bit hashes) of each text's set, ascending, where each set ends, and a 64-bit name of each set."""
     runs, ends = shingles(column, SHINGLE)
@@ -151,21 +171,21 @@ def ordered(runs: np.ndarray, owner: np.ndarray, places: np.ndarray) -> tuple[np
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["heavy", "doc_id", "set", "size"]
+    names = ["heavy", "doc_id", "mark", "set", "size"]
     for batch in batches:
         for some in slices(batch, "text"):
             runs, ends, sets = sets_of(some.column("text"))
             size, ids = np.diff(ends), some.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, pa.array(sets.view(np.int64)), pa.array(size)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, some.column("mark"), pa.array(sets.view(np.int64)), pa.array(size)], names)
             items, n = np.unique(_picked(runs, ends, _once(sets, size))[0], return_counts=True)
             items, n = items[n >= RUN_LEAST], n[n >= RUN_LEAST]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), pa.array(items.view(np.int64)), pa.array(n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), pa.nulls(len(n), pa.int64()), pa.array(items.view(np.int64)), pa.array(n)], names)
 
 
 def sketches(docs: DataFrame) -> tuple[DataFrame, Frequent]:
-    """doc_id, set (a name of the shingle set) and size of every row; the frequent features."""
-    rows = docs.select("doc_id", "text")
-    all_ = kept(rows.mapInArrow(_sketch, f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, set bigint, size bigint"), "join-sketches")
+    """doc_id, mark, set (a name of the shingle set) and size of every row; the frequent features."""
+    rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
+    all_ = kept(rows.mapInArrow(_sketch, f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, set bigint, size bigint"), "join-sketches")
     counted = all_.where("heavy").groupBy("set").agg(F.sum("size").alias("n")).where(F.col("n") >= HEAVY_LEAST)
     top = counted.orderBy(F.desc("n"), "set").limit(HEAVY_MOST).select("set").toArrow()
     items = top.column("set").to_numpy().astype(np.int64).view(_U)
@@ -173,8 +193,14 @@ def sketches(docs: DataFrame) -> tuple[DataFrame, Frequent]:
     return all_.where("NOT heavy").drop("heavy"), Frequent(items[order], len(items) - order)
 
 
-#: What travels to a bucket: sets, their sizes and shares of rare features, how many signatures each has there, the signatures' low halves.
-_PACKED = ["sets", "sizes", "rare", "counts", "sigs"]
+#: What travels to a bucket: sets, their shares of rare features (of 255), how many signatures each has there (in runs of RUN at most), the
+#: signatures' low halves. Between 5 and 15 bytes a signature, the more the more buckets there are.
+_PACKED = ["sets", "rare", "counts", "sigs"]
+RUN = 65535
+#: Signatures in a bucket, about; one Python task holds one bucket.
+BUCKET, LEAST_BUCKETS = 6_000_000, 64
+#: A bucket is sorted in so many pieces.
+PIECES = 8
 
 
 def _packed(heavy, buckets: int):
@@ -189,15 +215,16 @@ def _packed(heavy, buckets: int):
                 items, owner = _picked(runs, ends, at)
                 places = heavy.value.of(items)
                 sigs, of = signatures(items, owner, size[at], places)
-                rare = (np.bincount(owner[places == 0], minlength=len(at)) / size[at]).astype(np.float32)
+                rare = (255 * np.bincount(owner[places == 0], minlength=len(at)) // size[at]).astype(np.uint8)
                 bucket = ((sigs >> _U(32)) % _U(buckets)).astype(np.int64)
                 order = np.lexsort((of, bucket))
                 sigs, of, bucket = sigs[order].astype(np.uint32), of[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 out = {"bucket": bucket[cuts]} | {k: [] for k in _PACKED}
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                    who, n = np.unique(of[a:b], return_counts=True)
-                    for k, x in (("sets", sets[at[who]]), ("sizes", size[at[who]].astype(np.int32)), ("rare", rare[who]), ("counts", n.astype(np.int32)), ("sigs", sigs[a:b])):
+                    run = np.flatnonzero((np.diff(of[a:b], prepend=-1) != 0) | (np.arange(b - a) % RUN == 0))
+                    who = of[a:b][run]
+                    for k, x in (("sets", sets[at[who]]), ("rare", rare[who]), ("counts", np.diff(run, append=b - a).astype(np.uint16)), ("sigs", sigs[a:b])):
                         out[k].append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in _PACKED]], ["bucket", *_PACKED])
     return pack
@@ -206,30 +233,36 @@ def _packed(heavy, buckets: int):
 def _stars(table: pa.Table) -> pa.Table:
     """Of one bucket: each set beside the first one that has the same signature, once."""
     joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    counts = joined("counts", np.int32)
-    sets, sizes, rare = (np.repeat(joined(c, k), counts) for c, k in (("sets", _U), ("sizes", np.int32), ("rare", np.float32)))
-    sigs = joined("sigs", np.uint32)
+    counts, sets, rare, sigs = joined("counts", np.uint16), joined("sets", _U), joined("rare", np.uint8), joined("sigs", np.uint32)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    found = [_leads(sigs[some], sets[owner[some]], rare[owner[some]]) for some in (np.flatnonzero(sigs % PIECES == k) for k in range(PIECES))]
+    pairs = np.unique(np.concatenate(found))
+    return pa.table({"a": pairs["a"].view(np.int64), "b": pairs["b"].view(np.int64), "more": pairs["more"]})
+
+
+def _leads(sigs: np.ndarray, sets: np.ndarray, rare: np.ndarray) -> np.ndarray:
     order = np.lexsort((sets, rare, sigs))
-    sets, sizes, sigs = sets[order], sizes[order], sigs[order]
+    sets, sigs = sets[order], sigs[order]
     once = np.ones(len(sigs), bool)
     once[1:] = (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])
-    sets, sizes, sigs = sets[once], sizes[once], sigs[once]
+    sets, sigs = sets[once], sigs[once]
     starts = np.flatnonzero(np.diff(sigs.astype(np.int64), prepend=-1))
-    n = np.diff([*starts, len(sigs)])
+    n = np.diff(starts, append=len(sigs))
     lead, of = np.repeat(starts, n), np.repeat(n, n)
     rest = np.arange(len(sigs)) != lead
-    pairs = np.rec.fromarrays([sets[lead][rest], sets[rest], sizes[lead][rest], sizes[rest], of[rest] > 2], names="a,b,m,n,more")
-    pairs = np.unique(pairs)
-    return pa.table({"a": pairs.a.view(np.int64), "b": pairs.b.view(np.int64), "m": pairs.m, "n": pairs.n, "more": pairs.more})
+    return np.unique(np.rec.fromarrays([sets[lead][rest], sets[rest], of[rest] > 2], dtype=[("a", _U), ("b", _U), ("more", bool)]))
 
 
-def candidates(docs: DataFrame, heavy: Frequent) -> DataFrame:
-    """a (the first set of a bucket), b, their sizes m and n, and whether some bucket of theirs holds more sets."""
+def candidates(docs: DataFrame, rows: DataFrame, heavy: Frequent) -> DataFrame:
+    """a (the first set of a bucket), b, their sizes m and n, and whether some bucket of theirs holds more sets; `rows` are the sketches."""
     spark = docs.sparkSession
-    packed = docs.select("text").mapInArrow(_packed(spark.sparkContext.broadcast(heavy), tasks(spark)),
-                                            "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
-    stars = packed.groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint, m int, n int, more boolean")
-    return stars.groupBy("a", "b", "m", "n").agg(F.max("more").alias("more"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(min(tasks(spark), LEAST_BUCKETS), total // BUCKET)
+    packed = docs.select("text").mapInArrow(_packed(spark.sparkContext.broadcast(heavy), buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
+    stars = packed.groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    sizes = rows.where("size > 0").select("set", "size").distinct()
+    size = lambda c, n: sizes.select(F.col("set").alias(c), F.col("size").alias(n))
+    return stars.join(size("a", "m"), "a").join(size("b", "n"), "b")
 
 
 def _bits(wanted: DataFrame) -> np.ndarray:
@@ -319,24 +352,30 @@ def unsettled(docs: DataFrame, stars: DataFrame, roots: DataFrame, heavy: Freque
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, heavy: Frequent) -> DataFrame:
-    """Links (a, b) between distinct sets whose components are those of all similar pairs."""
-    stars = kept(candidates(docs, heavy), "join-stars")
+def links(docs: DataFrame, rows: DataFrame, heavy: Frequent) -> DataFrame:
+    """Links (a, b) between distinct sets whose components are those of all similar pairs; `rows` are the sketches of `docs`."""
+    stars = kept(candidates(docs, rows, heavy), "join-stars")
     near = kept(similar(docs, stars.where(_fit())), "join-links")
     rest = kept(unsettled(docs, stars, components(near), heavy), "join-rest")
     return near.unionByName(similar(docs, rest)) if rest.take(1) else near
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, set (a name of its set; 0 for the empty one) and component_id."""
+    """One row per row of `docs`: doc_id, mark (its text_mark), set (a name of its shingle set), n_shingles, root (a name of its component) and
+    component_id (the smallest doc_id in it).
+
+    Null, empty and blank texts have the empty set: no component (root is null), component_id is their own doc_id. A text of fewer than five words
+    is one shingle. Texts are taken whole, whatever their length; pairs exactly at the limit are linked. Repeated rows are rows of their own. A row
+    without doc_id has a component, but never names it; component_id is null where nobody in the component has a doc_id. Further
+    columns, of whatever name, are left out. No documents: no rows."""
     rows, heavy = sketches(docs)
-    rooted = kept(components(links(docs, heavy)), "join-roots")
+    rooted = kept(components(links(docs, rows, heavy)), "join-roots")
     classes = rows.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("first")).join(rooted, F.col("set") == F.col("node"), "left")
     classes = classes.select("set", "first", F.coalesce("root", "set").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = kept(classes.join(named, "root").select(F.col("set").alias("_set"), "component_id"), "join-classes")
-    out = rows.join(of, F.col("set") == F.col("_set"), "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "set", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of = kept(classes.join(named, "root").select(F.col("set").alias("of"), "root", "component_id"), "join-classes")
+    out = rows.join(of, F.col("set") == F.col("of"), "left")  # an empty set is in no class
+    return out.select("doc_id", "mark", "set", F.col("size").alias("n_shingles"), "root", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
