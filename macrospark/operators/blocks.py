@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from macrospark.columns import KEY, VALUE, Names, back_from_end, before, names, ordered, q, upto
@@ -47,8 +47,10 @@ def add_range_block(df: DataFrame, order: str, blocks: int | None = None) -> Dat
     if blocks is None:
         blocks = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = df.withColumn("_at", _as_number(df, order).cast("double"))
-    cutter = QuantileDiscretizer(numBuckets=max(2, blocks), inputCol="_at", outputCol=BLOCK, relativeError=0.1 / max(2, blocks))
-    return cutter.fit(at.select("_at")).transform(at).withColumn(BLOCK, F.col(BLOCK).cast("int")).drop("_at")
+    n = max(2, blocks)
+    inner = sorted(set(at.approxQuantile("_at", [k / n for k in range(1, n)], 0.1 / n)))  # none of an empty table
+    cutter = Bucketizer(splits=[-math.inf, *(inner or [0.0]), math.inf], inputCol="_at", outputCol=BLOCK)
+    return cutter.transform(at).withColumn(BLOCK, F.col(BLOCK).cast("int")).drop("_at")
 
 
 def _carried(per_block: DataFrame, keys: list[str], block: str, **carry: Column) -> DataFrame:
