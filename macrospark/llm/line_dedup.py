@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from macrospark.llm.common import let
+from macrospark.llm.common import let, text_mark
 
 LINES = 3
 
@@ -23,7 +23,7 @@ def has_word(line: Column) -> Column:
 
 
 def windows(docs: DataFrame, span: int = LINES) -> DataFrame:
-    """doc_id, at (number of its first line among the lines with a word) and two 64-bit hashes of a window, which
+    """doc_id, mark (text_mark of the row's text), at (number of its first line among the lines with a word) and two 64-bit hashes of a window, which
     together stand for its text."""
     full = F.filter(lines_of(F.col("text")), has_word)
     def hashed(lines: Column) -> Column:
@@ -31,15 +31,17 @@ def windows(docs: DataFrame, span: int = LINES) -> DataFrame:
             own = [lines[i + k] for k in range(span)]
             return F.struct(i.alias("at"), F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(span), *own[::-1]).alias("g"))
         return F.when(F.size(lines) >= span, F.transform(F.sequence(F.lit(0), F.size(lines) - span), one))
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(let(full, hashed)).alias("w")).select("doc_id", "w.*")
+    return docs.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", text_mark(F.col("text")).alias("mark"), F.explode(let(full, hashed)).alias("w")).select("doc_id", "mark", "w.*")
 
 
 def later_starts(wins: DataFrame) -> DataFrame:
-    """Per document: starts, the positions of windows that occurred before. A window that a third of all documents
+    """Per document row (doc_id, mark): starts, the positions of windows that occurred before. A window that a third of all documents
     hold is found in a combining aggregation; the join back to its occurrences can be split by Spark."""
-    first = wins.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = wins.join(first.where("n > 1").drop("n"), ["h", "g"]).where(F.struct("doc_id", "at") > F.col("first"))
-    return again.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    place = F.struct("doc_id", "mark", "at")
+    first = wins.groupBy("h", "g").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    again = wins.join(first.where("n > 1").drop("n"), ["h", "g"]).where(place > F.col("first"))
+    return again.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
 
 
 def cleaned(text: Column, starts: Column, span: int = LINES) -> Column:
@@ -56,15 +58,17 @@ def cleaned(text: Column, starts: Column, span: int = LINES) -> Column:
 def dedup_lines(docs: DataFrame, span: int = LINES) -> DataFrame:
     """The documents with `text` cleaned and n_removed added.
 
-    A null text stays null; a text of fewer than three lines stays as it is. Rows without doc_id are left alone and
-    are nobody's earlier copy. Rows that share a doc_id are one document: their windows are counted together."""
-    starts = later_starts(windows(docs, span)).withColumnRenamed("doc_id", "_doc").withColumnRenamed("starts", "_starts")
+    A null text stays null; a text of fewer than three lines, an empty one too, stays as it is; a text of any length is taken whole. Rows without doc_id are
+    left alone and are nobody's earlier copy. Rows that share a doc_id are judged each by its own text, in the order of their text_mark; rows alike in both
+    have the same first occurrences. No documents: no rows. Columns named n_removed are replaced, others may have any names."""
+    starts = later_starts(windows(docs, span)).select(F.col("doc_id").alias("__doc_id"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
     base = docs.drop("n_removed")
-    joined = base.join(starts, base["doc_id"] == F.col("_doc"), "left")
-    done = joined.withColumn("_c", F.when(F.col("_starts").isNotNull(), cleaned(F.col("text"), F.col("_starts"), span)))
-    keep = [F.when(F.col("_c").isNotNull(), F.col("_c.kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")
+    same = (F.col("__docs.doc_id") == F.col("__later.__doc_id")) & (text_mark(F.col("__docs.text")) == F.col("__later.__mark"))
+    joined = base.alias("__docs").join(starts.alias("__later"), same, "left").select("__docs.*", "__later.__starts")
+    done = joined.withColumn("__cut", F.when(F.col("__starts").isNotNull(), cleaned(F.col("text"), F.col("__starts"), span)))
+    keep = [F.when(F.col("__cut").isNotNull(), F.col("__cut.kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")
             for c in base.columns]
-    return done.select(*keep, F.coalesce(F.col("_c.n_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    return done.select(*keep, F.coalesce(F.col("__cut.n_removed"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

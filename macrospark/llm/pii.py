@@ -33,7 +33,7 @@ ENDINGS = "(?:ова|ева|ина|ская|ая|ов|ев|ин|ский|ий)$"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _MAIL = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
-_PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}"
+_PHONE = r"(?:\+\d{1,3}[ .\-]?\(?\d{2,4}\)?[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})"
 _SOCIAL = r"\d{3}-\d{2}-\d{4}"
 _CARD = r"\d(?:[ \-]?\d){12,18}"
 _SECRET = r"""(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}["']?"""
@@ -189,26 +189,29 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     found = base.select(mark.alias("mark"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))).alias("entity"))
     found = kept(found.distinct(), "pii-found")
     book = replacements(found, key)
-    maps = found.join(book, "entity").groupBy("mark").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_book"),
-        F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_names"))
+    told = kept(found.join(book, "entity"), "pii-told")
+    # two names may share a form in capitals: where a form would stand for two surrogates, it is left out
+    forms = told.select("mark", F.explode("names").alias("f")).groupBy("mark", F.col("f.raw").alias("raw")).agg(F.min("f.out").alias("out"), F.max("f.out").alias("other"))
+    forms = forms.where(F.col("out") == F.col("other")).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("raw", "out"))).alias("__names"))
+    maps = told.groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("__book")).join(forms, "mark", "left")
+    maps = maps.withColumn("__names", F.coalesce("__names", F.create_map().cast("map<string,string>")))
     # as a table of its own, so that Spark may split the rows of a text that has very many copies; it grows with
     # the corpus and is dealt at every size
-    maps = kept(maps.withColumnRenamed("mark", "_mark"), "pii-maps")
-    joined = base.withColumn("_mark", mark).join(maps.hint("merge"), "_mark", "left")
+    maps = kept(maps.withColumnRenamed("mark", "__mark"), "pii-maps")
+    joined = base.withColumn("__mark", mark).join(maps.hint("merge"), "__mark", "left")
 
     def rewritten(entities: Column) -> Column:
         pieces = F.split("text", ENTITY, -1)
-        told = lambda e: F.coalesce(F.col("_book")[e], e, F.lit(""))
-        by_part = lambda p: F.array_join(F.transform(F.split(p, _WORD_EDGE), lambda t: F.coalesce(F.col("_names")[t], t)), "")
-        between = lambda p: F.when(F.size("_names") > 0, by_part(p)).otherwise(p)
+        told = lambda e: F.coalesce(F.col("__book")[e], e, F.lit(""))
+        by_part = lambda p: F.array_join(F.transform(F.split(p, _WORD_EDGE), lambda t: F.coalesce(F.col("__names")[t], t)), "")
+        between = lambda p: F.when(F.size("__names") > 0, by_part(p)).otherwise(p)
         text = F.array_join(F.transform(pieces, lambda p, i: F.concat(between(p), told(F.get(entities, i)))), "")
-        n = F.size(F.filter(entities, lambda e: F.map_contains_key("_book", e))).cast("long")
+        n = F.size(F.filter(entities, lambda e: F.map_contains_key("__book", e))).cast("long")
         return F.struct(text.alias("text"), n.alias("n"))
 
-    done = joined.withColumn("_new", F.when(F.col("_book").isNotNull(), let(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), rewritten)))
-    cols = [F.coalesce("_new.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
-    return done.select(*cols, F.coalesce("_new.n", F.lit(0)).alias("n_entities"))
+    done = joined.withColumn("__new", F.when(F.col("__book").isNotNull(), let(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)), rewritten)))
+    cols = [F.coalesce("__new.text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    return done.select(*cols, F.coalesce("__new.n", F.lit(0)).alias("n_entities"))
 
 
 def digest(docs: DataFrame, key: str = "surrogates") -> DataFrame:

@@ -224,6 +224,21 @@ def test_lines(docs):
         (1, "a\nb\n\nc\nd", 0), (2, "x\ny", 4), (3, "a", 4), (4, None, 0), (None, "a\nb\nc", 0), (5, "a\nb", 0)}
 
 
+def test_lines_of_rows_that_share_an_id(docs):
+    rows = [(1, "a\nb\nc"), (5, "a\nb\nc"), (5, "p\nq\nr"), (5, "p"), (5, "p"), (6, "p\nq\nr"), (5, "a\nb\nc")]
+    got = LD.dedup_lines(docs([(*r, 1, "x") for r in rows], "doc_id long, text string, _doc int, _mark string")).select("doc_id", "text", "n_removed").collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "a\nb\nc", 0), (5, "", 3), (5, "", 3), (5, "p\nq\nr", 0), (5, "p", 0), (5, "p", 0), (6, "", 3)])
+
+
+def test_surrogates_of_names_with_one_form(docs):
+    """Two surnames with one form in capitals do not stop the job; national phone numbers are found; the user's columns stay."""
+    texts = ["Herr Groß und Herr Gross, auch Groß, nicht GROSS.", "Call (212) 555-0147 or 212-555-0148."]
+    got = P.pseudonymised(docs([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, _mark int"), "key").orderBy("doc_id").collect()
+    a, b = (r["text"] for r in got)
+    assert "Groß" not in a and "Gross" not in a and a.endswith("GROSS.") and [r["_mark"] for r in got] == [7, 7]
+    assert re.fullmatch(r"Call \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}\.", b) and "555-014" not in b
+
+
 def test_extra_columns(docs):
     frame = docs([(1, "a\nb\nc", 9, 1, 2)], "doc_id long, text string, n_removed long, shard int, slot long")
     assert LD.dedup_lines(frame).columns == ["doc_id", "text", "shard", "slot", "n_removed"]
