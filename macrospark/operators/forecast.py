@@ -366,10 +366,10 @@ def _spreads(model: LagModel, coef: np.ndarray, steps: int) -> np.ndarray:
 
 def lag_model_forecast(
     df: DataFrame, steps: int, models: Sequence[LagModel] = tuple(AUTO_GRID), exogenous: Sequence[str] = (),
-    pick: str = "aic", key: Names = KEY, order: str = ORDER, value: str = VALUE,
+    pick: str = "aic", key: Names = KEY, order: str = ORDER, value: str = VALUE, flat_steps: int = 5,
 ) -> DataFrame:
     """TSO12 (`pick="aic"`): best model of the grid by AIC. TSO14 (`pick="first"`):
-    first model in order that can be fitted and whose forecast is not flat. Rows are
+    first model in order that can be fitted and whose forecast is not flat over the first `flat_steps` steps; the last one is taken though flat. Rows are
     (key, date, step, model, forecast, lower, upper); exogenous values are held at
     their last level. Series too short for every model give their last value."""
     keys = names(key)
@@ -412,8 +412,8 @@ def lag_model_forecast(
                     aic = information(n, fits.sse, p)
                     usable = (n > p + 1) & np.isfinite(tried).all(axis=1)
                     if pick == "first":
-                        if steps > 1:
-                            usable &= np.std(tried[:, :5], axis=1) * unit >= 1e-8
+                        if steps > 1 and j < len(models) - 1:
+                            usable &= np.std(tried[:, :flat_steps], axis=1) * unit >= 1e-8
                         better = usable & (chosen == len(models))
                     else:
                         better = usable & (aic < best)

@@ -225,8 +225,9 @@ def _auto(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso12_exogenous_forecast")
 def _arx(spark: Spark, sf: str) -> DataFrame:
-    long = economy(spark, sf).select("series_id", "date", q("CPI").alias("value"), "INDPRO")
-    return T.lag_model_forecast(long, 6, [T.LagModel(0, (1,)), T.LagModel(1, (1, 2))], ["INDPRO"])
+    """Every indicator of every supplier, with industrial production as regressor."""
+    long = J.lengthen(economy(spark, sf), [c for c in INDICATORS if c != "INDPRO"], ["series_id", "date", "INDPRO"], "indicator", "value")
+    return T.lag_model_forecast(long, 6, exogenous=["INDPRO"], key=["series_id", "indicator"])
 
 
 @query("tso13_seasonal_regression")
@@ -266,13 +267,13 @@ def _hybrid(spark: Spark, sf: str) -> DataFrame:
 
 @query("tso18_forecast_panel")
 def _panel_forecast(spark: Spark, sf: str) -> DataFrame:
-    return P.forecast_panel(economy(spark, sf), 3, models=[T.LagModel(0, (1,)), T.LagModel(1, (1, 2))], pairs=1)
+    return P.forecast_panel(economy(spark, sf), 3)
 
 
 @query("tso18_forecast_feature_panel")
 def _feature_forecast(spark: Spark, sf: str) -> DataFrame:
     e = economy(spark, sf)
-    return P.forecast_feature_panel(e, P.forecast_panel(e, 3, models=[T.LagModel(0, (1,)), T.LagModel(1, (1, 2))], pairs=1))
+    return P.forecast_feature_panel(e, P.forecast_panel(e, 3))
 
 
 @query("tso19_walk_forward")
@@ -349,7 +350,7 @@ def _rows(spark: Spark, sf: str) -> DataFrame:
 def _rows_ahead(spark: Spark, sf: str) -> DataFrame:
     e = economy(spark, sf)
     full = P.decomposed_panel(e, SPLIT)
-    ahead = P.forecast_feature_panel(e, P.forecast_panel(e, 2, models=[T.LagModel(0, (1,))], pairs=1))
+    ahead = P.forecast_feature_panel(e, P.forecast_panel(e, 2))
     return P.regression_rows(full, ahead, _raw_bounds(spark, sf))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession as Spark, functions as F
 
 from macrospark.columns import q
 from macrospark.constants import DF_CRITICAL_5PCT, INDICATORS
-from macrospark.operators import asof as AO, forecast as T, stationarity as S, vector as V
+from macrospark.operators import asof as AO, forecast as T, moving_average as MA, stationarity as S, vector as V
 from macrospark.plans.catalogue import d, query, r, significant, significant_sql
 from macrospark.plans.driver_tables import ECONOMY, PART_OBS, VINTAGES, economy, part_obs, table, vintages
 
@@ -112,3 +112,22 @@ def _vector_regressor(spark: Spark, sf: str) -> DataFrame:
 @query("tso15_vector_orders")
 def _vector_orders(spark: Spark, sf: str) -> DataFrame:
     return V.vector_model_forecast(economy(spark, sf), _TARGETS, 6, _CANDIDATES, d={"INDPRO": 2, "PPI": 1})
+
+
+# --- moving averages -------------------------------------------------------------------
+
+@query("tso12_moving_average_sums", f"""WITH {PART_OBS}, z AS (SELECT series_id, date, value / coalesce(nullif(avg(abs(value)) OVER (PARTITION BY series_id), 0), 1) AS y FROM obs),
+ l AS (SELECT *, lag(y) OVER w AS y1 FROM z {WIN}), f AS (SELECT series_id, regr_intercept(y, y1) AS a, regr_slope(y, y1) AS b FROM l GROUP BY 1),
+ e AS (SELECT l.*, y - (a + b * y1) AS e FROM l JOIN f USING (series_id)), k AS (SELECT *, lag(e) OVER w AS e1 FROM e {WIN})
+ SELECT series_id, count(*) AS n, {r('sum(y1)', 'x01')}, {r('sum(e1)', 'x02')}, {r('sum(y1 * y1)', 'x11')}, {r('sum(y1 * e1)', 'x12')}, {r('sum(e1 * e1)', 'x22')},
+ {r('sum(y)', 'y0')}, {r('sum(y1 * y)', 'y1')}, {r('sum(e1 * y)', 'y2')}, {r('sum(y * y)', 'yy')} FROM k WHERE y1 IS NOT NULL AND e1 IS NOT NULL GROUP BY 1""")
+def _ma_sums(spark: Spark, sf: str) -> DataFrame:
+    """Sums of the second round: the lag of the series and the lag of the first round's residual."""
+    g = MA.moving_average_sums(part_obs(spark, sf), 1, 1, long=1)
+    cells = {"x01": 1, "x02": 2, "x11": 3, "x12": 4, "x22": 5}
+    return g.select("series_id", "n", *[q("xx")[i].alias(c) for c, i in cells.items()], *[q("xy")[0][i].alias(f"y{i}") for i in range(3)], q("yy")[0].alias("yy"))
+
+
+@query("tso12_moving_average")
+def _ma(spark: Spark, sf: str) -> DataFrame:
+    return MA.moving_average_forecast(part_obs(spark, sf), 6, d=1)

@@ -5,9 +5,8 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from macrospark.operators import asof as AO, stationarity as S, vector as V
+from macrospark.operators import asof as AO, moving_average as MA, stationarity as S, vector as V
 
 DAY = dt.date(2000, 1, 1)
 
@@ -113,3 +112,48 @@ def test_ranked_regressors():
     t = rng.normal(size=(50, 2))
     c = np.column_stack([np.full(50, 7.0), t[:, 0], rng.normal(size=50), t[:, 0]])
     assert V.ranked_regressors(t, c, 3) == [1, 3, 2] and V.ranked_regressors(t, c, 9)[-1] == 0
+
+
+def plain_moving_average(y, grid, long, p_most, q_most):
+    """Both rounds with dense matrices: order, coefficients and first forecast."""
+    lagged = lambda v, k, n: np.column_stack([v[n - i:len(v) - i] for i in range(1, k + 1)]) if k else np.empty((len(v) - n, 0))
+    x = np.column_stack([np.ones(len(y) - long), lagged(y, long, long)])
+    e = np.concatenate([np.full(long, np.nan), y[long:] - x @ np.linalg.lstsq(x, y[long:], rcond=None)[0]])
+    start = long + q_most
+    best = (np.inf, None, None, None)
+    for p, k in grid:
+        x = np.column_stack([np.ones(len(y) - start), lagged(y, p, start), lagged(e, k, start)])
+        coef = np.linalg.lstsq(x, y[start:], rcond=None)[0]
+        sse = ((y[start:] - x @ coef) ** 2).sum()
+        aic = len(x) * np.log(sse / len(x)) + 2 * (len(coef) + 1)
+        if aic < best[0]:
+            best = (aic, (p, k), coef, coef @ np.concatenate([[1.0], y[::-1][:p], e[::-1][:k]]))
+    return best
+
+
+def test_moving_average_by_dense_matrices(spark):
+    rng = np.random.default_rng(8)
+    rows, series = [], {}
+    for s in range(6):
+        e = rng.normal(size=203)
+        y = 50 + e + 0.8 * np.roll(e, 1) if s % 2 else 50 + e
+        series[s] = y[3:]
+        rows += [(s, dt.date(2000 + i // 12, 1 + i % 12, 1), float(v)) for i, v in enumerate(series[s])]
+    rows += [(50, DAY, 3.0), (50, dt.date(2000, 2, 1), 4.0), (51, DAY, None)]
+    frame = spark.createDataFrame(rows, "series_id int, date date, value double")
+    got = {(r["series_id"], r["step"]): r for r in MA.moving_average_forecast(frame, 3).collect()}
+    for s, y in series.items():
+        unit = np.abs(y).mean()
+        _, (p, k), coef, ahead = plain_moving_average(y / unit, MA.ARMA_GRID, 6, 3, 2)
+        one = got[s, 1]
+        assert (one["p"], one["q"]) == (p, k) and one["forecast"] == pytest.approx(ahead * unit, rel=1e-8)
+        assert one["upper"] - one["lower"] < got[s, 3]["upper"] - got[s, 3]["lower"] + 1e-9
+        if s % 2:
+            assert p + k > 0  # the moving average is seen
+    assert got[50, 2]["forecast"] == 4.0 and got[50, 2]["p"] is None and (51, 1) in got
+
+
+def test_moving_average_of_differences(spark):
+    line = [(1, dt.date(2000 + i // 12, 1 + i % 12, 1), 2.0 * i + (-1) ** i) for i in range(60)]
+    out = MA.moving_average_forecast(spark.createDataFrame(line, "series_id int, date date, value double"), 2, [(1, 0)], d=1).orderBy("step").collect()
+    assert [r["forecast"] for r in out] == pytest.approx([2.0 * 60 + 1, 2.0 * 61 - 1], rel=1e-6)
