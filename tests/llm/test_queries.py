@@ -90,3 +90,19 @@ def test_licences_of_rows_without_id(spark):
     rows = [(None, "Released under the MIT License.", "en"), (None, "plain words only", "en"), (1, "Released under the ISC License.", "en"), (1, "more plain words", "en")]
     got = L.digest(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")).collect()
     assert sorted((r["doc_id"] or 0, r["licences"] or "", r["n_notices"]) for r in got) == sorted([(0, "mit", 1), (0, "", 0), (1, "isc", 1), (1, "", 0)] * 2)
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    """The user's own _id, _mark, _rows, _times, _doc, _rank and mark come through every stage but the last unchanged."""
+    names = ["_id", "_mark", "_rows", "_times", "_doc", "_rank", "mark", "set"]
+    text = lambda k: " ".join(f"g{k}x{i}" for i in range(80))
+    rows = [(d, text(k), "s", *[k] * len(names)) for k, d in enumerate([1, 2, None, None, 5, 5])] + [(7, text(0), "s", *[9] * len(names))]
+    path = str(tmp_path / "t")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(1, "nothing of this stands there at all today")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, path).write.parquet(f"{path}/stage-{k}")
+        docs = spark.read.parquet(f"{path}/stage-{k}")
+        assert docs.columns == ["doc_id", "text", "source", *names]
+    assert sorted((r["doc_id"] or 0, r["_id"], r["mark"]) for r in docs.collect()) == [(0, 2, 2), (0, 3, 3), (1, 0, 0), (2, 1, 1), (5, 4, 4), (5, 5, 5)]
