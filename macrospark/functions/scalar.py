@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from macrospark.columns import KEY, ORDER, Names, finite, names, q
 from macrospark.constants import FOURIER_GROUPS, LABEL_CANDIDATES, LONG_TENORS, SHORT_TENORS
-from macrospark.operators.blocks import row_index
+from macrospark.operators.blocks import number_in_order
 
 
 def calendar_fields(df: DataFrame, order: str = ORDER) -> DataFrame:
@@ -203,11 +203,10 @@ def log_positive(c: Column) -> Column:
 
 def label_codes(train: DataFrame, column: str) -> DataFrame:
     """FUN14: alphabetical codes (from 0) of the train labels, null as `Unknown`.
-    Distinct labels are numbered in blocks by their first letters, so even a very
-    large label set is not ranked in one task."""
-    labels = (train.select(F.coalesce(q(column), F.lit("Unknown")).alias(column)).distinct()
-              .select(q(column), F.lit(0).alias("_all"), F.substring(q(column), 1, 3).alias("_head")))
-    return row_index(labels, column, "_all", "_head", "code").select(q(column), "code")
+    Distinct labels are numbered in ranges of about equally many, so even a very
+    large label set, or one with a common beginning, is not ranked in one task."""
+    labels = train.select(F.coalesce(q(column), F.lit("Unknown")).alias(column)).distinct()
+    return number_in_order(labels, column, "code").select(q(column), "code")
 
 
 def encode_labels(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:

@@ -45,10 +45,11 @@ def assign_folds(
     df: DataFrame, k: int, ids: Names, stratum: str | None = None, seed: int = 42, output: str = "fold"
 ) -> DataFrame:
     """MLO6: shuffled folds of equal size (to one row) inside each stratum. Rows are
-    numbered in the order of a hash of their id, in blocks by its first digits, so
-    no stratum has to pass through one task."""
+    numbered in the order of a hash of their id, in even ranges of it, twice as many as the session
+    has shuffle partitions, so no stratum has to pass through one task."""
+    ranges = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.concat_ws("|", F.lit(str(seed)), *[q(c).cast("string") for c in names(ids)])
-    hashed = (df.withColumn("_h", F.md5(text)).withColumn("_block", F.substring("_h", 1, 3))
+    hashed = (df.withColumn("_h", F.md5(text)).withColumn("_block", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * ranges / 2.0 ** 32))
               .withColumn("_stratum", F.coalesce(q(stratum).cast("string"), F.lit("")) if stratum else F.lit("")))
     return (row_index(hashed, ["_h", *names(ids)], "_stratum", "_block", output)
             .withColumn(output, (F.col(output) % k).cast("int")).drop("_h", "_block", "_stratum"))

@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from macrospark.columns import KEY, VALUE, Names, back_from_end, before, names, ordered, q, upto
+from macrospark.session import cut_lineage
 
 BLOCK = "block"
 #: Chunks whose means are carried on together.
@@ -74,6 +75,15 @@ def row_index(
             .drop("_start"))
 
 
+def number_in_order(df: DataFrame, order: Names, output: str = "number", ranges: int | None = None) -> DataFrame:
+    """0-based place of every row of a whole table in the order of some columns of any type. Rows are cut into ranges at sampled edges,
+    as many as the session has shuffle partitions, and kept with their range, since other edges might be drawn another
+    time; each range is numbered alone and set off by the counts of those before it. Rows alike in `order` share a range."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *[q(c) for c in names(order)]).select("*", F.spark_partition_id().alias("_range"), F.lit(0).alias("_all"))
+    return row_index(cut_lineage(cut), order, "_all", "_range", output).drop("_range", "_all")
+
+
 def running_sum(
     df: DataFrame, order: Names, key: Names = KEY, block: str = BLOCK,
     value: str = VALUE, output: str = "running_sum",

@@ -12,12 +12,11 @@ from macrospark.columns import KEY, ORDER, VALUE, Names, names, q
 def write_panel(
     df: DataFrame, path: str, fmt: str = "parquet", partition: Names = (), mode: str = "overwrite"
 ) -> None:
-    """SNK1. Partition by a column with few values only; rows are first gathered by it,
-    with one more hash column of the rest, so that a hot value is written by many tasks."""
+    """SNK1. Partition by a column with few values only; rows are first gathered by it. Spark cuts a hot value into as many tasks as
+    its bytes need, and puts small values together."""
     cols = names(partition)
     if cols:
-        spread = F.pmod(F.xxhash64(*[q(c) for c in df.columns if c not in cols]), F.lit(16))
-        df = df.repartition(*[q(c) for c in cols], spread)
+        df = df.hint("rebalance", *[q(c) for c in cols])
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from macrospark.operators import asof as AO, moving_average as MA, stationarity as S, vector as V
+from macrospark.functions import scalar as SC
+from macrospark.operators import asof as AO, blocks as B, moving_average as MA, stationarity as S, vector as V
 
 DAY = dt.date(2000, 1, 1)
 
@@ -157,3 +158,14 @@ def test_moving_average_of_differences(spark):
     line = [(1, dt.date(2000 + i // 12, 1 + i % 12, 1), 2.0 * i + (-1) ** i) for i in range(60)]
     out = MA.moving_average_forecast(spark.createDataFrame(line, "series_id int, date date, value double"), 2, [(1, 0)], d=1).orderBy("step").collect()
     assert [r["forecast"] for r in out] == pytest.approx([2.0 * 60 + 1, 2.0 * 61 - 1], rel=1e-6)
+
+
+def test_numbering_in_ranges(spark):
+    """Labels with one beginning are numbered in even ranges, and as a plain sort would."""
+    labels = [f"Brand#{k:05d}" for k in range(4000)]
+    frame = spark.createDataFrame([(x,) for x in labels] + [(None,), (labels[7],)], "label string").repartition(6)
+    got = {r["label"]: r["code"] for r in SC.label_codes(frame, "label").collect()}
+    assert got == {x: i for i, x in enumerate(sorted([*labels, "Unknown"]))}
+    cut = frame.distinct().repartitionByRange(8, "label").rdd.glom().map(len).collect()
+    assert max(cut) <= 2 * sum(cut) / len(cut)
+    assert B.number_in_order(frame.limit(0), "label").collect() == []
