@@ -185,11 +185,12 @@ class HybridChain:
 
 def together(spark: SparkSession, jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Independent fits from a few driver threads, as CrossValidator does, so that the
-    cluster is not idle between the many small jobs of one fit."""
-    run = inheritable_thread_target(spark)(lambda job: job())
+    cluster is not idle between the many small jobs of one fit. Each job is wrapped by itself: the
+    wrapper's copy of the local properties must not be shared between threads."""
+    wrapped = [inheritable_thread_target(spark)(job) for job in jobs]
     pool = ThreadPool(min(parallelism, max(len(jobs), 1)))
     try:
-        return pool.map(run, jobs)
+        return pool.map(lambda job: job(), wrapped)
     finally:
         pool.terminate()
 

@@ -134,3 +134,8 @@ def test_what_if_row(panel):
     last = J.last_row(panel)
     low, high = (chain.transform(last.withColumn("x0", F.lit(v))).agg(F.avg(f"pred_{TARGETS[0]}")).first()[0] for v in (-2.0, 2.0))
     assert high - low > 30
+
+
+def test_parallel_jobs_do_not_share_properties(spark):
+    jobs = [lambda i=i: [spark.range(i).count() for _ in range(15)] for i in range(8)]
+    assert M.together(spark, jobs, 8) == [[i] * 15 for i in range(8)]
