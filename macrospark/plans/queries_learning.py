@@ -119,9 +119,9 @@ def _hybrid(spark: Spark, sf: str) -> DataFrame:
 
 @query("mlo7_out_of_fold")
 def _oof(spark: Spark, sf: str) -> DataFrame:
-    folded = cut_lineage(L.assign_folds(_frame(spark, sf), 2, IDS))
-    fit = lambda df: M.RegressorChain(FEATURES, TARGETS[:2], FOREST, "standard").fit(df)
-    return M.out_of_fold(folded, "fold", 2, fit, "pred_").select(*IDS, "fold", *[q(f"pred_{t}") for t in TARGETS[:2]])
+    folded = cut_lineage(L.assign_folds(_frame(spark, sf), 8, IDS))
+    fit = lambda df: M.RegressorChain(FEATURES, TARGETS, FOREST, "standard").fit(df)
+    return M.out_of_fold(folded, "fold", 8, fit, "pred_").select(*IDS, "fold", *[q(f"pred_{t}") for t in TARGETS])
 
 
 @query("mlo9_meta_model")
@@ -129,7 +129,7 @@ def _meta_model(spark: Spark, sf: str) -> DataFrame:
     frame = cut_lineage(_frame(spark, sf))
     cols = L.meta_features([q("1_year_rate"), q("3_months_rate"), q("unemployment_rate")])
     meta = frame.select(*IDS, q(TARGET), *[c.alias(n) for n, c in cols.items()])
-    fitted = M.fit_meta(meta, list(cols), TARGET, IDS, [0.01, 0.5])
+    fitted = M.fit_meta(meta, list(cols), TARGET, IDS)
     return M.score(fitted.model, L.apply_scale(meta, fitted.scale), "prediction").select(
         *IDS, "prediction", F.lit(fitted.alpha).alias("alpha"))
 
@@ -146,7 +146,7 @@ def _stacking(spark: Spark, sf: str) -> DataFrame:
 
 @query("mlo11_importance_selection")
 def _selection(spark: Spark, sf: str) -> DataFrame:
-    return M.select_features(_frame(spark, sf), FEATURES, TARGETS[:2], FOREST, 5, ["CPI", "INDPRO"])
+    return M.select_features(_frame(spark, sf), FEATURES, TARGETS, FOREST, 5, ["CPI", "INDPRO"])
 
 
 @query("mlo12_feature_elimination")
@@ -173,13 +173,13 @@ def _weighted(spark: Spark, sf: str) -> DataFrame:
 @query("mlo15_train_and_compare")
 def _compare(spark: Spark, sf: str) -> DataFrame:
     metrics, _ = M.train_and_compare(_frame(spark, sf), SPLIT, {
-        "full_chain": M.RegressorChain(FEATURES, TARGETS[:2], SMALL), "hybrid": M.HybridChain(FEATURES, TARGETS[:2], SMALL)}, TARGETS[:2])
+        "full_chain": M.RegressorChain(FEATURES, TARGETS, SMALL), "hybrid": M.HybridChain(FEATURES, TARGETS, SMALL)}, TARGETS)
     return A.compare_models(cut_lineage(metrics), "full_chain", "hybrid")
 
 
 @query("mlo16_what_if")
 def _what_if(spark: Spark, sf: str) -> DataFrame:
-    chain = M.RegressorChain(FEATURES, TARGETS[:2], SMALL).fit(cut_lineage(_frame(spark, sf)))
+    chain = M.RegressorChain(FEATURES, TARGETS, SMALL).fit(cut_lineage(_frame(spark, sf)))
     # The last row of each series with one edited indicator is appended as the next month,
     # and the lags are worked out over the longer panel.
     wide = cut_lineage(economy_targets(spark, sf))
@@ -187,12 +187,12 @@ def _what_if(spark: Spark, sf: str) -> DataFrame:
     panel = wide.unionByName(edited.select(*[q(c) for c in wide.columns]))
     for c in ("recession_probability", "CPI", "INDPRO"):
         panel = W.lags(panel, [1], value=c)
-    return chain.transform(J.last_row(panel)).select(*IDS, *[percent_to_share(q(f"pred_{t}")).alias(f"share_{t}") for t in TARGETS[:2]])
+    return chain.transform(J.last_row(panel)).select(*IDS, *[percent_to_share(q(f"pred_{t}")).alias(f"share_{t}") for t in TARGETS])
 
 
 @query("snk5_saved_model")
 def _saved(spark: Spark, sf: str) -> DataFrame:
     train, test = _sides(spark, sf)
     path = scratch_path(spark, "model")
-    M.RegressorChain(FEATURES, TARGETS[:2], SMALL).fit(train).save(path, spark, note="quarterly refit")
-    return _predicted(M.RegressorChain.load(path, spark).transform(test), TARGETS[:2])
+    M.RegressorChain(FEATURES, TARGETS, SMALL).fit(train).save(path, spark, note="quarterly refit")
+    return _predicted(M.RegressorChain.load(path, spark).transform(test), TARGETS)
