@@ -84,6 +84,24 @@ def number_in_order(df: DataFrame, order: Names, output: str = "number", ranges:
     return row_index(cut_lineage(cut), order, "_all", "_range", output).drop("_range", "_all")
 
 
+def rank_in_order(
+    df: DataFrame, order: Names, key: Names = KEY, output: str = "rank", ranges: int | None = None
+) -> DataFrame:
+    """Rank from 1 of every row within its key, in rising order of some columns; rows alike share a rank and leave a gap after it. The table is
+    cut into ranges of (key, order) as in `number_in_order`, so a key with most rows, or few keys in all, do not mean few tasks.
+    Only rows alike in key and order must stay together."""
+    keys = names(key)
+    by = [q(c) for c in keys]
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *by, *[q(c) for c in names(order)]).select("*", F.spark_partition_id().alias("_range"))
+    cut = cut_lineage(cut)
+    counts = cut.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = _carried(counts, keys, "_range", _start=F.sum("_rows"))
+    inside = F.rank().over(ordered([*keys, "_range"], order))
+    return (cut.join(starts, [*keys, "_range"]).withColumn(output, (F.coalesce("_start", F.lit(0)) + inside).cast("long"))
+            .drop("_start", "_range"))
+
+
 def running_sum(
     df: DataFrame, order: Names, key: Names = KEY, block: str = BLOCK,
     value: str = VALUE, output: str = "running_sum",

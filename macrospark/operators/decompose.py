@@ -53,9 +53,16 @@ def decompose(
 
 # --- LOESS (TSO2) -------------------------------------------------------------
 
-def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None) -> np.ndarray:
-    """Matrix that turns values at 0..n-1 into local linear fits with tricube weights at
-    the positions `at`."""
+#: Longer series are smoothed by the rows of their windows, shorter ones by one dense matrix; the result is the same.
+DENSE = 512
+
+
+def _loess_rows(
+    n: int, span: int, at: np.ndarray, robust: np.ndarray | None, flat: float | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of positions in 0..n-1, and the weights on them that give local linear fits with tricube
+    weights at the positions `at`. A window whose weighted spread is not above `flat` (a thousandth of the
+    series' length unless given) is fitted by its mean."""
     take = min(span, n)
     left = np.clip(np.round(at).astype(int) - take // 2, 0, n - take)
     idx = left[:, None] + np.arange(take)[None, :]
@@ -72,23 +79,34 @@ def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None)
     weight = np.where(total > 0, weight / np.where(total > 0, total, 1.0), 1.0 / take)
     centre = (weight * idx).sum(axis=1, keepdims=True)
     spread = (weight * (idx - centre) ** 2).sum(axis=1)
-    steep = np.sqrt(spread) > 0.001 * max(n - 1, 1)
+    steep = np.sqrt(spread) > (0.001 * max(n - 1, 1) if flat is None else flat)
     tilt = np.where(steep, (at - centre[:, 0]) / np.where(spread > 0, spread, 1.0), 0.0)
+    return idx, weight * (1 + tilt[:, None] * (idx - centre))
+
+
+def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None, flat: float | None = None) -> np.ndarray:
+    """The same as a matrix that turns values at 0..n-1 into the fits."""
+    idx, weight = _loess_rows(n, span, at, robust, flat)
     matrix = np.zeros((len(at), n))
-    np.put_along_axis(matrix, idx, weight * (1 + tilt[:, None] * (idx - centre)), axis=1)
+    np.put_along_axis(matrix, idx, weight, axis=1)
     return matrix
 
 
-def _smooth(y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None, cache: dict) -> np.ndarray:
+def _smooth(
+    y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None, cache: dict, flat: float | None = None
+) -> np.ndarray:
     """Fits at 0..n-1 and `beyond` positions outside each end. Weights without robustness
     depend on lengths only and are kept in `cache`."""
     n = y.shape[-1]
     at = np.arange(-float(beyond), n + beyond)
+    make = _loess_rows if n > DENSE else _loess_weights
     if robust is not None:
-        return _loess_weights(n, span, at, robust) @ y
-    if (n, span, beyond) not in cache:
-        cache[n, span, beyond] = _loess_weights(n, span, at, None).T
-    return y @ cache[n, span, beyond]
+        found = make(n, span, at, robust, flat)
+    else:
+        if (n, span, beyond) not in cache:
+            cache[n, span, beyond] = make(n, span, at, None, flat)
+        found = cache[n, span, beyond]
+    return (y[..., found[0]] * found[1]).sum(axis=-1) if n > DENSE else y @ found.T
 
 
 def _moving(y: np.ndarray, size: int) -> np.ndarray:
@@ -96,32 +114,53 @@ def _moving(y: np.ndarray, size: int) -> np.ndarray:
     return (total[..., size:] - total[..., :-size]) / size
 
 
+def stl_spans(period: int, seasonal: int) -> tuple[int, int]:
+    """Spans of the trend and of the low-pass filter."""
+    return int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1, (period + 1) | 1
+
+
+def stl_rounds(
+    y: np.ndarray, trend: np.ndarray, care: np.ndarray | None, rounds: int, period: int, seasonal: int,
+    cache: dict, flat: float | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Seasonal and trend after some inner rounds from a given trend and robustness weights."""
+    n, season = y.shape[-1], np.zeros(y.shape)
+    trend_span, low_span = stl_spans(period, seasonal)
+    for _ in range(rounds):
+        detrended = y - trend
+        cycle = np.empty((*y.shape[:-1], n + 2 * period))
+        for s in range(period):
+            cycle[..., s::period] = _smooth(
+                detrended[..., s::period], seasonal, 1, None if care is None else care[s::period], cache, flat)
+        low = _moving(_moving(_moving(cycle, period), period), 3)
+        season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None, cache, flat)
+        trend = _smooth(y - season, trend_span, 0, care, cache, flat)
+    return season, trend
+
+
+def bisquare(miss: np.ndarray, middle: float) -> np.ndarray:
+    """Robustness weights of absolute residuals with a given median."""
+    edge = 6 * middle
+    ratio = miss / edge if edge > 0 else np.zeros(len(miss))
+    return np.where(ratio <= 0.001, 1.0, np.where(ratio <= 0.999, (1 - ratio ** 2) ** 2, 0.0))
+
+
+#: Inner rounds without robustness, with it, and the rounds of new weights. Fixed values of the published procedure.
+INNER, INNER_ROBUST, OUTER = 5, 2, 15
+
+
 def stl_arrays(
-    y: np.ndarray, period: int = SEASON, seasonal: int = 13, robust: bool = False, cache: dict | None = None
+    y: np.ndarray, period: int = SEASON, seasonal: int = 13, robust: bool = False, cache: dict | None = None,
+    outer: int = OUTER, flat: float | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Seasonal and trend by the published STL procedure (Cleveland et al., 1990),
     locally linear at every step. Without robustness `y` may hold many series of one
     length as rows."""
-    n, cache = y.shape[-1], {} if cache is None else cache
-    trend_span = int(np.ceil(1.5 * period / (1 - 1.5 / seasonal))) | 1
-    low_span = (period + 1) | 1
-    inner, outer = (2, 15) if robust else (5, 0)
-    trend, season, care = np.zeros(y.shape), np.zeros(y.shape), None
-    for round_ in range(outer + 1):
-        for _ in range(inner):
-            detrended = y - trend
-            cycle = np.empty((*y.shape[:-1], n + 2 * period))
-            for s in range(period):
-                cycle[..., s::period] = _smooth(
-                    detrended[..., s::period], seasonal, 1, None if care is None else care[s::period], cache)
-            low = _moving(_moving(_moving(cycle, period), period), 3)
-            season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None, cache)
-            trend = _smooth(y - season, trend_span, 0, care, cache)
-        if round_ < outer:
-            miss = np.abs(y - season - trend)
-            edge = 6 * np.median(miss)
-            ratio = miss / edge if edge > 0 else np.zeros(n)
-            care = np.where(ratio <= 0.001, 1.0, np.where(ratio <= 0.999, (1 - ratio ** 2) ** 2, 0.0))
+    cache = {} if cache is None else cache
+    season, trend = stl_rounds(y, np.zeros(y.shape), None, INNER_ROBUST if robust else INNER, period, seasonal, cache, flat)
+    for _ in range(outer if robust else 0):
+        miss = np.abs(y - season - trend)
+        season, trend = stl_rounds(y, trend, bisquare(miss, np.median(miss)), INNER_ROBUST, period, seasonal, cache, flat)
     return season, trend
 
 

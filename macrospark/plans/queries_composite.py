@@ -8,10 +8,11 @@ from macrospark.columns import q
 from macrospark.constants import INDICATORS, ROW_ANOMALY_INDICATORS, ROW_FEATURES
 from macrospark.operators import clean as C, decompose as D, forecast as T, joins as J, stats as A, windows as W
 from macrospark.learning.models import Trees
+from macrospark.operators.long_loess import decompose_loess_long
 from macrospark.plans import pipelines as P
 from macrospark.plans.catalogue import d, query, r, significant, significant_sql
 from macrospark.plans.driver_tables import (
-    ECONOMY, ECONOMY_LONG, PART_OBS, SPLIT, economy, part_obs,
+    ECONOMY, ECONOMY_LONG, PART_OBS, SPLIT, economy, part_obs, table,
 )
 from macrospark.plans.queries_stats import ACF_COLS, acf_sql
 from macrospark.session import scratch_path
@@ -56,6 +57,27 @@ def _loess(spark: Spark, sf: str) -> DataFrame:
     return D.decompose_loess(part_obs(spark, sf))
 
 
+_LONG_PARTS = f"""WITH f AS (SELECT event_type, event_id, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id),
+ first_value(value IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+ SELECT event_type AS series_id, event_id, {r('v', 'value')}, {r('CASE WHEN n >= 24 THEN v END', 'total')} FROM f"""
+
+
+def _long_parts(spark: Spark, sf: str, robust: bool) -> DataFrame:
+    events = table(spark, sf, "events").withColumnRenamed("event_type", "series_id")
+    parts = decompose_loess_long(events, robust=robust, order=["ts", "event_id"])
+    return parts.select("series_id", "event_id", "value", (F.col("trend") + F.col("seasonal") + F.col("residual")).alias("total"))
+
+
+@query("tso2_long_loess", _LONG_PARTS)
+def _long_loess(spark: Spark, sf: str) -> DataFrame:
+    return _long_parts(spark, sf, False)
+
+
+@query("tso2_long_loess_robust", _LONG_PARTS)
+def _long_loess_robust(spark: Spark, sf: str) -> DataFrame:
+    return _long_parts(spark, sf, True)
+
+
 @query("tso2_decompose_loess_robust")
 def _loess_robust(spark: Spark, sf: str) -> DataFrame:
     return D.decompose_loess(part_obs(spark, sf), robust=True)

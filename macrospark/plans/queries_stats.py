@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from macrospark.columns import q
 from macrospark.constants import INDICATORS, TARGETS
 from macrospark.operators import clean as C, quality as DQ, stats as A, windows as W
+from macrospark.operators.blocks import rank_in_order
 from macrospark.operators.quantiles import medians, series_medians
+from macrospark.operators.wide import wide_correlations
 from macrospark.plans.catalogue import d, query, r
 from macrospark.plans.driver_tables import (
     ECONOMY, MEMBERS, PANEL, PART_OBS, SPLIT, dirty, economy, economy_targets, panel, part_obs, table,
@@ -86,6 +88,16 @@ def _matrix(spark: Spark, sf: str) -> DataFrame:
     return A.correlation_matrix(panel(spark, sf), MEMBERS)
 
 
+@query("agg7_wide_correlations", f"""WITH cells AS (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m') AS m, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
+ p AS (SELECT a.m AS l, b.m AS r, count(*) AS n, abs(corr(a.v, b.v)) AS c FROM cells a JOIN cells b ON a.k = b.k AND a.m < b.m GROUP BY 1, 2)
+ SELECT l AS "left", r AS "right", n, {r('c', 'correlation')} FROM p WHERE n > 2""")
+def _wide(spark: Spark, sf: str) -> DataFrame:
+    """What customers spend in a month against what they spend in another: a row per customer, a column per month, most of it empty."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    spent = table(spark, sf, "orders").withColumn("_m", month).groupBy("o_custkey").pivot("_m").agg(F.sum("o_totalprice"))
+    return wide_correlations(spent, sorted(c for c in spent.columns if c != "o_custkey"), tile=32).filter("n > 2")
+
+
 @query("agg8_high_pairs", f"""WITH {ECONOMY}, p AS ({_pairs_sql(INDICATORS, 'econ')}) SELECT "left", "right", {r('correlation')} FROM p
  WHERE correlation > 0.9 ORDER BY correlation DESC""")
 def _high(spark: Spark, sf: str) -> DataFrame:
@@ -239,11 +251,10 @@ _SELECTED = """sel AS (SELECT l_returnflag || l_linestatus AS target, l_suppkey
 
 
 def _rankings(spark: Spark, sf: str) -> DataFrame:
-    from pyspark.sql import Window
     scores = (table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("target"), q("l_suppkey").alias("feature"))
               .agg((F.sum("l_quantity") / F.count(F.lit(1))).alias("score")))
-    # One row per (target, feature): a target's window is as long as the feature list.
-    return scores.withColumn("rank", F.rank().over(Window.partitionBy("target").orderBy(F.desc("score"))))
+    # Few targets with very many features: ranked in ranges of their scores.
+    return rank_in_order(scores.withColumn("_down", -q("score")), "_down", "target").drop("_down")
 
 
 @query("agg20_feature_votes", f"""WITH {_SELECTED} SELECT feature, count(*) AS votes FROM rk WHERE rank <= 30 GROUP BY 1 ORDER BY votes DESC, feature LIMIT 40""")
