@@ -7,6 +7,7 @@ so a lost executor does not replay the feature windows."""
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -407,6 +408,51 @@ def search_settings(
     return df.sparkSession.createDataFrame(rows, "config int, settings string, rmse double").orderBy("rmse", "config")
 
 
+def drawn_settings(n: int, trees: int, seed: int = 42) -> list[Trees]:
+    """`n` settings of boosted trees spread evenly over depth, rate (by its logarithm), row share and leaf size: points of an additive
+    recurrence, each dimension with its own irrational step, shifted by the seed."""
+    root = reduce(lambda x, _: (1 + x) ** (1 / 5), range(60), 1.0)  # of x^5 = x + 1: steps for four dimensions
+    place = lambda i, d: ((seed * 0.618034 + (i + 1) / root ** (d + 1)) % 1.0)
+    return [Trees(trees=trees, depth=2 + int(place(i, 0) * 6), rate=round(0.02 * 15 ** place(i, 1), 4),
+                  sample=round(0.5 + place(i, 2) / 2, 3), min_leaf=1 + int(place(i, 3) * 30)) for i in range(n)]
+
+
+def search_halving(
+    df: DataFrame, features: Sequence[str], target: str, order: str, settings: Sequence[Trees], tail: float = 0.2,
+    start: int = 1, factor: int = 3, parallelism: int = 4,
+) -> DataFrame:
+    """MLO13 by successive halving: all settings are fitted with `start` trees on the older rows and scored (RMSE) on the newest; the
+    best 1 / `factor` of them go on with `factor` times as many trees, until the last have all of their own. The fits of a
+    round run beside each other. One row per fit: round, config, trees, settings, rmse, kept (went on, or came first in
+    the last round; ties to the first config). The winner is the row with `kept` in the last round.
+
+    Every round fits and scores on all rows; only the number of trees grows. A setting that is slow to learn may go out early, which is
+    the price of the method: `search_settings` fits them all in full."""
+    if not settings or start < 1 or factor < 2:
+        raise ValueError("needs settings, a start of at least one tree and a factor of at least two")
+    spark = df.sparkSession
+    flagged = cut_lineage(tail_flag(df.filter(q(target).isNotNull()), order, tail, "_tail"))
+    train, test = flagged.filter(~F.col("_tail")), flagged.filter("_tail")
+
+    def fitted(setting: Trees) -> float:
+        model = setting.build(features, target).fit(train)
+        return float(score(model, test, "_p").agg(rmse(q(target), F.col("_p"))).first()[0])
+
+    alive, turn, rows = list(range(len(settings))), 0, []
+    while True:
+        now = [Trees(**{**settings[i].__dict__, "trees": min(start * factor ** turn, settings[i].trees)}) for i in alive]
+        errors = together(spark, [(lambda s=s: fitted(s)) for s in now], parallelism)
+        last = all(s.trees == settings[i].trees for i, s in zip(alive, now))
+        keep = 1 if last else math.ceil(len(alive) / factor)
+        best = {i for _, i in sorted(zip(errors, alive))[:keep]}
+        rows += [(turn, i, s.trees, json.dumps(s.__dict__), e, i in best) for i, s, e in zip(alive, now, errors)]
+        if last:
+            break
+        alive, turn = [i for i in alive if i in best], turn + 1
+    return (spark.createDataFrame(rows, "round int, config int, trees int, settings string, rmse double, kept boolean")
+            .orderBy(F.desc("round"), "rmse", "config"))
+
+
 # --- training driver (MLO15) ------------------------------------------------------
 
 def evaluate(df: DataFrame, targets: Sequence[str], prefix: str = "pred_") -> DataFrame:

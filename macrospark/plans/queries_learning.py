@@ -163,6 +163,11 @@ def _search(spark: Spark, sf: str) -> DataFrame:
     return M.search_settings(_frame(spark, sf), FEATURES, TARGET, "date", grid)
 
 
+@query("mlo13_successive_halving")
+def _halving(spark: Spark, sf: str) -> DataFrame:
+    return M.search_halving(_frame(spark, sf), FEATURES, TARGET, "date", M.drawn_settings(40, 27)).drop("settings")
+
+
 @query("mlo14_weighted_ensemble")
 def _weighted(spark: Spark, sf: str) -> DataFrame:
     train, test = _sides(spark, sf)

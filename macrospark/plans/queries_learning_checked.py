@@ -135,6 +135,16 @@ def _search_groups(spark: Spark, sf: str) -> DataFrame:
     return M.search_settings(_marked(_frame(spark, sf)), ["late"], TARGET, "date", grid).select("config", "rmse")
 
 
+@query("mlo13_halving_groups", f"""WITH {FRAME}, cu AS (SELECT floor(quantile_cont(day, 0.8)) AS cut FROM fr), tr AS (SELECT * FROM fr, cu WHERE day <= cut), te AS (SELECT * FROM fr, cu WHERE day > cut),
+ a AS (SELECT avg("{TARGET}") AS m FROM tr), b AS (SELECT late, avg("{TARGET}") AS m FROM tr GROUP BY 1), ea AS (SELECT sqrt(avg(("{TARGET}" - m) ** 2)) AS e FROM te, a),
+ eb AS (SELECT sqrt(avg(("{TARGET}" - m) ** 2)) AS e FROM te JOIN b USING (late)), e AS (SELECT ea.e AS ea, eb.e AS eb, CASE WHEN eb.e < ea.e THEN 1 ELSE 0 END AS w FROM ea, eb)
+ SELECT 0::BIGINT AS round, config::BIGINT AS config, 1::BIGINT AS trees, {r('CASE WHEN config = 0 THEN ea ELSE eb END', 'rmse')}, config = w AS kept FROM e, range(3) t(config)
+ UNION ALL SELECT 1, w, 3, {r('least(ea, eb)', 'rmse')}, true FROM e""")
+def _halving_groups(spark: Spark, sf: str) -> DataFrame:
+    grid = [M.Trees(trees=3, depth=0, sample=1.0), M.Trees(trees=3, depth=1, rate=0.5, sample=1.0), M.Trees(trees=3, depth=1, rate=0.1, sample=1.0)]
+    return M.search_halving(_marked(_frame(spark, sf)), ["late"], TARGET, "date", grid).drop("settings")
+
+
 # --- selection with a known answer -----------------------------------------------------------------
 
 _ALL = ["late", "odd", *FEATURES]

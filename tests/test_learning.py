@@ -139,3 +139,23 @@ def test_what_if_row(panel):
 def test_parallel_jobs_do_not_share_properties(spark):
     jobs = [lambda i=i: [spark.range(i).count() for _ in range(15)] for i in range(8)]
     assert M.together(spark, jobs, 8) == [[i] * 15 for i in range(8)]
+
+
+def test_successive_halving(panel):
+    """Fewer settings and more trees each round; the winner comes near the best of all settings fitted in full."""
+    settings = M.drawn_settings(9, 9)
+    assert len(set(settings)) == 9 and {s.depth for s in settings} <= set(range(2, 8))
+    rows = M.search_halving(panel, INPUTS, TARGETS[0], "date", settings).toPandas()
+    assert rows.groupby("round").size().to_dict() == {0: 9, 1: 3, 2: 1}
+    assert rows.groupby("round")["trees"].unique().map(list).to_dict() == {0: [1], 1: [3], 2: [9]}
+    for turn in (0, 1):
+        kept = rows[(rows["round"] == turn) & rows["kept"]]
+        assert kept["rmse"].max() <= rows[(rows["round"] == turn) & ~rows["kept"]]["rmse"].min()
+        assert set(kept["config"]) == set(rows[rows["round"] == turn + 1]["config"])
+    grid = M.search_settings(panel, INPUTS, TARGETS[0], "date", settings).toPandas()
+    assert rows.iloc[0]["rmse"] <= 1.1 * grid["rmse"].min()
+
+
+def test_halving_refuses_nothing_to_search(panel):
+    with pytest.raises(ValueError):
+        M.search_halving(panel, INPUTS, TARGETS[0], "date", [])
