@@ -11,6 +11,7 @@ from macrospark.plans.catalogue import d, query, r
 from macrospark.plans.driver_tables import table
 from macrospark.session import scratch_path
 from macrospark.streaming import jobs as J
+from macrospark.streaming.levels import compact, read_compacted
 
 Spark = SparkSession
 
@@ -56,9 +57,12 @@ def _monthly(spark: Spark, sf: str) -> DataFrame:
     return J.read_monthly_means(spark, target)
 
 
-@query("str3_vintage_upsert", f"""WITH x AS (SELECT o_custkey AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value, o_orderkey AS revision,
+_UPSERT = f"""WITH x AS (SELECT o_custkey AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_totalprice AS value, o_orderkey AS revision,
  row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderkey DESC) AS rn FROM orders)
- SELECT series_id, {d()}, {r('value')}, revision FROM x WHERE rn = 1""")
+ SELECT series_id, {d()}, {r('value')}, revision FROM x WHERE rn = 1"""
+
+
+@query("str3_vintage_upsert", _UPSERT)
 def _upsert(spark: Spark, sf: str) -> DataFrame:
     target = scratch_path(spark, "vintages")
     rows = _stream(spark, sf, "orders").select(
@@ -68,6 +72,22 @@ def _upsert(spark: Spark, sf: str) -> DataFrame:
     return J.read_current(spark, target, vintage="revision")
 
 
+@query("str3_compacted_upsert", _UPSERT)
+def _compacted(spark: Spark, sf: str) -> DataFrame:
+    """The same in twelve batches by quarter, with compactions in between."""
+    target, quarters = scratch_path(spark, "levels"), 12
+    rows = table(spark, sf, "orders").select(
+        q("o_custkey").alias("series_id"), F.trunc("o_orderdate", "month").alias("date"),
+        q("o_totalprice").alias("value"), q("o_orderkey").alias("revision"))
+    place = F.pmod(F.quarter("date") + 4 * F.year("date"), F.lit(quarters))
+    land = J.append_vintages(target, vintage="revision")
+    for batch in range(quarters):
+        land(rows.filter(place == quarters - 1 - batch), batch)
+        if batch % 4 == 3:
+            compact(spark, target, 3, vintage="revision")
+    return read_compacted(spark, target, vintage="revision")
+
+
 @query("str4_anomaly_scoring", f"""WITH bd AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1)
  SELECT event_id, {r('value')}, coalesce(NOT (value BETWEEN m - 3 * s AND m + 3 * s), true)::INTEGER::BIGINT AS anomaly FROM events LEFT JOIN bd USING (event_type)""")
 def _scoring(spark: Spark, sf: str) -> DataFrame:

