@@ -55,14 +55,12 @@ def decompose(
 
 #: Longer series are smoothed by the rows of their windows, shorter ones by one dense matrix; the result is the same.
 DENSE = 512
+#: Rows of all series that are decomposed at a time, about; robust fits hold a window for each.
+TOGETHER = 1 << 14
 
 
-def _loess_rows(
-    n: int, span: int, at: np.ndarray, robust: np.ndarray | None, flat: float | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of positions in 0..n-1, and the weights on them that give local linear fits with tricube
-    weights at the positions `at`. A window whose weighted spread is not above `flat` (a thousandth of the
-    series' length unless given) is fitted by its mean."""
+def _loess_windows(n: int, span: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of positions in 0..n-1 around the positions `at`, and their tricube weights."""
     take = min(span, n)
     left = np.clip(np.round(at).astype(int) - take // 2, 0, n - take)
     idx = left[:, None] + np.arange(take)[None, :]
@@ -72,41 +70,52 @@ def _loess_rows(
         reach = reach + (span - n) // 2
     reach = np.maximum(reach, 1e-12)[:, None]
     weight = np.where(gap <= 0.999 * reach, (1 - (gap / reach) ** 3) ** 3, 0.0)
-    weight = np.where(gap <= 0.001 * reach, 1.0, weight)
+    return idx, np.where(gap <= 0.001 * reach, 1.0, weight)
+
+
+def _loess_fits(
+    n: int, idx: np.ndarray, weight: np.ndarray, at: np.ndarray, robust: np.ndarray | None, flat: float | None = None
+) -> np.ndarray:
+    """Weights on windows that give local linear fits at the positions `at`. A window whose weighted spread is not above `flat`
+    (a thousandth of the series' length unless given) is fitted by its mean. `robust` may hold many series as rows; so does the result then."""
     if robust is not None:
-        weight = weight * robust[idx]
-    total = weight.sum(axis=1, keepdims=True)
-    weight = np.where(total > 0, weight / np.where(total > 0, total, 1.0), 1.0 / take)
-    centre = (weight * idx).sum(axis=1, keepdims=True)
-    spread = (weight * (idx - centre) ** 2).sum(axis=1)
+        weight = weight * np.take(robust, idx, axis=-1)
+    total = weight.sum(axis=-1, keepdims=True)
+    weight = np.where(total > 0, weight / np.where(total > 0, total, 1.0), 1.0 / idx.shape[1])
+    centre = (weight * idx).sum(axis=-1, keepdims=True)
+    spread = (weight * (idx - centre) ** 2).sum(axis=-1)
     steep = np.sqrt(spread) > (0.001 * max(n - 1, 1) if flat is None else flat)
-    tilt = np.where(steep, (at - centre[:, 0]) / np.where(spread > 0, spread, 1.0), 0.0)
-    return idx, weight * (1 + tilt[:, None] * (idx - centre))
+    tilt = np.where(steep, (at - centre[..., 0]) / np.where(spread > 0, spread, 1.0), 0.0)
+    return weight * (1 + tilt[..., None] * (idx - centre))
 
 
-def _loess_weights(n: int, span: int, at: np.ndarray, robust: np.ndarray | None, flat: float | None = None) -> np.ndarray:
-    """The same as a matrix that turns values at 0..n-1 into the fits."""
-    idx, weight = _loess_rows(n, span, at, robust, flat)
-    matrix = np.zeros((len(at), n))
-    np.put_along_axis(matrix, idx, weight, axis=1)
+def _dense(n: int, idx: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights on windows as matrices that turn values at 0..n-1 into the fits."""
+    matrix = np.zeros((*weight.shape[:-1], n))
+    np.put_along_axis(matrix, np.broadcast_to(idx, weight.shape), weight, axis=-1)
     return matrix
 
 
 def _smooth(
     y: np.ndarray, span: int, beyond: int, robust: np.ndarray | None, cache: dict, flat: float | None = None
 ) -> np.ndarray:
-    """Fits at 0..n-1 and `beyond` positions outside each end. Weights without robustness
-    depend on lengths only and are kept in `cache`."""
+    """Fits at 0..n-1 and `beyond` positions outside each end. Windows, and weights without robustness,
+    depend on lengths only and are kept in `cache`. `y` and `robust` may hold many series as rows."""
     n = y.shape[-1]
     at = np.arange(-float(beyond), n + beyond)
-    make = _loess_rows if n > DENSE else _loess_weights
+    if (n, span, beyond) not in cache:
+        idx, weight = _loess_windows(n, span, at)
+        fits = _loess_fits(n, idx, weight, at, None, flat)
+        cache[n, span, beyond] = idx, weight, _dense(n, idx, fits) if n <= DENSE else fits
+    idx, weight, found = cache[n, span, beyond]
     if robust is not None:
-        found = make(n, span, at, robust, flat)
-    else:
-        if (n, span, beyond) not in cache:
-            cache[n, span, beyond] = make(n, span, at, None, flat)
-        found = cache[n, span, beyond]
-    return (y[..., found[0]] * found[1]).sum(axis=-1) if n > DENSE else y @ found.T
+        found = _loess_fits(n, idx, weight, at, robust, flat)
+        if n <= DENSE:
+            found = _dense(n, idx, found)
+    if n > DENSE:
+        return (np.take(y, idx, axis=-1) * found).sum(axis=-1)
+    # One product per series: its rounding does not depend on the others beside it.
+    return (y[..., None, :] @ np.swapaxes(found, -1, -2))[..., 0, :]
 
 
 def _moving(y: np.ndarray, size: int) -> np.ndarray:
@@ -131,17 +140,17 @@ def stl_rounds(
         cycle = np.empty((*y.shape[:-1], n + 2 * period))
         for s in range(period):
             cycle[..., s::period] = _smooth(
-                detrended[..., s::period], seasonal, 1, None if care is None else care[s::period], cache, flat)
+                detrended[..., s::period], seasonal, 1, None if care is None else care[..., s::period], cache, flat)
         low = _moving(_moving(_moving(cycle, period), period), 3)
         season = cycle[..., period:period + n] - _smooth(low, low_span, 0, None, cache, flat)
         trend = _smooth(y - season, trend_span, 0, care, cache, flat)
     return season, trend
 
 
-def bisquare(miss: np.ndarray, middle: float) -> np.ndarray:
-    """Robustness weights of absolute residuals with a given median."""
-    edge = 6 * middle
-    ratio = miss / edge if edge > 0 else np.zeros(len(miss))
+def bisquare(miss: np.ndarray, middle: float | np.ndarray) -> np.ndarray:
+    """Robustness weights of absolute residuals with a given median, one for each series where `miss` holds many as rows."""
+    edge = 6 * np.asarray(middle)[..., None]
+    ratio = np.where(edge > 0, miss / np.where(edge > 0, edge, 1.0), 0.0)
     return np.where(ratio <= 0.001, 1.0, np.where(ratio <= 0.999, (1 - ratio ** 2) ** 2, 0.0))
 
 
@@ -154,13 +163,12 @@ def stl_arrays(
     outer: int = OUTER, flat: float | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Seasonal and trend by the published STL procedure (Cleveland et al., 1990),
-    locally linear at every step. Without robustness `y` may hold many series of one
-    length as rows."""
+    locally linear at every step. `y` may hold many series of one length as rows."""
     cache = {} if cache is None else cache
     season, trend = stl_rounds(y, np.zeros(y.shape), None, INNER_ROBUST if robust else INNER, period, seasonal, cache, flat)
     for _ in range(outer if robust else 0):
         miss = np.abs(y - season - trend)
-        season, trend = stl_rounds(y, trend, bisquare(miss, np.median(miss)), INNER_ROBUST, period, seasonal, cache, flat)
+        season, trend = stl_rounds(y, trend, bisquare(miss, np.median(miss, axis=-1)), INNER_ROBUST, period, seasonal, cache, flat)
     return season, trend
 
 
@@ -170,7 +178,7 @@ def decompose_loess(
 ) -> DataFrame:
     """TSO2: LOESS decomposition. Each period-grained series, as long as the calendar, is
     packed into one row of arrays; Arrow batches of many series are decomposed
-    together by length and taken apart again in the JVM."""
+    together by length, TOGETHER rows at a time, and taken apart again in the JVM."""
     keys = names(key)
     by = [q(c) for c in keys]
     points = F.array_sort(F.collect_list(F.struct(q(order), q(value).cast("double").alias("_v"))))
@@ -186,11 +194,10 @@ def decompose_loess(
             groups: dict[int, list[int]] = {}
             for i, y in enumerate(filled):
                 if len(y) >= 2 * period and not np.isnan(y).any():
-                    groups.setdefault(-i - 1 if robust else len(y), []).append(i)
-            for rows in groups.values():
+                    groups.setdefault(len(y), []).append(i)
+            for rows in (some[a:a + step] for n, some in groups.items() for step in [max(1, TOGETHER // n)] for a in range(0, len(some), step)):
                 block = np.stack([filled[i] for i in rows])
-                season, trend = stl_arrays(block[0] if robust else block, period, seasonal, robust, cache)
-                season, trend = np.atleast_2d(season), np.atleast_2d(trend)
+                season, trend = stl_arrays(block, period, seasonal, robust, cache)
                 for at, i in enumerate(rows):
                     made["trend"][i], made["seasonal"][i] = trend[at], season[at]
                     made["residual"][i] = block[at] - trend[at] - season[at]
