@@ -1,6 +1,6 @@
 """Regression on a trend that may change, season and regressors (TSO13). The trend is a line plus hinges at even places of the series' span; the hinges' slopes
 carry an L1 penalty, which the Bayesian information criterion, in its form for short series, picks from a path. Intercept, line, season and regressors are taken out of the sums of
-products first, so that the path works on the hinges alone; all series of an Arrow batch go through coordinate descent together."""
+products first, so that the path works on the hinges alone; many series go through coordinate descent together."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ TINY = 1e-9
 CLOSE = 1e-7
 #: Added to the unit diagonal of a system of hinges, of which several may stand between two neighbouring rows; each step starts from the true gradient, so that this slows the approach only.
 RIDGE = 1e-10
+#: Series fitted at a time: a fit holds some ten matrices of hinges for each, and an Arrow batch may bring ten thousand.
+TOGETHER = 512
 
 
 @dataclass(frozen=True)
@@ -160,9 +162,7 @@ def fit_trend_changes(
     free = 2 + 2 * settings.pairs + len(regressors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in (whole[a:a + TOGETHER] for whole in batches for a in range(0, len(whole), TOGETHER)):
             values = [np.asarray(v, dtype=float) for v in pdf["_y"]]
             designs = [np.asarray(v, dtype=float).reshape(-1, free) for v in pdf["_u"]]
             hinges = [np.maximum(u[:, 1:2] - settings.knots, 0.0) for u in designs]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from macrospark.operators import decompose as D
+from macrospark.operators import decompose as D, trend_changes as TC
 
 
 @pytest.mark.parametrize("n", [24, 30, 600])
@@ -14,3 +14,15 @@ def test_robust_loess_of_many_series_is_that_of_each(n):
     for i, row in enumerate(y):
         alone = D.stl_arrays(row, robust=True)
         assert (season[i] == alone[0]).all() and (trend[i] == alone[1]).all()
+
+
+def test_trend_changes_are_fitted_few_at_a_time(spark, monkeypatch):
+    fit_batch, most = TC.fit_batch, TC.TOGETHER
+
+    def checked(designs, hinges, values, settings):
+        assert len(values) <= most
+        return fit_batch(designs, hinges, values, settings)
+
+    monkeypatch.setattr(TC, "fit_batch", checked)
+    rows = spark.range(4000 * 5).selectExpr("id div 5 AS series_id", "add_months(DATE'2000-01-01', CAST(id % 5 AS INT)) AS date", "CAST(id * id % 17 AS DOUBLE) AS value")
+    assert TC.fit_trend_changes(rows, settings=TC.TrendChanges(pairs=0)).count() == 4000
