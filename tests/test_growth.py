@@ -1,9 +1,15 @@
 """What a task holds does not grow with the input."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from macrospark.operators import decompose as D, trend_changes as TC
+from macrospark import columns
+from macrospark.operators import decompose as D, forecast as T, trend_changes as TC, windows as W
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("n", [24, 30, 600])
@@ -26,3 +32,22 @@ def test_trend_changes_are_fitted_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(TC, "fit_batch", checked)
     rows = spark.range(4000 * 5).selectExpr("id div 5 AS series_id", "add_months(DATE'2000-01-01', CAST(id % 5 AS INT)) AS date", "CAST(id * id % 17 AS DOUBLE) AS value")
     assert TC.fit_trend_changes(rows, settings=TC.TrendChanges(pairs=0)).count() == 4000
+
+
+def test_tasks_follow_the_files(spark, monkeypatch, tmp_path):
+    pd.DataFrame({"series_id": np.repeat(np.arange(50), 30), "date": np.tile(pd.date_range("2000-01-01", periods=30, freq="MS").date, 50),
+                  "value": np.random.default_rng(3).gamma(2, 9, 1500)}).to_parquet(tmp_path / "rows.parquet")
+    rows = spark.read.parquet(str(tmp_path / "rows.parquet"))
+    assert columns.spread(rows, "series_id").rdd.getNumPartitions() == 4
+    before = {f: sorted(map(str, f(rows).collect())) for f in (D.decompose, D.decompose_multiplicative, W.upsample_monthly)}
+    monkeypatch.setattr(columns, "TASK_BYTES", 1 << 9)
+    many = columns.spread(rows, "series_id").rdd.getNumPartitions()
+    assert many > 8
+    for f, found in before.items():
+        made = f(rows)
+        assert f", {many})" in _plan(made)
+        assert sorted(map(str, made.collect())) == found
+    ahead = rows.selectExpr("series_id", "add_months(date, 30) AS date", "value").where("date < '2002-10-01'")
+    assert f", {many})" in _plan(D.decompose_forecast(rows, ahead))
+    finer = columns.spread(rows, "series_id", 4).rdd.getNumPartitions()
+    assert finer > 3 * many and f", {finer})" in _plan(T.box_cox_lambda(rows, refine=False))
