@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from macrospark import columns
-from macrospark.operators import decompose as D, forecast as T, trend_changes as TC, windows as W
+from macrospark.operators import decompose as D, forecast as T, trend_changes as TC, udf as U, windows as W
 
 
 def _plan(df) -> str:
@@ -51,3 +51,17 @@ def test_tasks_follow_the_files(spark, monkeypatch, tmp_path):
     assert f", {many})" in _plan(D.decompose_forecast(rows, ahead))
     finer = columns.spread(rows, "series_id", 4).rdd.getNumPartitions()
     assert finer > 3 * many and f", {finer})" in _plan(T.box_cox_lambda(rows, refine=False))
+
+
+def test_series_travel_together(spark):
+    rows = spark.range(2000).selectExpr("CASE WHEN id % 400 > 0 THEN id % 400 END AS k", "CASE WHEN id % 400 > 7 OR id > 1000 THEN id END AS n", "CASE WHEN id % 9 > 0 THEN id % 2 = 0 END AS b", "CAST(id AS DOUBLE) AS v")
+    rows = rows.unionByName(spark.range(25_000).selectExpr("-1L AS k", "id AS n", "true AS b", "1.0D AS v"))  # one series of several batches
+
+    def look(pdf):
+        assert pdf.index.equals(pd.RangeIndex(len(pdf)))
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "rows": len(pdf), "n": str(pdf["n"].dtype), "b": str(pdf["b"].dtype), "v": pdf["v"].sum()})
+
+    schema = "k long, rows long, n string, b string, v double"
+    made = U.apply_per_series(rows, "k", look, schema)
+    assert "MapInPandas" in _plan(made) and "FlatMapGroups" not in _plan(made)
+    assert sorted(map(str, made.collect())) == sorted(map(str, rows.groupBy("k").applyInPandas(look, schema).collect()))
