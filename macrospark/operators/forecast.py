@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from macrospark.columns import KEY, ORDER, VALUE, Names, back_from_end, finite, names, ordered, q, spread, spread_rows, upto
@@ -139,21 +140,54 @@ def gram(
 
 
 def wide_gram(df: DataFrame, xs: Sequence[str], ys: Sequence[str], key: Names = KEY) -> DataFrame:
-    """`gram` for many columns: the products of a row are one array, taken apart and added up by place, so that the plan
-    has a few expressions instead of hundreds. The many small rows are folded before the shuffle."""
+    """`gram` for many columns: each task multiplies the rows of a key that lie together as one matrix and hands on one array of
+    sums for them; a key's arrays, at most one of a task, are added up."""
     keys = names(key)
     by = [q(c) for c in keys]
-    rows = df.select(*by, *[finite(q(c).cast("double")).alias(c) for c in dict.fromkeys([*xs, *ys])])
-    rows = rows.na.drop(subset=list(dict.fromkeys([*xs, *ys]))).select(
-        *by, F.array(F.lit(1.0), *[q(c) for c in xs]).alias("_x"), F.array(*[q(c) for c in ys]).alias("_y"))
+    used = list(dict.fromkeys([*xs, *ys]))
+    # Incomplete rows go in the tasks: filters on so many columns keep Spark's planner busy for minutes.
+    rows = df.select(*by, *[q(c).cast("double").alias(c) for c in used]).sortWithinPartitions(*by)
     p, k = 1 + len(xs), len(ys)
-    triangle = F.flatten(F.transform("_x", lambda a, i: F.transform(F.slice("_x", i + 1, p), lambda b: a * b)))
-    cross = F.flatten(F.transform("_y", lambda y: F.transform("_x", lambda x: x * y)))
-    products = F.concat(triangle, cross, F.transform("_y", lambda y: y * y))
-    sums = rows.select(*by, F.posexplode(products).alias("_at", "_v")).groupBy(*by, "_at").agg(
-        F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n"))
-    whole = sums.groupBy(*by).agg(F.max("_n").alias("n"), F.transform(
-        F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda c: c["_v"]).alias("_all"))
+    of_x, of_y = [used.index(c) for c in xs], [used.index(c) for c in ys]
+    upper = np.triu_indices(p)
+    alike = lambda values: [v if v == v else "nan" for v in values]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, row, n, total = None, None, 0, np.zeros(0)
+
+        def given(rows: list, counts: list, sums: list) -> pa.RecordBatch:
+            columns = pa.Table.from_batches(rows).combine_chunks().to_batches()[0].columns
+            return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], [*keys, "_n", "_sums"])
+
+        for batch in batches:
+            values = np.stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(used))], axis=1)
+            complete = np.isfinite(values).all(axis=1)
+            if not complete.any():
+                continue
+            own, values = batch.select(list(range(len(keys)))).filter(pa.array(complete)), values[complete]
+            x, y = np.hstack([np.ones((len(values), 1)), values[:, of_x]]), values[:, of_y]
+            labels = list(zip(*[alike(c.to_pylist()) for c in own.columns]))
+            starts = [i for i, label in enumerate(labels) if not i or label != labels[i - 1]]
+            done: tuple[list, list, list] = ([], [], [])
+            for a, b in zip(starts, [*starts[1:], len(labels)]):
+                square, cross = x[a:b].T @ x[a:b], y[a:b].T @ x[a:b]
+                sums = np.concatenate([square[upper], cross.ravel(), (y[a:b] * y[a:b]).sum(axis=0)])
+                if row is not None and labels[a] == last:
+                    n, total = n + b - a, total + sums
+                    continue
+                if row is not None:
+                    for column, v in zip(done, (row, n, total)):
+                        column.append(v)
+                last, row, n, total = labels[a], own.slice(a, 1), b - a, sums
+            if done[0]:
+                yield given(*done)
+        if row is not None:
+            yield given([row], [n], [total])
+
+    sums = rows.mapInArrow(fold, f"{_schema(rows, keys)}, _n bigint, _sums array<double>")
+    none = F.array_repeat(F.lit(0.0), p * (p + 1) // 2 + p * k + k)
+    whole = sums.groupBy(*by).agg(F.sum("_n").alias("n"), F.collect_list("_sums").alias("_parts")).select(*by, "n", F.when(
+        F.size("_parts") == 1, F.col("_parts")[0]).otherwise(F.aggregate("_parts", none, lambda a, b: F.zip_with(a, b, lambda u, v: u + v))).alias("_all"))
     cells = p * (p + 1) // 2
     return whole.select(*by, "n", F.slice("_all", 1, cells).alias("xx"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice(
         "_all", cells + 1 + i * p, p)).alias("xy"), F.slice("_all", cells + p * k + 1, k).alias("yy"))
@@ -588,9 +622,10 @@ def vector_forecast(
             fit = np.flatnonzero(pdf["xx"].notna().to_numpy() & (pdf["n"].fillna(0).to_numpy() > size))
             if len(fit):  # all keys of the batch step on together
                 some = pdf.iloc[fit]
-                left = np.repeat(full_matrices(np.stack(some["xx"].to_list()), size), k, axis=0)
-                right = np.stack([np.stack(list(v)) for v in some["xy"]]).reshape(-1, size)
-                coef = solve_systems(left, right, np.stack(some["yy"].to_list()).astype(float).ravel()).coef.reshape(-1, k, size)
+                right = np.stack([np.stack(list(v)) for v in some["xy"]])
+                # The equations of a key share X'X, which is inverted once.
+                left = solve_systems(full_matrices(np.stack(some["xx"].to_list()), size), right[:, 0], np.stack(some["yy"].to_list()).astype(float)[:, 0])
+                coef = np.einsum("mij,mkj->mki", left.inverse, right)
                 past = list(np.stack([np.stack(list(v)) for v in some["tail"]]).astype(float).transpose(1, 0, 2))
                 at = level[fit]
                 for h in range(steps):

@@ -65,3 +65,17 @@ def test_series_travel_together(spark):
     made = U.apply_per_series(rows, "k", look, schema)
     assert "MapInPandas" in _plan(made) and "FlatMapGroups" not in _plan(made)
     assert sorted(map(str, made.collect())) == sorted(map(str, rows.groupBy("k").applyInPandas(look, schema).collect()))
+
+
+def test_products_of_a_key_are_one_array(spark):
+    rows = spark.range(900).selectExpr("CASE WHEN id % 7 = 0 THEN NULL WHEN id % 7 = 1 THEN double('nan') ELSE double(id % 7) END AS k", "CASE WHEN id % 11 > 0 THEN double(id % 13) END AS a",
+                                       "CASE WHEN id % 17 > 0 THEN double(id % 5) ELSE double('inf') END AS b", "double(id) AS y", "CASE WHEN id % 7 < 6 THEN double(id % 3) END AS z")
+    wide = T.wide_gram(rows, ["a", "b"], ["y", "z"], "k")
+    assert "Generate" not in _plan(wide)
+    want = {str(r["k"]): r for r in T.gram(rows, ["a", "b"], ["y", "z"], "k").collect()}
+    got = {str(r["k"]): r for r in wide.collect()}
+    assert len(want) == 6 and got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k]["n"] == r["n"]
+        for c in ("xx", "xy", "yy"):
+            assert np.allclose(np.array(got[k][c]), np.array(r[c]), rtol=1e-12)
