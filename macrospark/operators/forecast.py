@@ -140,8 +140,8 @@ def gram(
 
 
 def wide_gram(df: DataFrame, xs: Sequence[str], ys: Sequence[str], key: Names = KEY) -> DataFrame:
-    """`gram` for many columns: each task multiplies the rows of a key that lie together as one matrix and hands on one array of
-    sums for them; a key's arrays, at most one of a task, are added up."""
+    """`gram` for many columns: each task multiplies the rows of a key that lie together as one matrix, adds the products up row by row and
+    hands on one array of sums; a key's arrays, at most one of a task, are added up."""
     keys = names(key)
     by = [q(c) for c in keys]
     used = list(dict.fromkeys([*xs, *ys]))
@@ -170,15 +170,15 @@ def wide_gram(df: DataFrame, xs: Sequence[str], ys: Sequence[str], key: Names =
             starts = [i for i, label in enumerate(labels) if not i or label != labels[i - 1]]
             done: tuple[list, list, list] = ([], [], [])
             for a, b in zip(starts, [*starts[1:], len(labels)]):
-                square, cross = x[a:b].T @ x[a:b], y[a:b].T @ x[a:b]
-                sums = np.concatenate([square[upper], cross.ravel(), (y[a:b] * y[a:b]).sum(axis=0)])
+                u, v = x[a:b], y[a:b]
+                sums = np.hstack([u[:, upper[0]] * u[:, upper[1]], (v[:, :, None] * u[:, None, :]).reshape(b - a, -1), v * v])
                 if row is not None and labels[a] == last:
-                    n, total = n + b - a, total + sums
+                    n, total = n + b - a, np.vstack([total, sums]).sum(axis=0)
                     continue
                 if row is not None:
-                    for column, v in zip(done, (row, n, total)):
-                        column.append(v)
-                last, row, n, total = labels[a], own.slice(a, 1), b - a, sums
+                    for column, held in zip(done, (row, n, total)):
+                        column.append(held)
+                last, row, n, total = labels[a], own.slice(a, 1), b - a, sums.sum(axis=0)
             if done[0]:
                 yield given(*done)
         if row is not None:
@@ -625,7 +625,7 @@ def vector_forecast(
                 right = np.stack([np.stack(list(v)) for v in some["xy"]])
                 # The equations of a key share X'X, which is inverted once.
                 left = solve_systems(full_matrices(np.stack(some["xx"].to_list()), size), right[:, 0], np.stack(some["yy"].to_list()).astype(float)[:, 0])
-                coef = np.einsum("mij,mkj->mki", left.inverse, right)
+                coef = np.stack([np.einsum("mij,mj->mi", left.inverse, np.ascontiguousarray(right[:, e])) for e in range(k)], axis=1)
                 past = list(np.stack([np.stack(list(v)) for v in some["tail"]]).astype(float).transpose(1, 0, 2))
                 at = level[fit]
                 for h in range(steps):
