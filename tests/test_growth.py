@@ -4,8 +4,12 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.ml.regression import GBTRegressor
+
 from macrospark import columns
+from macrospark.learning.models import Trees
 from macrospark.operators import decompose as D, forecast as T, trend_changes as TC, udf as U, windows as W
+from macrospark.plans import pipelines as P
 
 
 def _plan(df) -> str:
@@ -79,3 +83,19 @@ def test_products_of_a_key_are_one_array(spark):
         assert got[k]["n"] == r["n"]
         for c in ("xx", "xy", "yy"):
             assert np.allclose(np.array(got[k][c]), np.array(r[c]), rtol=1e-12)
+
+
+def test_residual_model_is_fitted_on_kept_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"series_id": np.repeat(["a", "b", "c"], 40), "date": np.tile(pd.date_range("2000-01-01", periods=40, freq="MS").date, 3),
+                         "actual": rng.normal(100, 5, 120), "base": rng.normal(100, 5, 120)})
+    fit, seen = GBTRegressor.fit, []
+
+    def checked(self, df, *rest):
+        seen.append(_plan(df))
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(GBTRegressor, "fit", checked)
+    model, unit = P.fit_residual_model(spark.createDataFrame(rows), Trees(trees=2, depth=2))
+    assert len(seen) == 1 and "Window" not in seen[0] and "Join" not in seen[0]
+    assert unit.count() == 3 and len(model.stages) == 2
