@@ -13,7 +13,7 @@ import pyarrow as pa
 
 BASE, WINDOW_BASES = 0x9E3779B97F4A7C15, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes hashed at once; a longer word is hashed alone.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True

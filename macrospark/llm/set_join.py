@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from macrospark.llm.common import kept, tasks, text_mark
 from macrospark.llm.rolling import WINDOW_BASES, scramble, slices, text_buffers, window_hashes, word_hashes
-from macrospark.llm.simhash import components
+from macrospark.llm.simhash import components, fingerprint
 
 #: Similarity 4/5, of five-word shingles.
 ALIKE = (4, 5)
@@ -40,6 +40,8 @@ SECOND, OPEN = 3, 1
 DENSITY = 0.15
 #: A feature counts as frequent from so many in a run of texts, and in all; of the frequent ones the first HEAVY_MOST are used (one MB is broadcast).
 RUN_LEAST, HEAVY_LEAST, HEAVY_MOST = 3, 50, 1 << 17
+#: Bytes of text whose sets are made at once.
+TEXT_BYTES = 1 << 21
 #: Bits of the filter that says which sets' features are wanted (two MB are broadcast).
 FILTER_BITS = 24
 
@@ -170,22 +172,28 @@ def ordered(runs: np.ndarray, owner: np.ndarray, places: np.ndarray) -> tuple[np
     return owner, runs, np.arange(len(owner)) - np.searchsorted(owner, owner)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["heavy", "doc_id", "mark", "set", "size"]
-    for batch in batches:
-        for some in slices(batch, "text"):
-            runs, ends, sets = sets_of(some.column("text"))
-            size, ids = np.diff(ends), some.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, some.column("mark"), pa.array(sets.view(np.int64)), pa.array(size)], names)
-            items, n = np.unique(_picked(runs, ends, _once(sets, size))[0], return_counts=True)
-            items, n = items[n >= RUN_LEAST], n[n >= RUN_LEAST]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), pa.nulls(len(n), pa.int64()), pa.array(items.view(np.int64)), pa.array(n)], names)
+def _sketch(prints: bool):
+    names = ["heavy", "doc_id", "mark", "set", "size", *["fp"] * prints]
 
-
-def sketches(docs: DataFrame) -> tuple[DataFrame, Frequent]:
-    """doc_id, mark, set (a name of the shingle set) and size of every row; the frequent features."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "text", TEXT_BYTES):
+                runs, ends, sets = sets_of(some.column("text"))
+                size, ids = np.diff(ends), some.column("doc_id")
+                fps = [pa.array([fingerprint(runs[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())] if prints else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, some.column("mark"), pa.array(sets.view(np.int64)), pa.array(size), *fps], names)
+                items, n = np.unique(_picked(runs, ends, _once(sets, size))[0], return_counts=True)
+                items, n = items[n >= RUN_LEAST], n[n >= RUN_LEAST]
+                none = [pa.nulls(len(n), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), *none, pa.array(items.view(np.int64)), pa.array(n), *none * prints], names)
+    return sketch
+
+
+def sketches(docs: DataFrame, prints: bool = False) -> tuple[DataFrame, Frequent]:
+    """doc_id, mark, set (a name of the shingle set), size and, if wanted, fp (the set's SimHash fingerprint) of every row; the frequent features."""
     rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    all_ = kept(rows.mapInArrow(_sketch, f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, set bigint, size bigint"), "join-sketches")
+    schema = f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, set bigint, size bigint" + ", fp bigint" * prints
+    all_ = kept(rows.mapInArrow(_sketch(prints), schema), "join-sketches")
     counted = all_.where("heavy").groupBy("set").agg(F.sum("size").alias("n")).where(F.col("n") >= HEAVY_LEAST)
     top = counted.orderBy(F.desc("n"), "set").limit(HEAVY_MOST).select("set").toArrow()
     items = top.column("set").to_numpy().astype(np.int64).view(_U)
@@ -206,7 +214,7 @@ PIECES = 8
 def _packed(heavy, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", TEXT_BYTES):
                 runs, ends, sets = sets_of(some.column("text"))
                 size = np.diff(ends)
                 at = _once(sets, size)
@@ -282,7 +290,7 @@ def _wanted(docs: DataFrame, wanted: DataFrame, schema: str, give) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", TEXT_BYTES):
                 runs, ends, sets = sets_of(some.column("text"))
                 at = _once(sets, np.diff(ends))
                 low = sets[at] & _U((1 << FILTER_BITS) - 1)
@@ -352,10 +360,22 @@ def unsettled(docs: DataFrame, stars: DataFrame, roots: DataFrame, heavy: Freque
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame, heavy: Frequent) -> DataFrame:
-    """Links (a, b) between distinct sets whose components are those of all similar pairs; `rows` are the sketches of `docs`."""
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose sets chains of `known` links do not bring together."""
+    roots = kept(components(known), "join-known")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    placed = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+
+
+def links(docs: DataFrame, rows: DataFrame, heavy: Frequent, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between distinct sets whose components are those of all similar pairs; `rows` are the sketches of `docs`, `known` links (of pairs
+    found similar before) count as found."""
     stars = kept(candidates(docs, rows, heavy), "join-stars")
-    near = kept(similar(docs, stars.where(_fit())), "join-links")
+    if known is None:
+        near = kept(similar(docs, stars.where(_fit())), "join-links")
+    else:
+        near = kept(similar(docs, _apart(stars.where(_fit()), known)), "join-links").unionByName(known)
     rest = kept(unsettled(docs, stars, components(near), heavy), "join-rest")
     return near.unionByName(similar(docs, rest)) if rest.take(1) else near
 
@@ -369,7 +389,12 @@ def join(docs: DataFrame) -> DataFrame:
     without doc_id has a component, but never names it; component_id is null where nobody in the component has a doc_id. Further
     columns, of whatever name, are left out. No documents: no rows."""
     rows, heavy = sketches(docs)
-    rooted = kept(components(links(docs, rows, heavy)), "join-roots")
+    return classes_of(rows, links(docs, rows, heavy))
+
+
+def classes_of(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """What `join` gives, of its sketches and links."""
+    rooted = kept(components(near), "join-roots")
     classes = rows.where("size > 0").groupBy("set").agg(F.min("doc_id").alias("first")).join(rooted, F.col("set") == F.col("node"), "left")
     classes = classes.select("set", "first", F.coalesce("root", "set").alias("root"))
     named = classes.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from macrospark.llm import (decontamination as D, language as G, licenses as L, line_dedup as LD, mixing as M, near_copies as N, pii as P, quality_rules as Q,
-                            rolling as R, sharding as S, simhash as H, substring_dedup as SD)
+                            rolling as R, set_join as J, sharding as S, simhash as H, substring_dedup as SD)
 from macrospark.llm.common import words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -149,6 +149,29 @@ def test_near_copies_by_brute_force(docs):
         assert (d is None, d or 0) == min(first[x] for x in members)
 
 
+def test_near_copies_link_by_fingerprints_first(docs):
+    """Sets whose fingerprints are two bits apart or less are linked through the grid where they are alike, and only there; the set join takes what these leave apart."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(600)]
+        rows.append((k, " ".join(w)))
+        w[rng.randrange(600)] = "changed"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200, "one two"), (201, "three four"), (202, None)]
+    table = docs(rows)
+    sets, heavy = J.sketches(table, prints=True)
+    found = N.fingerprint_links(table, sets)
+    owners = {r["set"]: r["doc_id"] for r in sets.collect()}
+    prints = {r["set"]: r["fp"] for r in sets.where("size > 0").collect()}
+    near = {tuple(sorted(owners[x] % 100 for x in p)) for p in ((r["a"], r["b"]) for r in found.collect())}
+    close = {(owners[a], owners[b]) for a in prints for b in prints if owners[a] < owners[b] < 200 and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2}
+    assert {(a, a) for a, _ in close} == near and len(near) > 10
+    pairs = lambda rows: docs(rows, "a long, b long")
+    assert sorted(tuple(r) for r in J._apart(pairs([(1, 2), (1, 3), (4, 5)]), pairs([(3, 6), (6, 1)])).collect()) == [(1, 2), (4, 5)]
+    assert len(N.dedup(table).collect()) == 43
+
+
 def test_quality_statistics_by_brute_force(corpus):
     want = {}
     for r in corpus.collect():
