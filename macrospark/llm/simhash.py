@@ -88,9 +88,12 @@ def around(vector: Column, steps: int) -> Column:
 
 
 def links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """Pairs a < b of distinct fingerprints that differ in 1 to `distance` bits, each pair once."""
+    """Pairs a < b of distinct fingerprints that differ in 1 to `distance` bits, each pair once.
+
+    Spark takes the cells to be as small as the fingerprints they come from (an explode counts for nothing), and would broadcast some 50 to 70 rows for each; so the join
+    is told to deal both sides."""
     cells = prints.select("fp", F.explode(around(embedding(), -(-distance // 2))).alias("cell"))
-    left, right = cells.withColumnRenamed("fp", "a"), cells.withColumnRenamed("fp", "b")
+    left, right = cells.withColumnRenamed("fp", "a").hint("merge"), cells.withColumnRenamed("fp", "b").hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     return left.join(right, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 

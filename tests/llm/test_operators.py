@@ -104,6 +104,16 @@ def test_links_find_every_pair(spark):
         assert got == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
 
 
+def test_cells_are_not_broadcast(spark):
+    """Spark takes the cells to be as small as the few fingerprints they come from."""
+    frame = spark.createDataFrame([(k,) for k in range(50)], "fp long").repartition(2).distinct()
+    near = H.links(frame)
+    assert near.count() > 0
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 105), (105, 103), (200, 201)]
     got = {r["node"]: r["root"] for r in H.components(spark.createDataFrame(edges, "a long, b long")).collect()}
