@@ -15,7 +15,8 @@ of the k + 1. Two sets differ in no more features without them, so nothing is mi
 
 Equal sets are one from the beginning. In a bucket of sets with one signature each is compared with the bucket's first, the set with the smallest
 share of rare features: of a group of near copies one close to what they were made from. Sets that this does not bring into one component are
-compared further, but only those that can still be similar by the order of their features (see `unsettled`). All comparisons are of the exact sets."""
+compared further, but only those that can still be similar by the order of their features (see `unsettled`). All comparisons are of the exact sets; pairs whose
+parities (see `parities`) show that they differ in too many features are not compared, so their sets need not travel."""
 
 from __future__ import annotations
 
@@ -25,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from macrospark.llm.common import kept, tasks, text_mark
@@ -42,6 +44,8 @@ DENSITY = 0.15
 RUN_LEAST, HEAVY_LEAST, HEAVY_MOST = 3, 50, 1 << 17
 #: Bytes of text whose sets are made at once.
 TEXT_BYTES = 1 << 21
+#: Least number of cells whose parities are kept of a set.
+LEAST_CELLS = 64
 #: Bits of the filter that says which sets' features are wanted (two MB are broadcast).
 FILTER_BITS = 24
 
@@ -104,6 +108,36 @@ def sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return runs, ends, names
 
 
+def parities(runs: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Of each set, a bit for each of 2^k cells, its size at least, over which its features are dealt: whether a cell holds an odd number of them. Each feature in which two
+    sets differ changes one bit, so they differ in as many features as bits, at least."""
+    size = np.diff(ends)
+    powers = _U(1) << np.arange(int(LEAST_CELLS).bit_length() - 1, 63, dtype=_U)
+    cells = np.where(size > 0, powers[np.searchsorted(powers, size.astype(_U))], _U(0)).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(cells)])
+    odd = np.zeros(starts[-1], np.uint8)
+    np.bitwise_xor.at(odd, np.repeat(starts[:-1], size) + (runs & np.repeat(cells - 1, size).astype(_U)).astype(np.int64), 1)
+    bits = np.packbits(odd, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((starts // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def differences(one: pa.Array, two: pa.Array) -> np.ndarray:
+    """In how many bits the parities of each pair of sets differ, in as many cells as the smaller set has: the upper half of the cells falls on the lower one."""
+    def rows(column: pa.Array, at: np.ndarray, width: int, most: int) -> np.ndarray:
+        found = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), width)
+        while width > most:
+            width //= 2
+            found = found[:, :width] ^ found[:, width:]
+        return found
+
+    words = [np.array(pc.binary_length(c)) // 8 for c in (one, two)]
+    out = np.zeros(len(one), np.int64)
+    for a, b in np.unique(np.stack(words, 1), axis=0):
+        at = np.flatnonzero((words[0] == a) & (words[1] == b))
+        out[at] = np.bitwise_count(rows(one, at, a, min(a, b)) ^ rows(two, at, b, min(a, b))).sum(1, dtype=np.int64)
+    return out
+
+
 def _once(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of the first of each distinct set with features."""
     return np.sort(np.unique(np.where(sizes > 0, names, _U(0)), return_index=True)[1][1 if (sizes == 0).any() else 0:])
@@ -173,7 +207,7 @@ def ordered(runs: np.ndarray, owner: np.ndarray, places: np.ndarray) -> tuple[np
 
 
 def _sketch(prints: bool):
-    names = ["heavy", "doc_id", "mark", "set", "size", *["fp"] * prints]
+    names = ["heavy", "doc_id", "mark", "set", "size", "odd", *["fp"] * prints]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,18 +215,18 @@ def _sketch(prints: bool):
                 runs, ends, sets = sets_of(some.column("text"))
                 size, ids = np.diff(ends), some.column("doc_id")
                 fps = [pa.array([fingerprint(runs[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())] if prints else []
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, some.column("mark"), pa.array(sets.view(np.int64)), pa.array(size), *fps], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), ids, some.column("mark"), pa.array(sets.view(np.int64)), pa.array(size), parities(runs, ends), *fps], names)
                 items, n = np.unique(_picked(runs, ends, _once(sets, size))[0], return_counts=True)
                 items, n = items[n >= RUN_LEAST], n[n >= RUN_LEAST]
                 none = [pa.nulls(len(n), pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), *none, pa.array(items.view(np.int64)), pa.array(n), *none * prints], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), bool)), pa.nulls(len(n), ids.type), *none, pa.array(items.view(np.int64)), pa.array(n), pa.nulls(len(n), pa.binary()), *none * prints], names)
     return sketch
 
 
 def sketches(docs: DataFrame, prints: bool = False) -> tuple[DataFrame, Frequent]:
-    """doc_id, mark, set (a name of the shingle set), size and, if wanted, fp (the set's SimHash fingerprint) of every row; the frequent features."""
+    """doc_id, mark, set (a name of the shingle set), size, odd (its `parities`) and, if wanted, fp (the set's SimHash fingerprint) of every row; the frequent features."""
     rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    schema = f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, set bigint, size bigint" + ", fp bigint" * prints
+    schema = f"heavy boolean, doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint, set bigint, size bigint, odd binary" + ", fp bigint" * prints
     all_ = kept(rows.mapInArrow(_sketch(prints), schema), "join-sketches")
     counted = all_.where("heavy").groupBy("set").agg(F.sum("size").alias("n")).where(F.col("n") >= HEAVY_LEAST)
     top = counted.orderBy(F.desc("n"), "set").limit(HEAVY_MOST).select("set").toArrow()
@@ -201,10 +235,12 @@ def sketches(docs: DataFrame, prints: bool = False) -> tuple[DataFrame, Frequent
     return all_.where("NOT heavy").drop("heavy"), Frequent(items[order], len(items) - order)
 
 
-#: What travels to a bucket: sets, their shares of rare features (of 255), how many signatures each has there (in runs of RUN at most), the
-#: signatures' low halves. Between 5 and 15 bytes a signature, the more the more buckets there are.
+#: What travels to a bucket: short names of sets (their names' low bits), their shares of rare features (of 255), how many signatures each has there (in runs
+#: of RUN at most), the signatures' low halves. Between 4 and 10 bytes a signature, the more the more buckets there are.
 _PACKED = ["sets", "rare", "counts", "sigs"]
-RUN = 65535
+RUN = 255
+#: Bits of a short name. Where distinct sets share one, it stands for each of them (see `candidates`).
+NAME_BITS = 32
 #: Signatures in a bucket, about; one Python task holds one bucket.
 BUCKET, LEAST_BUCKETS = 6_000_000, 64
 #: A bucket is sorted in so many pieces.
@@ -232,20 +268,21 @@ def _packed(heavy, buckets: int):
                 for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                     run = np.flatnonzero((np.diff(of[a:b], prepend=-1) != 0) | (np.arange(b - a) % RUN == 0))
                     who = of[a:b][run]
-                    for k, x in (("sets", sets[at[who]]), ("rare", rare[who]), ("counts", np.diff(run, append=b - a).astype(np.uint16)), ("sigs", sigs[a:b])):
+                    short = (sets[at[who]] & _U((1 << NAME_BITS) - 1)).astype(np.uint32)
+                    for k, x in (("sets", short), ("rare", rare[who]), ("counts", np.diff(run, append=b - a).astype(np.uint8)), ("sigs", sigs[a:b])):
                         out[k].append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in _PACKED]], ["bucket", *_PACKED])
     return pack
 
 
 def _stars(table: pa.Table) -> pa.Table:
-    """Of one bucket: each set beside the first one that has the same signature, once."""
+    """Of one bucket: each set beside the first one that has the same signature, once. Sets go by their short names."""
     joined = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-    counts, sets, rare, sigs = joined("counts", np.uint16), joined("sets", _U), joined("rare", np.uint8), joined("sigs", np.uint32)
+    counts, sets, rare, sigs = joined("counts", np.uint8), joined("sets", np.uint32), joined("rare", np.uint8), joined("sigs", np.uint32)
     owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     found = [_leads(sigs[some], sets[owner[some]], rare[owner[some]]) for some in (np.flatnonzero(sigs % PIECES == k) for k in range(PIECES))]
     pairs = np.unique(np.concatenate(found))
-    return pa.table({"a": pairs["a"].view(np.int64), "b": pairs["b"].view(np.int64), "more": pairs["more"]})
+    return pa.table({"a": pairs["a"].astype(np.int64), "b": pairs["b"].astype(np.int64), "more": pairs["more"]})
 
 
 def _leads(sigs: np.ndarray, sets: np.ndarray, rare: np.ndarray) -> np.ndarray:
@@ -258,19 +295,24 @@ def _leads(sigs: np.ndarray, sets: np.ndarray, rare: np.ndarray) -> np.ndarray:
     n = np.diff(starts, append=len(sigs))
     lead, of = np.repeat(starts, n), np.repeat(n, n)
     rest = np.arange(len(sigs)) != lead
-    return np.unique(np.rec.fromarrays([sets[lead][rest], sets[rest], of[rest] > 2], dtype=[("a", _U), ("b", _U), ("more", bool)]))
+    return np.unique(np.rec.fromarrays([sets[lead][rest], sets[rest], of[rest] > 2], dtype=[("a", np.uint32), ("b", np.uint32), ("more", bool)]))
 
 
 def candidates(docs: DataFrame, rows: DataFrame, heavy: Frequent) -> DataFrame:
-    """a (the first set of a bucket), b, their sizes m and n, and whether some bucket of theirs holds more sets; `rows` are the sketches."""
+    """a (the first set of a bucket), b, their sizes m and n, and whether some bucket of theirs holds more sets; `rows` are the sketches.
+
+    A short name in a bucket may be that of several sets: its pairs are pairs of each of them, and the sets of one short name are pairs with one another, so none is missed."""
     spark = docs.sparkSession
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(min(tasks(spark), LEAST_BUCKETS), total // BUCKET)
     packed = docs.select("text").mapInArrow(_packed(spark.sparkContext.broadcast(heavy), buckets), "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED))
     stars = packed.groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-    sizes = rows.where("size > 0").select("set", "size").distinct()
-    size = lambda c, n: sizes.select(F.col("set").alias(c), F.col("size").alias(n))
-    return stars.join(size("a", "m"), "a").join(size("b", "n"), "b")
+    sizes = rows.where("size > 0").select("set", "size").distinct().select("set", "size", F.col("set").bitwiseAND((1 << NAME_BITS) - 1).alias("short"))
+    size = lambda c, n, short: sizes.select(F.col("set").alias(c), F.col("size").alias(n), F.col("short").alias(short))
+    named = stars.toDF("short_a", "short_b", "more").join(size("a", "m", "short_a"), "short_a").join(size("b", "n", "short_b"), "short_b")
+    shared = size("a", "m", "short").join(size("b", "n", "short"), "short").where("a < b").withColumn("more", F.lit(True))
+    columns = ["a", "b", "m", "n", "more"]
+    return named.select(columns).unionByName(shared.select(columns)).groupBy("a", "b", "m", "n").agg(F.max("more").alias("more"))
 
 
 def _bits(wanted: DataFrame) -> np.ndarray:
@@ -323,6 +365,21 @@ def heads(docs: DataFrame, wanted: DataFrame, heavy: Frequent, alike: tuple[int,
     return _wanted(docs, wanted, "set bigint, feature bigint, left bigint", give).distinct()
 
 
+def likely(pairs: DataFrame, rows: DataFrame, alike: tuple[int, int] = ALIKE) -> DataFrame:
+    """The pairs (a, b) that may be similar by their parities; `rows` are the sketches. No similar pair is lost, and what is sent is an eighth to a quarter of a byte for a feature."""
+    known = rows.where("size > 0").select("set", "size", "odd").dropDuplicates(["set"])
+    side = lambda s, n, o: known.select(F.col("set").alias(s), F.col("size").alias(n), F.col("odd").alias(o))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+            keep = sum(alike) * differences(batch.column("odd_a"), batch.column("odd_b")) <= (alike[1] - alike[0]) * total
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    met = pairs.select("a", "b").join(side("b", "n", "odd_b"), "b").join(side("a", "m", "odd_a"), "a")
+    return met.select("a", "b", "m", "n", "odd_a", "odd_b").mapInArrow(pick, "a bigint, b bigint")
+
+
 def similar(docs: DataFrame, pairs: DataFrame, alike: tuple[int, int] = ALIKE) -> DataFrame:
     """The pairs (a, b) whose exact sets are similar."""
     sets = features(docs, pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))))
@@ -372,11 +429,12 @@ def links(docs: DataFrame, rows: DataFrame, heavy: Frequent, known: DataFrame |
     """Links (a, b) between distinct sets whose components are those of all similar pairs; `rows` are the sketches of `docs`, `known` links (of pairs
     found similar before) count as found."""
     stars = kept(candidates(docs, rows, heavy), "join-stars")
+    pairs = kept(likely(stars.where(_fit()), rows), "join-likely")
     if known is None:
-        near = kept(similar(docs, stars.where(_fit())), "join-links")
+        near = kept(similar(docs, pairs), "join-links")
     else:
-        near = kept(similar(docs, _apart(stars.where(_fit()), known)), "join-links").unionByName(known)
-    rest = kept(unsettled(docs, stars, components(near), heavy), "join-rest")
+        near = kept(similar(docs, _apart(pairs, known)), "join-links").unionByName(known)
+    rest = kept(likely(unsettled(docs, stars, components(near), heavy), rows), "join-rest")
     return near.unionByName(similar(docs, rest)) if rest.take(1) else near
 
 

@@ -87,6 +87,40 @@ def test_frequent_features_change_nothing(spark, monkeypatch):
     assert rows_of(J.digest(docs).collect()) == rows_of(brute(rows))
 
 
+@pytest.mark.parametrize("bits", [3, 8])
+def test_sets_that_share_a_short_name(spark, monkeypatch, bits):
+    rows = awkward(4)
+    monkeypatch.setattr(J, "NAME_BITS", bits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(J.digest(docs).collect()) == rows_of(brute(rows))
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 5, 63, 64, 65, 500, 512, 513, 3000, 0)]
+    sets += [np.unique(np.concatenate([s[len(s) // 9:], rng.integers(0, 1 << 63, len(s) // 20).astype(np.uint64)])) for s in sets[3:10]]
+    odd = J.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    some = [i for i, s in enumerate(sets) if len(s)]
+    pairs = [(i, j) for i in some for j in some]
+    found = J.differences(odd.take([i for i, _ in pairs]), odd.take([j for _, j in pairs]))
+    for (i, j), bits in zip(pairs, found):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert bits <= apart and (bits - apart) % 2 == 0
+        if min(len(sets[i]), len(sets[j])) >= max(500, 0.8 * max(len(sets[i]), len(sets[j]))) and apart > 0.4 * (len(sets[i]) + len(sets[j])):
+            assert 9 * bits > len(sets[i]) + len(sets[j])  # ruled out
+
+
+def test_sets_of_unlike_texts_do_not_travel(spark, monkeypatch):
+    """Texts that share a passage meet in buckets, and share first features; their sets are not sent to be compared."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(k, passage + " " + " ".join(f"u{k}x{i}" for i in range(100))) for k in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[0][1] + " more"), (102, " ".join(rows[1][1].split()[3:]))]
+    sent, whole = [], J.similar
+    monkeypatch.setattr(J, "similar", lambda docs, pairs: sent.append(pairs.count()) or whole(docs, pairs))
+    assert rows_of(J.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == rows_of(brute(rows))
+    assert 2 <= sum(sent) <= 10
+
+
 def test_similar_sets_share_signatures():
     """Every pair at the limit of similarity has a signature in common, with or without frequent features, whatever the features are."""
     rng = np.random.default_rng(7)
