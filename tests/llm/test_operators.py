@@ -182,6 +182,15 @@ def test_near_copies_link_by_fingerprints_first(docs):
     assert len(N.dedup(table).collect()) == 43
 
 
+def test_near_copies_do_not_broadcast_cells(docs, monkeypatch):
+    seen, whole = [], H.links
+    monkeypatch.setattr(H, "links", lambda *a: seen.append(whole(*a)) or seen[-1])
+    rows = [(k, " ".join(f"w{k}x{i % 50}" for i in range(60 + k))) for k in range(30)]
+    assert N.dedup(docs(rows).repartition(2)).count() == 30
+    seen[0].collect()
+    assert len(seen) == 1 and "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quality_statistics_by_brute_force(corpus):
     want = {}
     for r in corpus.collect():
