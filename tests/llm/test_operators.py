@@ -191,6 +191,17 @@ def test_near_copies_do_not_broadcast_cells(docs, monkeypatch):
     assert len(seen) == 1 and "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_copies_send_few_sets(docs, monkeypatch):
+    """Sets of texts that share a passage and are unlike besides are not sent to be compared."""
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(k, passage + " " + " ".join(f"u{k}x{i}" for i in range(100))) for k in range(60)]
+    rows += [(100, rows[0][1] + " more"), (101, " ".join(rows[1][1].split()[3:]))]
+    sent, whole = [], J.similar
+    monkeypatch.setattr(J, "similar", lambda docs, pairs: sent.append(pairs.count()) or whole(docs, pairs))
+    assert sorted(r["doc_id"] for r in N.dedup(docs(rows).repartition(3)).collect()) == list(range(60))
+    assert 2 <= sum(sent) <= 10
+
+
 def test_quality_statistics_by_brute_force(corpus):
     want = {}
     for r in corpus.collect():
